@@ -190,18 +190,22 @@ def custom_universe(universe: DataFrame, market: str, symbols: list[str], list_m
     return universe_for(universe, market).where(F.col("symbol").isin(symbols))
 
 
-def data_fingerprint(bars: DataFrame) -> DataFrame:
-    """Twelve hex digits that name the exact content range of a bar table.
-
-    Symbols are digested in parallel into hash buckets first, so the last step
-    orders a fixed number of short digests.
-    """
-    per_symbol = bars.groupBy("symbol").agg(
+def fingerprint_rows(bars: DataFrame) -> DataFrame:
+    return bars.groupBy("symbol").agg(
         F.count("*").alias("rows"),
         F.min("date").alias("start"),
         F.max("date").alias("end"),
         F.round(F.max_by("close", "date"), 6).alias("last_close"),
     )
+
+
+def data_fingerprint(bars: DataFrame) -> DataFrame:
+    """Twelve hex digits that name the content range of a bar table.
+
+    Every symbol is digested on its own and the digests are summed, so symbols
+    need neither an order nor one task that sees them all.
+    """
+    per_symbol = fingerprint_rows(bars)
     line = F.concat_ws("|", *[F.col(c).cast("string") for c in ("symbol", "rows", "start", "end", "last_close")])
     digest = per_symbol.select(F.sha2(line, 256).alias("h"))
     nibble = F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(38,0)")
