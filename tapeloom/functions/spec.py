@@ -100,8 +100,8 @@ class Strategy:
 
     @property
     def complexity(self) -> float:
-        """Share of the tolerated rule count; three rules are free."""
-        rules = len(self.entry_conditions) + len(self.exit.triggers)
+        """Share of the tolerated rule count; three rules are free, the exit is one."""
+        rules = len(self.entry_conditions) + len(self.exit.triggers) + len(self.exit.stop.conditions) + 1
         return max(0.0, min(1.0, (rules - 3) / 10))
 
 

@@ -7,7 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.operators.ordered import exact_median, path_summary, symbol_major_code
+from tapeloom.operators.ordered import (
+    chronological_code,
+    exact_median,
+    path_summary,
+    running,
+    symbol_major_code,
+)
 
 TRADE_ORDER = ["symbol", "signal_idx"]
 
@@ -227,3 +233,27 @@ def event_source_breakdown(sources: DataFrame) -> DataFrame:
     named = plain.where(F.col("label") != "proxy")
     provider = F.nullif(F.regexp_extract("label", r"^(.*?)(\+proxy.*)?$", 1), F.lit(""))
     return named.groupBy(F.coalesce(provider, F.lit("provider")).alias("provider")).agg(F.count("*").alias("symbols"))
+
+
+def equity_series(trades: DataFrame, keys: list[str]) -> DataFrame:
+    """Per trade in exit order: cumulative percent return and drawdown.
+
+    The running sum and the running peak both come from bucketed scans.
+    """
+    done = trades.where(F.col("exit_date").isNotNull()).select(
+        *keys, "symbol", "signal_idx", "exit_date", F.log(F.greatest(1 + F.col("return_pct"), F.lit(1e-300))).alias("step")
+    )
+    order = ["exit_date", "symbol", "signal_idx"]
+    coarse = chronological_code(done, "exit_date")
+    walked = running(
+        done, keys, order, coarse, {"trade_no": F.lit(1), "level": F.col("step")}, peaks={"peak": "level"}
+    )
+    value, top = F.exp("level") * 100, F.exp("peak") * 100
+    return walked.select(
+        *keys,
+        "symbol",
+        "signal_idx",
+        "trade_no",
+        (value - 100).alias("cum_return_pct"),
+        F.coalesce((value - top) / F.nullif(top, F.lit(0.0)) * 100, F.lit(0.0)).alias("drawdown_pct"),
+    )

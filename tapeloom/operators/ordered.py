@@ -78,26 +78,44 @@ def running(
     coarse: Column,
     sums: dict[str, Column],
     *,
+    peaks: dict[str, str] | None = None,
     buckets: int | None = None,
 ) -> DataFrame:
-    """Inclusive running sums over an ordered group of any size."""
+    """Inclusive running sums over an ordered group of any size.
+
+    ``peaks`` adds running maxima of running sums (name -> name of the sum).
+    """
+    peaks = peaks or {}
+    keys = [*group, _BUCKET]
     placed = bucketed(df, group, coarse, buckets)
     for name, expr in sums.items():
         placed = placed.withColumn(f"_v_{name}", expr)
-    keys = [*group, _BUCKET]
-    totals = placed.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = placed
+    if peaks:
+        # a bucket's highest point needs its running sums first
+        for name in sums:
+            local = local.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(inner))
+    totals = local.groupBy(*keys).agg(
+        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
+        *[F.max(f"_l_{src}").alias(f"_h_{n}") for n, src in peaks.items()],
+    )
+    w = _summary_window(group)
     before = totals.select(
+        "*", *[F.coalesce(F.sum(f"_t_{n}").over(w), F.lit(0)).alias(f"_b_{n}") for n in sums]
+    )
+    before = before.select(
         *keys,
-        *[
-            F.coalesce(F.sum(f"_t_{n}").over(_summary_window(group)), F.lit(0)).alias(f"_b_{n}")
-            for n in sums
-        ],
+        *[f"_b_{n}" for n in sums],
+        *[F.max(F.col(f"_b_{src}") + F.col(f"_h_{n}")).over(w).alias(f"_p_{n}") for n, src in peaks.items()],
     )
-    inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = placed.join(before, keys)
+    joined = local.join(before, keys)
     for name in sums:
-        joined = joined.withColumn(name, F.col(f"_b_{name}") + F.sum(f"_v_{name}").over(inner))
-    return joined.drop(_BUCKET, *[f"_{p}_{n}" for p in "vb" for n in sums])
+        part = F.col(f"_l_{name}") if peaks else F.sum(f"_v_{name}").over(inner)
+        joined = joined.withColumn(name, F.col(f"_b_{name}") + part)
+    for name, src in peaks.items():
+        joined = joined.withColumn(name, F.greatest(F.max(src).over(inner), F.col(f"_p_{name}")))
+    return joined.select(*df.columns, *sums, *peaks)
 
 
 def value_ranks(df: DataFrame, group: list[str], value: str, *, buckets: int | None = None) -> DataFrame:

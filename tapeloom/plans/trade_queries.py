@@ -176,7 +176,7 @@ _SNAP = {
 @query(
     "e19_entry_snapshot",
     f"""WITH RECURSIVE {trades_sql(columns=', '.join(f'{v} AS {k}' for k, v in _SNAP.items()), tags=', '.join(_SNAP))}
-    SELECT symbol, signal_idx, {', '.join(f'round({k} + 1e-7, 4) + 0.0 AS {k}' for k in _SNAP)} FROM taken""",
+    SELECT symbol, signal_idx, {', '.join(f'round(round({k}, 4) + 1e-7, 4) + 0.0 AS {k}' for k in _SNAP)} FROM taken""",
 )
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = tr.trades(t.bars(spark, sf_dir), BASE, snapshot=True)
