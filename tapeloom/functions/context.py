@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.runtime import with_row
 from tapeloom.functions.regime import coarse_regime, with_regime
 
 
@@ -34,7 +35,7 @@ def join_index_regime(bars: DataFrame, benchmark: DataFrame, *, by: str = "date"
     numbered = labelled.select((F.row_number().over(w) - 1).alias("_pos"), "regime")
     last = numbered.agg(F.max("_pos").alias("_end"))
     own = Window.partitionBy("symbol").orderBy("date")
-    placed = bars.withColumn("_i", F.row_number().over(own) - 1).crossJoin(F.broadcast(last))
+    placed = with_row(bars.withColumn("_i", F.row_number().over(own) - 1), last)
     placed = placed.withColumn("_pos", F.least("_i", "_end"))
     return placed.join(numbered, "_pos", "left").drop("_pos", "_i", "_end")
 

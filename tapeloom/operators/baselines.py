@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.runtime import with_row
+
 
 def buy_and_hold(bars: DataFrame, trades: DataFrame) -> DataFrame:
     """Mean symbol return, equal-weight curve drawdown and Sharpe, excess return.
@@ -47,7 +49,7 @@ def buy_and_hold(bars: DataFrame, trades: DataFrame) -> DataFrame:
         .alias("benchmark_sharpe"),
     )
     made = trades.agg(F.coalesce(F.sum("return_pct"), F.lit(0.0)).alias("total"))
-    one = held.crossJoin(F.broadcast(shape)).crossJoin(F.broadcast(made))  # single rows
+    one = with_row(with_row(held, shape), made)
     gain = F.col("total") / F.greatest("symbols_used", F.lit(1))
     return one.select(
         "benchmark_return",
@@ -67,7 +69,7 @@ def random_pool(bars: DataFrame, trades: DataFrame) -> DataFrame:
         F.avg("return_pct").alias("strategy_avg"),
     )
     own = Window.partitionBy("symbol").orderBy("date")
-    pos = bars.select("symbol", "close", F.row_number().over(own).alias("i")).crossJoin(F.broadcast(stats))
+    pos = with_row(bars.select("symbol", "close", F.row_number().over(own).alias("i")), stats)
     later = pos.select("symbol", (F.col("i") - F.col("hold")).alias("i"), F.col("close").alias("exit_close"))
     return (
         pos.join(later, ["symbol", "i"])
@@ -84,15 +86,16 @@ def random_baseline(bars: DataFrame, trades: DataFrame, *, sims: int = 100, seed
     draws, only ``sims`` partial sums per task.
     """
     pool = random_pool(bars, trades)
-    size = pool.agg(F.count("*").alias("pool"))
-    rate = F.least(F.col("n"), F.col("pool")) / F.col("pool")
-    rows = pool.crossJoin(F.broadcast(size)).where(F.col("pool") >= 10).withColumn("rate", rate)
+    size = pool.agg(F.count("*").alias("pool"), F.first("n").alias("n"), F.first("strategy_avg").alias("strategy_avg"))
+    rate = F.least("n", "pool") / F.col("pool")
+    limits = size.where(F.col("pool") >= 10).select("strategy_avg", _poisson_limits(rate).alias("cdf"))
+    rows = with_row(pool.select("symbol", "i", "r"), limits)
     drawn = rows.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
     u = F.pmod(F.xxhash64("symbol", "i", "sim", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    weighted = drawn.withColumn("k", _poisson_quantile(u, F.col("rate")))
+    chosen = drawn.withColumn("u", u).where(F.col("u") >= F.get("cdf", F.lit(0)))
+    weighted = chosen.withColumn("k", F.size(F.filter("cdf", lambda limit: limit <= F.col("u"))))
     each = (
-        weighted.where(F.col("k") > 0)
-        .groupBy("sim")
+        weighted.groupBy("sim")
         .agg(
             (F.sum(F.col("k") * F.col("r")) / F.sum("k")).alias("m"),
             F.first("strategy_avg").alias("strategy_avg"),
@@ -110,15 +113,16 @@ def random_baseline(bars: DataFrame, trades: DataFrame, *, sims: int = 100, seed
     )
 
 
-def _poisson_quantile(u: Column, rate: Column, limit: int = 16) -> Column:
-    """Poisson count whose distribution function first exceeds ``u`` (rate <= 1)."""
-    term = F.exp(-rate)
-    below, count = term, F.lit(0)
-    for k in range(1, limit + 1):
-        count = count + (u >= below).cast("int")
-        term = term * rate / k
-        below = below + term
-    return count
+def _poisson_limits(rate: Column, limit: int = 16) -> Column:
+    """Distribution function of a Poisson count at 0, 1, … (rate at most one)."""
+    start = F.struct(F.exp(-rate).alias("term"), F.array(F.exp(-rate)).alias("cdf"))
+
+    def extend(acc: Column, k: Column) -> Column:
+        term = acc["term"] * rate / k
+        total = F.element_at(acc["cdf"], -1) + term
+        return F.struct(term.alias("term"), F.concat(acc["cdf"], F.array(total)).alias("cdf"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(limit)), start, extend, lambda acc: acc["cdf"])
 
 
 def stress_windows(index: DataFrame, *, days: int = 20, top_k: int = 3) -> DataFrame:
@@ -167,7 +171,7 @@ def stress_cases(trades: DataFrame, windows: DataFrame) -> DataFrame:
     """
     packed = windows.agg(F.collect_list(F.struct("window_num", "start_date", "end_date")).alias("ws"))
     left = F.coalesce(F.col("exit_date"), F.col("signal_date"))
-    hits = trades.crossJoin(F.broadcast(packed)).select(
+    hits = with_row(trades, packed).select(
         "return_pct",
         F.explode(
             F.filter("ws", lambda x: (F.col("signal_date") <= x["end_date"]) & (left >= x["start_date"]))

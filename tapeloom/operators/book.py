@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.runtime import with_row
+
 
 def add_weekdays(day: Column, n: Column) -> Column:
     """The n-th weekday after a date; null when n is not positive."""
@@ -96,7 +98,7 @@ def book_summary(
         F.count("*").alias("total_trades"),
         F.avg((F.col("exit_price") > F.col("entry_price")).cast("double")).alias("win_rate"),
     )
-    return stats.crossJoin(F.broadcast(won)).select(  # single rows
+    return with_row(stats, won).select(
         "total_trades",
         "win_rate",
         "max_drawdown",

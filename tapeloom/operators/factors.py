@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.operators.ordered import date_code, running, symbol_code, with_average_rank
+from tapeloom.runtime import with_row
+from tapeloom.operators.ordered import date_code, running, symbol_code, value_ranks, with_average_rank
 
 # Validation thresholds.
 THRESHOLDS = {
@@ -44,10 +45,8 @@ def _complete(obs: DataFrame) -> DataFrame:
 
 def _rank_corr(df: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
     ranked = with_average_rank(with_average_rank(df, group, a, "_ra"), group, b, "_rb")
-    spread = (F.stddev_pop("_ra") > 0) & (F.stddev_pop("_rb") > 0)
-    return ranked.groupBy(*group).agg(
-        F.when(spread, F.corr("_ra", "_rb")).alias("ic"), F.count("*").alias("n")
-    )
+    spread = F.nullif(F.stddev_pop("_ra") * F.stddev_pop("_rb"), F.lit(0.0))
+    return ranked.groupBy(*group).agg((F.covar_pop("_ra", "_rb") / spread).alias("ic"), F.count("*").alias("n"))
 
 
 def daily_ic(obs: DataFrame) -> DataFrame:
@@ -69,7 +68,7 @@ def pooled_ic(obs: DataFrame) -> DataFrame:
     """Pooled rank correlation with the spread of five positional chunks."""
     clean = _complete(obs)
     total = clean.agg(F.count("*").alias("rows"))
-    placed = positions(clean).crossJoin(F.broadcast(total))
+    placed = with_row(positions(clean), total)
     size = F.greatest(F.floor(F.col("rows") / 5), F.lit(10))
     chunked = placed.withColumn("chunk", F.floor(F.col("pos") / size)).where(
         (F.col("chunk") + 1) * size <= F.col("rows")
@@ -80,7 +79,7 @@ def pooled_ic(obs: DataFrame) -> DataFrame:
     )
     whole = _rank_corr(clean.select("f", "r"), [], "f", "r")
     poor = (F.col("n") < 10) | F.col("ic").isNull()
-    return whole.crossJoin(F.broadcast(spread)).select(
+    return with_row(whole, spread).select(
         F.when(poor, 0.0).otherwise(F.col("ic")).alias("ic_mean"),
         F.when(poor, 1.0).otherwise(F.col("chunk_std")).alias("ic_std"),
     )
@@ -96,7 +95,7 @@ def ic_summary(daily: DataFrame, pooled: DataFrame | None = None) -> DataFrame:
     if pooled is None:
         few_m, few_s = F.lit(0.0), F.lit(1.0)
     else:
-        agg = agg.crossJoin(F.broadcast(pooled))  # single rows
+        agg = with_row(agg, pooled)
         few_m, few_s = F.col("ic_mean"), F.col("ic_std")
     enough = F.col("ic_dates") >= 3
     out = agg.select(
@@ -131,7 +130,7 @@ def bucket_win_rate(obs: DataFrame, *, sign: int = 1) -> DataFrame:
     clean = _complete(obs)
     total = clean.agg(F.count("*").alias("rows"))
     size = F.greatest(F.floor(F.col("rows") / 12), F.lit(5))
-    placed = positions(clean).crossJoin(F.broadcast(total)).withColumn("bucket", F.floor(F.col("pos") / size))
+    placed = with_row(positions(clean), total).withColumn("bucket", F.floor(F.col("pos") / size))
     ics = _rank_corr(placed.select("bucket", "f", "r"), ["bucket"], "f", "r")
     ics = ics.where((F.col("n") >= 5) & F.col("ic").isNotNull())
     return ics.agg(
@@ -163,7 +162,7 @@ def half_split_turnover(obs: DataFrame) -> DataFrame:
     """The variant without dates: ranks of the first against the second half."""
     known = obs.where(F.col("f").isNotNull() & ~F.isnan("f"))
     total = known.agg(F.floor(F.count("*") / 2).alias("half"), F.count("*").alias("rows"))
-    placed = positions(known).crossJoin(F.broadcast(total))
+    placed = with_row(positions(known), total)
     part = F.floor(F.col("pos") / F.greatest("half", F.lit(1)))
     halves = placed.withColumn("part", part).where(F.col("part") < 2)
     ranked = with_average_rank(halves, ["part"], "f", "rank")
@@ -194,8 +193,8 @@ def validate(
     """
     daily = daily_ic(obs)
     row = ic_summary(daily, pooled_ic(obs))
-    row = row.crossJoin(F.broadcast(monthly_win_rate(daily, sign=sign).select("monthly_win_rate")))
-    row = row.crossJoin(F.broadcast(turnover(obs).select("turnover")))
+    row = with_row(row, monthly_win_rate(daily, sign=sign).select("monthly_win_rate"))
+    row = with_row(row, turnover(obs).select("turnover"))
     limits = thresholds
     reasons = [
         F.when(F.col("ic_mean") * sign < limits["min_ic_abs"], "ic_mean"),
@@ -205,7 +204,7 @@ def validate(
     ]
     for name, column in (others or {}).items():
         corr = cross_correlation(obs.select(F.col("f").alias("a"), column.alias("b")))
-        row = row.crossJoin(F.broadcast(corr.select(F.col("correlation").alias(f"corr_{name}"))))
+        row = with_row(row, corr.select(F.col("correlation").alias(f"corr_{name}")))
         reasons.append(F.when(F.abs(f"corr_{name}") > limits["max_cross_correlation"], f"correlated_{name}"))
     row = row.withColumn("reasons", F.filter(F.array(*reasons), lambda x: x.isNotNull()))
     return row.withColumn("passed", F.size("reasons") == 0)
@@ -244,3 +243,15 @@ def leak_check(bars: DataFrame, factor: Callable[[DataFrame], DataFrame], name:
     same = F.col("with_future").eqNullSafe(F.col("without_future"))
     near = F.abs(F.col("with_future") - F.col("without_future")) <= 1e-9
     return joined.where(~(same | F.coalesce(near, F.lit(False))))
+
+
+def sector_strength(bars: DataFrame, value: str, *, name: str = "intra_sector_strength_rank_pct") -> DataFrame:
+    """Percent rank (0 = strongest) inside each date and sector, from value counts."""
+    group = ["date", "sector"]
+    ranks = value_ranks(bars, group, value)
+    sizes = bars.groupBy(*group).agg(F.count("*").alias("_n"))
+    # rows strictly above a value = rows in the group minus rows at or below it
+    place = ranks.join(sizes, group).select(
+        *group, value, ((F.col("_n") - F.col("n_upto")) / F.nullif(F.col("_n") - 1, F.lit(0))).alias(name)
+    )
+    return bars.join(place, [*group, value], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))

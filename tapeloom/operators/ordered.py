@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.runtime import bucket_count
+from tapeloom.runtime import bucket_count, with_row
 
 _BUCKET = "_bucket"
 _SYMBOL_SPAN = 1 << 30
@@ -54,7 +54,7 @@ def bucketed(df: DataFrame, group: list[str], coarse: Column, buckets: int | Non
         F.percentile_approx("_coarse", cuts, max(1000, 10 * n)).alias("_cuts")
     )
     # one row per group: Spark broadcasts it when its measured size allows
-    joined = keyed.join(bounds, group) if group else keyed.crossJoin(F.broadcast(bounds))
+    joined = keyed.join(bounds, group) if group else with_row(keyed, bounds)
     joined = joined.withColumn(_BUCKET, F.lit(0))
     width = n // 2
     while width:  # binary search for the number of cuts below the key
@@ -140,7 +140,7 @@ def exact_median(df: DataFrame, group: list[str], value: str, name: str) -> Data
     """Exact median per group from value counts; no group is gathered."""
     ranks = value_ranks(df, group, value)
     totals = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("_n"))
-    joined = ranks.join(totals, group) if group else ranks.crossJoin(F.broadcast(totals))
+    joined = ranks.join(totals, group) if group else with_row(ranks, totals)
     low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
     first = F.col("n_upto") - F.col("n_ties")
 

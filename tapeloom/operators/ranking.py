@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators.metrics import clamp
 from tapeloom.operators.robust import is_overfit
+from tapeloom.runtime import with_row
 
 OBJECTIVES = (
     "confidence",
@@ -220,7 +221,7 @@ def diverse_seeds(ranked: DataFrame, limit: int, *, min_avg_return: float | None
     chosen = picked.unionByName(fill).orderBy("pick").limit(limit)
     # nothing eligible: the first ranks stand in
     none = chosen.agg((F.count("*") == 0).alias("_none"))
-    spare = ranked.crossJoin(F.broadcast(none)).where(F.col("_none") & (F.col("rank") <= limit))
+    spare = with_row(ranked, none).where(F.col("_none") & (F.col("rank") <= limit))
     spare = spare.select(id_col, F.col("rank").cast("int").alias("pick"))
     return ranked.join(chosen.unionByName(spare), id_col)
 

@@ -21,7 +21,7 @@ from tapeloom.functions.spec import Condition, Exit, Stop, Strategy, Target, ent
 from tapeloom.operators.metrics import confidence_score, overall_metrics
 from tapeloom.operators.robust import split_gaps
 from tapeloom.operators.trades import Costs, _atr_name, candidate_exits, entry_flags, one_position
-from tapeloom.runtime import stage
+from tapeloom.runtime import stage, with_row
 
 # Grids of the exit search.
 STOP_GRID = (0.02, 0.03, 0.05, 0.08)
@@ -204,7 +204,7 @@ def param_sensitivity(
     is_base = F.col("candidate_id") == base.id
     top = scored.where(is_base).select(F.col("score").alias("base"), F.col("signal_count").alias("base_n"))
     loss = F.greatest(F.lit(0.0), F.col("base") - F.col("score")) / F.nullif("base", F.lit(0.0))
-    joined = scored.where(~is_base).crossJoin(F.broadcast(top))  # one row
+    joined = with_row(scored.where(~is_base), top)
     usable = (F.max("base") > 0) & (F.max("base_n") >= 30)
     return joined.agg(
         F.when(usable, F.round(F.avg(loss), 4)).otherwise(0.0).alias("param_sensitivity"),

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from tapeloom.plans import bar_queries, metric_queries, trade_queries  # noqa: F401
+from tapeloom.plans import (  # noqa: F401
+    bar_queries,
+    metric_queries,
+    research_queries,
+    trade_queries,
+)
 from tapeloom.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "g13_sector_metrics"

@@ -17,7 +17,7 @@ from tapeloom.plans.registry import query, r, rounded
 from tapeloom.plans.trade_queries import BASE, rich_bars
 from tapeloom.plans.trade_sql import BASE as BASE_SQL
 from tapeloom.plans.trade_sql import RICH, trades_sql
-from tapeloom.runtime import stage
+from tapeloom.runtime import stage, with_row
 from tapeloom.sources.bars import benchmark_from_bars
 
 KEY = ["strategy_id"]
@@ -428,7 +428,7 @@ def exit_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BOOK = f"""{TAKEN},
 bk0 AS (SELECT symbol, signal_idx, signal_date, entry_price, exit_price, holding_days, 10000.0 / entry_price AS shares,
-  CASE WHEN holding_days > 0 THEN list_filter(list_transform(range(1, 2 * holding_days + 4), i -> signal_date + CAST(i AS INT)), d -> isodow(d) <= 5)[holding_days] END AS until FROM tk),
+  CASE WHEN holding_days > 0 THEN list_filter(list_transform(range(1, 2 * holding_days + 4), lambda i: signal_date + CAST(i AS INT)), lambda d: isodow(d) <= 5)[holding_days] END AS until FROM tk),
 ds AS (SELECT DISTINCT signal_date AS d FROM bk0),
 op AS (SELECT d, count(b.symbol) AS n, coalesce(sum(shares * (CASE WHEN holding_days <= 0 OR d <= signal_date THEN entry_price
    ELSE entry_price + least(1.0, (d - signal_date) / greatest(1, holding_days)) * (exit_price - entry_price) END) - 10000), 0) AS fl
@@ -548,7 +548,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     "b12_i07_ranked_candidates",
     f"""{_SCORES} SELECT candidate_id, rank, NOT failed AS passed_gate,
     array_to_string(list_filter([CASE WHEN win_rate < 0.44 THEN 'win_rate<44.0%' END, CASE WHEN max_drawdown > 0.9999 THEN 'max_drawdown>100.0%' END,
-      CASE WHEN signal_count < 3500 THEN 'signals<3500' END, CASE WHEN over THEN 'overfit_detected' END], x -> x IS NOT NULL), ';') AS gate_reasons FROM rk""",
+      CASE WHEN signal_count < 3500 THEN 'signals<3500' END, CASE WHEN over THEN 'overfit_detected' END], lambda x: x IS NOT NULL), ';') AS gate_reasons FROM rk""",
 )
 def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = ranked(spark, sf_dir)
@@ -611,7 +611,7 @@ def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = evals.where("candidate_id = 'c01'").select(
         F.col("signal_count").alias("base_signals"), F.col("confidence_score").alias("base_score")
     )
-    both = evals.crossJoin(F.broadcast(base)).withColumn("pool", F.lit("all"))  # one row
+    both = with_row(evals, base).withColumn("pool", F.lit("all"))
     return rounded(ranking.screened_pick(both, ["pool"]))
 
 
@@ -622,7 +622,7 @@ def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN signal_count < 30 THEN 'insufficient_evidence' WHEN win_rate >= 0.52 AND (avg_return <= 0 OR profit_loss_ratio < 1.2) THEN 'optimize_exits'
       WHEN over THEN 'simplify_structure' WHEN win_rate < 0.45 OR avg_return < 0 THEN 'revise_entry' ELSE 'continue_validation' END AS advice,
     array_to_string(list_filter([CASE WHEN signal_count < 25 THEN 'low_signals' END, CASE WHEN win_rate < 0.45 THEN 'low_win_rate' END, CASE WHEN max_drawdown > 0.20 THEN 'high_drawdown' END,
-      CASE WHEN profit_loss_ratio < 1.5 AND win_rate >= 0.45 THEN 'low_pl_ratio' END, CASE WHEN train_val_gap > 0.10 THEN 'overfit' END], x -> x IS NOT NULL), ';') AS problems FROM sc""",
+      CASE WHEN profit_loss_ratio < 1.5 AND win_rate >= 0.45 THEN 'low_pl_ratio' END, CASE WHEN train_val_gap > 0.10 THEN 'overfit' END], lambda x: x IS NOT NULL), ';') AS problems FROM sc""",
 )
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     evals = evaluations(spark, sf_dir).withColumn("walk_forward_gap", F.lit(None).cast("double"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.runtime import with_row
 from tapeloom.sources.bars import bars_from_ticks, benchmark_from_bars
 
 TICK_ORDER = ["k1", "k2", "k3", "price", "size"]
@@ -62,7 +63,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as news: whole texts, spread over the symbols and one year of dates."""
     docs = table(spark, sf_dir, "documents")
     size = table(spark, sf_dir, "supplier").agg(F.count("*").alias("_n"))
-    return docs.crossJoin(F.broadcast(size)).select(
+    return with_row(docs, size).select(
         F.pmod("doc_id", "_n").alias("symbol"),
         F.date_add(F.lit("1998-01-01").cast("date"), F.pmod(F.col("doc_id"), F.lit(365)).cast("int")).alias("date"),
         F.col("source").alias("title"),

@@ -53,6 +53,16 @@ def bucket_count(df: DataFrame) -> int:
     return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row frame (a global aggregate) to every row.
+
+    Planned as a scalar subquery, so nothing is joined and a second row is an
+    error.
+    """
+    packed = row.select(F.struct("*")).scalar()
+    return df.withColumn("_row", packed).select("*", "_row.*").drop("_row")
+
+
 def small_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A driver-built table (specs, grids, keyword lists), sized by its list."""
     return spark.createDataFrame(rows, schema)
