@@ -1,7 +1,7 @@
 """Factor observations and their rank statistics.
 
-Cross-sections are ranked through value counts (see :mod:`ordered`), so neither
-a date nor the pooled table is ever sorted in one task.
+A cross-section or pooled table too large for one task is ranked through value
+counts (see :mod:`ordered`).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.runtime import with_row
-from tapeloom.operators.ordered import date_code, running, symbol_code, value_ranks, with_average_rank
+from tapeloom.operators.ordered import date_code, running, symbol_code, value_ranks, with_average_ranks
 
 # Validation thresholds.
 THRESHOLDS = {
@@ -44,7 +44,7 @@ def _complete(obs: DataFrame) -> DataFrame:
 
 
 def _rank_corr(df: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
-    ranked = with_average_rank(with_average_rank(df, group, a, "_ra"), group, b, "_rb")
+    ranked = with_average_ranks(df, group, {a: "_ra", b: "_rb"})
     spread = F.nullif(F.stddev_pop("_ra") * F.stddev_pop("_rb"), F.lit(0.0))
     return ranked.groupBy(*group).agg((F.covar_pop("_ra", "_rb") / spread).alias("ic"), F.count("*").alias("n"))
 
@@ -145,7 +145,7 @@ def turnover(obs: DataFrame) -> DataFrame:
     sizes = known.groupBy("date").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_CROSS_SECTION)
     # one row per calendar day
     days = sizes.select("date", F.row_number().over(Window.orderBy("date")).alias("day_no"))
-    ranked = with_average_rank(known, ["date"], "f", "rank").join(days, "date")
+    ranked = with_average_ranks(known, ["date"], {"f": "rank"}).join(days, "date")
     slim = ranked.select("symbol", "day_no", "rank")
     before = slim.select("symbol", (F.col("day_no") + 1).alias("day_no"), F.col("rank").alias("rank_before"))
     pairs = slim.join(before, ["symbol", "day_no"]).groupBy("day_no").agg(
@@ -165,7 +165,7 @@ def half_split_turnover(obs: DataFrame) -> DataFrame:
     placed = with_row(positions(known), total)
     part = F.floor(F.col("pos") / F.greatest("half", F.lit(1)))
     halves = placed.withColumn("part", part).where(F.col("part") < 2)
-    ranked = with_average_rank(halves, ["part"], "f", "rank")
+    ranked = with_average_ranks(halves, ["part"], {"f": "rank"})
     first = ranked.where("part = 0").select("pos", F.col("rank").alias("r1"), "half", "rows")
     second = ranked.where("part = 1").select((F.col("pos") - F.col("half")).alias("pos"), F.col("rank").alias("r2"))
     return first.join(second, "pos").agg(

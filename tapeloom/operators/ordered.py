@@ -1,7 +1,8 @@
 """Ordered computations over groups too large for one task.
 
-A window over a whole strategy, date or sector would put the group in one task.
-Here a group is cut into value-ordered buckets first (bounds from a mergeable
+A window over a whole strategy, date or sector puts the group in one task.  That
+is used only after a count proves every group small (``groups_fit``).  Otherwise
+a group is cut into value-ordered buckets first (bounds from a mergeable
 quantile sketch).  Buckets are summarised in parallel, only the short list of
 bucket summaries is ordered per group, and every row is finished inside its own
 bucket.  Bucket choice is a monotone function of the order key, so equal keys
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.runtime import bucket_count, with_row
+from tapeloom.runtime import bucket_count, groups_fit, with_row
 
 _BUCKET = "_bucket"
 _SYMBOL_SPAN = 1 << 30
@@ -80,12 +81,18 @@ def running(
     *,
     peaks: dict[str, str] | None = None,
     buckets: int | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Inclusive running sums over an ordered group of any size.
 
     ``peaks`` adds running maxima of running sums (name -> name of the sum).
+    ``fits`` passes on an earlier size check.
     """
     peaks = peaks or {}
+    if groups_fit(df, group) if fits is None else fits:
+        whole = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        summed = df.select("*", *[F.sum(expr).over(whole).alias(n) for n, expr in sums.items()])
+        return summed.select("*", *[F.max(src).over(whole).alias(n) for n, src in peaks.items()])
     keys = [*group, _BUCKET]
     placed = bucketed(df, group, coarse, buckets)
     for name, expr in sums.items():
@@ -118,27 +125,40 @@ def running(
     return joined.select(*df.columns, *sums, *peaks)
 
 
-def value_ranks(df: DataFrame, group: list[str], value: str, *, buckets: int | None = None) -> DataFrame:
+def value_ranks(df: DataFrame, group: list[str], value: str, *, fits: bool | None = None) -> DataFrame:
     """Per distinct value: its count, rows at or below it, and the average-tie rank."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n_ties"))
+    fits = groups_fit(df, group) if fits is None else fits
     scanned = running(
-        counts, group, [F.col(value)], F.col(value), {"n_upto": F.col("n_ties")}, buckets=buckets
+        counts, group, [F.col(value)], F.col(value), {"n_upto": F.col("n_ties")}, fits=fits
     )
     rank = F.col("n_upto") - F.col("n_ties") + (F.col("n_ties") + 1) / 2
     return scanned.withColumn("avg_rank", rank)
 
 
-def with_average_rank(
-    df: DataFrame, group: list[str], value: str, name: str, *, buckets: int | None = None
-) -> DataFrame:
-    """Average-tie rank of each row's value in its group (null value: no row)."""
-    ranks = value_ranks(df, group, value, buckets=buckets)
-    return df.join(ranks.select(*group, value, F.col("avg_rank").alias(name)), [*group, value])
+def with_average_ranks(df: DataFrame, group: list[str], names: dict[str, str]) -> DataFrame:
+    """Average-tie rank of each value column (``names``: value -> rank) in its group.
+
+    Rows with a null value are dropped.
+    """
+    known = df.dropna(subset=list(names))
+    if groups_fit(df, group):
+        for value, name in names.items():
+            w = Window.partitionBy(*group).orderBy(value)
+            upto = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, 0))
+            known = known.withColumn(name, (F.rank().over(w) + upto) / 2)
+        return known
+    for value, name in names.items():
+        ranks = value_ranks(known, group, value, fits=False)
+        known = known.join(ranks.select(*group, value, F.col("avg_rank").alias(name)), [*group, value])
+    return known
 
 
 def exact_median(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
-    """Exact median per group from value counts; no group is gathered."""
-    ranks = value_ranks(df, group, value)
+    """Exact median per group; large groups use value counts instead of a list."""
+    if groups_fit(df, group):
+        return df.groupBy(*group).agg(F.median(value).alias(name))
+    ranks = value_ranks(df, group, value, fits=False)
     totals = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("_n"))
     joined = ranks.join(totals, group) if group else with_row(ranks, totals)
     low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
@@ -169,7 +189,9 @@ def path_summary(
     """
     keys = [*group, _BUCKET]
     step = F.log(F.greatest(1 + F.col(ret), F.lit(1e-300)))
-    placed = bucketed(df, group, coarse, buckets).select(
+    fits = groups_fit(df, group)
+    base = df.withColumn(_BUCKET, F.lit(0)) if fits else bucketed(df, group, coarse, buckets)
+    placed = base.select(
         *keys, step.alias("_step"), (F.col(ret) > 0).alias("_win"), *_order_cols(order, keys)
     )
     inner = Window.partitionBy(*keys).orderBy(*_order_names(order))

@@ -9,6 +9,7 @@ time.  All of it runs on a single partitioning by symbol.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,101 +160,115 @@ def _entry_fill(df: DataFrame, strategy: Strategy, costs: Costs) -> DataFrame:
     return df.withColumn("entry_price", F.col("_raw") * (1 + slip))
 
 
-def _rules(strategy: Strategy, columns: list[str], look: Column, s: Column, at: Column, price: Column):
-    """Stop and target of one look-ahead bar ``b``: (hit, price) for each."""
+def _levels(df: DataFrame, strategy: Strategy) -> DataFrame:
+    """Stop and target prices that do not depend on the bar looked at.
+
+    They are plain columns, so the look-ahead only compares against them.
+    """
+    st, tp = strategy.exit.stop, strategy.exit.target
+    at, price = F.col("_at"), F.col("entry_price")
+    none = F.lit(None).cast("double")
+    stop = none
+    ref = (st.reference or "").strip()
+    if st.type == "pct" and st.value is not None:
+        stop = price * (1 - value(st.value))
+    elif st.type == "price_level" and st.value is not None:
+        stop = value(st.value)
+    elif st.type == "price_level" and ref in ("entry", "entry_price"):
+        stop = price
+    elif st.type == "price_level" and ref in ("signal_low", "entry_low"):
+        stop = at["low"]
+    elif st.type == "price_level" and ref in ("signal_close", "entry_close"):
+        stop = at["close"]
+    risk = price * 0.05
+    if st.type in ("pct", "pct_from_low") and st.value is not None:
+        risk = F.abs(price * value(st.value))
+    goal = none
+    if tp.type == "pct" and tp.value is not None:
+        goal = price * (1 + value(tp.value))
+    elif tp.type == "rr" and tp.value is not None and st.type != "atr":
+        goal = price + risk * value(tp.value)
+    return df.withColumns({"_stop_at": stop, "_goal_at": goal})
+
+
+def _rules(strategy: Strategy, columns: list[str]):
+    """Stop and target of one look-ahead bar ``b``: (hit, price) for each, or None."""
     ex = strategy.exit
-    entry_idx = at["idx"]
-    highs = F.transform(look, lambda b: b["high"])
+    st, tp = ex.stop, ex.target
+    look, s, at, price = F.col("_look"), F.col("idx"), F.col("_at"), F.col("entry_price")
 
     def peak(b: Column, first: Column) -> Column:
-        span = b["idx"] - first + 1
-        return F.array_max(F.slice(highs, first - s, span))
+        highs = F.slice(F.transform(look, lambda x: x["high"]), first - s, b["idx"] - first + 1)
+        return F.array_max(highs)
 
-    def stop(b: Column) -> tuple[Column, Column]:
-        st = ex.stop
-        if st.type == "pct" and st.value is not None:
-            level = price * (1 - value(st.value))
-            return b["low"] <= level, level
+    def stop(b: Column) -> tuple[Column, Column] | None:
+        ref = (st.reference or "").strip()
         if st.type == "atr":
             level = price - b["atr"] * value(st.multiplier or 2.0)
             return b["low"] <= level, level
         if st.type == "pct_from_low" and st.value is not None:
-            top = peak(b, F.least(entry_idx + 1, b["idx"]))
+            top = peak(b, F.least(at["idx"] + 1, b["idx"]))
             fall = (b["low"] - top) / F.nullif(top, F.lit(0.0))
             return (top > 0) & (fall <= -value(st.value)), top * (1 - value(st.value))
-        if st.type == "price_level":
-            ref = (st.reference or "").strip()
-            if st.value is not None:
-                level = value(st.value)
-            elif ref in ("entry", "entry_price"):
-                level = price
-            elif ref in ("signal_low", "entry_low"):
-                level = at["low"]
-            elif ref in ("signal_close", "entry_close"):
-                level = at["close"]
-            elif ref and ref in columns:
-                level = b["level"]
-            else:
-                return F.lit(False), F.lit(None).cast("double")
-            return b["low"] <= level, level
         if st.type == "composite" and st.conditions:
             return b["stop_signal"], b["close"]
-        return F.lit(False), F.lit(None).cast("double")
-
-    def risk(b: Column) -> Column:
-        st = ex.stop
-        if st.type in ("pct", "pct_from_low") and st.value is not None:
-            return F.abs(price * value(st.value))
-        if st.type == "atr":
-            return b["atr"] * value(st.multiplier or 2.0)
-        return price * 0.05
-
-    def target(b: Column) -> tuple[Column, Column]:
-        tp = ex.target
-        if tp.type == "rr" and tp.value is not None:
-            goal = price + risk(b) * value(tp.value)
-            return b["high"] >= goal, goal
-        if tp.type == "pct" and tp.value is not None:
-            goal = price * (1 + value(tp.value))
+        fixed = ("entry", "entry_price", "signal_low", "entry_low", "signal_close", "entry_close")
+        if st.type == "price_level" and st.value is None and ref not in fixed:
+            return (b["low"] <= b["level"], b["level"]) if ref and ref in columns else None
+        if st.type == "price_level" or (st.type == "pct" and st.value is not None):
+            return b["low"] <= F.col("_stop_at"), F.col("_stop_at")
+        return None
+
+    def target(b: Column) -> tuple[Column, Column] | None:
+        if tp.type == "rr" and tp.value is not None and st.type == "atr":
+            goal = price + b["atr"] * value(st.multiplier or 2.0) * value(tp.value)
             return b["high"] >= goal, goal
+        if tp.type in ("rr", "pct") and tp.value is not None:
+            return b["high"] >= F.col("_goal_at"), F.col("_goal_at")
         if tp.type == "target_ma" and tp.target:
             return b["high"] >= b["goal"], b["goal"]
         if tp.type == "trailing":
             arm, trail = value(tp.trigger_pct or 0.08), value(tp.trail_pct or 0.04)
-            top = peak(b, F.greatest(entry_idx, s + 1))
+            top = peak(b, F.greatest(at["idx"], s + 1))
             if strategy.entry.timing == "close":
                 top = F.greatest(top, F.col("high"))
             armed = (top - price) / price >= arm
             return armed & ((top - b["low"]) / top >= trail), top * (1 - trail)
-        return F.lit(False), F.lit(None).cast("double")
+        return None
 
     return stop, target
 
 
 def candidate_exits(flags: DataFrame, strategy: Strategy, costs: Costs, candidates: Column | None = None) -> DataFrame:
     """The exit each flagged bar would have, one row per (candidate and) bar."""
-    ex, policy = strategy.exit, costs.policy
+    ex, rules, policy = strategy.exit, strategy.market_rules, costs.policy
     df = _entry_fill(_bar_struct(flags, strategy), strategy, costs)
-    reach = _horizon(ex) + (0 if strategy.entry.timing == "close" else 1)
-    df = df.withColumn("_look", F.collect_list("_bar").over(_window().rowsBetween(1, reach)))
-    df = df.where(F.col("entry"))
+    ahead = 0 if strategy.entry.timing == "close" else 1
+    frame = _window().rowsBetween(1, _horizon(ex) + ahead)
+    df = df.withColumn("_look", F.collect_list("_bar").over(frame)).where(F.col("entry"))
     if candidates is not None:
         df = df.withColumn("_c", F.explode(candidates))
+    df = _levels(df, strategy)
 
     look, s, at, price = F.col("_look"), F.col("idx"), F.col("_at"), F.col("entry_price")
-    stop, target = _rules(strategy, flags.columns, look, s, at, price)
+    stop, target = _rules(strategy, flags.columns)
     limit = value(ex.max_holding_days).cast("int")
-    t1 = F.lit(strategy.market_rules.t_plus_1)
 
     def checked(b: Column) -> Column:
-        open_bar = b["sell"] & (~t1 | (b["idx"] > at["idx"])) & (b["idx"] - at["idx"] < limit)
-        fired = F.coalesce(stop(b)[0], F.lit(False)) | F.coalesce(target(b)[0], F.lit(False))
-        return open_bar & (fired | b["trigger"] if ex.triggers else fired)
-
-    df = df.withColumn("_hit", F.get(F.filter(look, checked), F.lit(0)))
+        fired = [rule[0] for rule in (stop(b), target(b)) if rule is not None]
+        fired += [b["trigger"]] if ex.triggers else []
+        hit = reduce(lambda x, y: x | y, fired) if fired else F.lit(False)
+        if rules.limit_up_down or rules.suspension:
+            hit = b["sell"] & hit
+        return (b["idx"] > at["idx"]) & hit if rules.t_plus_1 else hit
+
+    # bars that may stop a trade: from the next bar up to the holding limit
+    in_reach = F.slice(look, F.lit(1), at["idx"] - s + limit - 1) if ahead else F.slice(look, F.lit(1), limit - 1)
+    df = df.withColumn("_hit", F.get(F.filter(in_reach, checked), F.lit(0)))
     hit = F.col("_hit")
-    stopped, stop_price = stop(hit)
-    reached, goal_price = target(hit)
+    nothing = (F.lit(False), F.lit(None).cast("double"))
+    stopped, stop_price = stop(hit) or nothing
+    reached, goal_price = target(hit) or nothing
     stopped, reached = F.coalesce(stopped, F.lit(False)), F.coalesce(reached, F.lit(False))
     if policy == "optimistic":
         prefer_target = F.lit(True)
@@ -323,9 +338,9 @@ def one_position(exits: DataFrame, keys: list[str]) -> DataFrame:
     ordered = ["signal_idx", *[c for c in fields if c not in ("signal_idx", "indicator_snapshot")]]
     snap = ["indicator_snapshot"] if "indicator_snapshot" in fields else []
     grouped = exits.groupBy(*keys).agg(F.collect_list(F.struct(*ordered, *snap)).alias("_t"))
-    sorted_trades = F.array_sort(
-        "_t", lambda a, b: F.when(a["signal_idx"] < b["signal_idx"], -1).otherwise(1)
-    )
+    # structs order by their first field; maps cannot be ordered, so they need a comparator
+    by_start = (lambda a, b: F.when(a["signal_idx"] < b["signal_idx"], -1).otherwise(1)) if snap else None
+    sorted_trades = F.array_sort("_t", by_start)
     start = F.struct(F.lit(-1).alias("until"), F.array().cast("array<int>").alias("kept"))
 
     def step(acc: Column, t: Column) -> Column:

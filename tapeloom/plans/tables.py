@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.runtime import with_row
 from tapeloom.sources.bars import bars_from_ticks, benchmark_from_bars
 
-TICK_ORDER = ["k1", "k2", "k3", "price", "size"]
+TICK_ORDER = ["seq"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.floor((100 + 5 * F.ln(F.col("l_extendedprice") / F.col("l_quantity"))) * 10000 + 0.5) / 10000
-    return table(spark, sf_dir, "lineitem").select(
+    base = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("symbol"),
         F.to_date("l_shipdate").alias("date"),
         price.alias("price"),
@@ -26,6 +28,11 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("k2"),
         F.col("l_partkey").alias("k3"),
     )
+    # (order, line, part, price) as one number: line numbers have one digit,
+    # prices seven, part keys up to eleven
+    head = (F.col("k1") * 10 + F.col("k2")).cast("decimal(19,0)") * F.lit(Decimal(10**18)).cast("decimal(19,0)")
+    tail = F.col("k3") * 10_000_000 + (F.col("price") * 10000 + 0.5).cast("long")
+    return base.withColumn("seq", (head + tail.cast("decimal(19,0)")).cast("decimal(38,0)"))
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:

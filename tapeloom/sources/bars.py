@@ -231,8 +231,14 @@ def lookback_start(start: date, lookback: int) -> date:
 
 
 def bars_from_ticks(ticks: DataFrame, order: list[str]) -> DataFrame:
-    """Daily bars from ticks(symbol, date, price, size); ``order`` ranks a day's ticks."""
-    key = F.struct(*order)
+    """Daily bars from ticks(symbol, date, price, size); ``order`` ranks a day's ticks.
+
+    Ticks are combined per day before the shuffle, so a busy symbol costs no
+    more than its days.  A single fixed-width order column keeps this a hash
+    aggregation; several columns form a struct, which Spark aggregates by
+    sorting.
+    """
+    key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     daily = ticks.groupBy("symbol", "date").agg(
         F.min_by("price", key).alias("open"),
         F.max("price").alias("high"),
