@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.runtime import with_row
-from tapeloom.operators.ordered import date_code, running, symbol_code, value_ranks, with_average_ranks
+from tapeloom.operators.ordered import chronological_code, running, value_ranks, with_average_ranks
 
 # Validation thresholds.
 THRESHOLDS = {
@@ -60,8 +60,8 @@ def daily_ic(obs: DataFrame) -> DataFrame:
 
 def positions(obs: DataFrame) -> DataFrame:
     """Number the rows by (date, symbol) without one global sort."""
-    coarse = date_code("date") * F.lit(float(1 << 30)) + symbol_code(obs)
-    return running(obs, [], ["date", "symbol"], coarse, {"pos": F.lit(1)}).withColumn("pos", F.col("pos") - 1)
+    order = ["date", "symbol"]
+    return running(obs, [], order, chronological_code(obs, "date"), {"pos": F.lit(1)}).withColumn("pos", F.col("pos") - 1)
 
 
 def pooled_ic(obs: DataFrame) -> DataFrame:

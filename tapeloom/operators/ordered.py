@@ -11,6 +11,9 @@ never straddle a border and results do not depend on the number of buckets.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from os.path import commonprefix
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,39 +21,60 @@ from pyspark.sql import types as T
 from tapeloom.runtime import bucket_count, groups_fit, with_row
 
 _BUCKET = "_bucket"
-_SYMBOL_SPAN = 1 << 30
+_DATE_SPAN = 1 << 36
+
+# A coarse key only has to grow with the order, so it may be computed lazily and
+# only where buckets are needed.
+Coarse = Column | Callable[[], Column]
 
 
-def symbol_code(df: DataFrame, col: str = "symbol") -> Column:
-    """Number in [0, 2^30) that never decreases when the symbol grows."""
-    kind = df.schema[col].dataType
-    if isinstance(kind, T.NumericType):
-        return F.least(F.greatest(F.col(col).cast("long"), F.lit(0)), F.lit(_SYMBOL_SPAN - 1))
-    lead = F.conv(F.hex(F.substring(F.encode(F.col(col), "UTF-8"), 1, 4)), 16, 10).cast("long")
-    width = F.least(F.octet_length(F.col(col)), F.lit(4))
-    return F.coalesce((lead * F.pow(F.lit(256.0), 4 - width) / 4).cast("long"), F.lit(0))
+def symbol_code(df: DataFrame, size: int, col: str = "symbol") -> Column:
+    """Whole number in [0, 256^size) that never decreases when the symbol grows.
+
+    Text is read from its first byte that differs between the smallest and the
+    largest symbol, since everything between them shares what comes before.
+    """
+    if isinstance(df.schema[col].dataType, T.NumericType):
+        top = F.lit(256**size - 1)
+        return F.least(F.greatest(F.floor(F.col(col)).cast("long"), F.lit(0)), top)
+    low, high = df.agg(F.min(col), F.max(col)).first()
+    shared = len(commonprefix([(low or "").encode(), (high or "").encode()]))
+    piece = F.substring(F.encode(F.col(col), "UTF-8"), shared + 1, size)
+    number = F.coalesce(F.conv(F.hex(piece), 16, 10).cast("double"), F.lit(0.0))
+    return number * F.pow(F.lit(256.0), size - F.octet_length(piece))
 
 
 def date_code(col: str) -> Column:
     return F.datediff(F.col(col), F.lit("1900-01-01").cast("date"))
 
 
-def chronological_code(df: DataFrame, date: str = "signal_date") -> Column:
+def chronological_code(df: DataFrame, date: str = "signal_date") -> Coarse:
     """Coarse key of the order (date, symbol, …)."""
-    return date_code(date) * F.lit(float(_SYMBOL_SPAN)) + symbol_code(df)
+    return lambda: date_code(date) * F.lit(float(_DATE_SPAN)) + symbol_code(df, 4)
+
+
+def symbol_major_code(df: DataFrame, idx: str = "signal_idx") -> Coarse:
+    """Coarse key of the order (symbol, bar position, …).
+
+    The position may only count where the symbol part is unique.
+    """
 
+    def code() -> Column:
+        if not isinstance(df.schema["symbol"].dataType, T.IntegralType):
+            return symbol_code(df, 6)
+        place = F.least(F.col(idx).cast("long"), F.lit((1 << 20) - 1))
+        unique = (F.col("symbol") >= 0) & (F.col("symbol") < (1 << 32) - 1)
+        return symbol_code(df, 4) * F.lit(float(1 << 20)) + F.when(unique, place).otherwise(0)
 
-def symbol_major_code(df: DataFrame, idx: str = "signal_idx") -> Column:
-    """Coarse key of the order (symbol, bar position, …)."""
-    spread = F.least(F.col(idx).cast("long"), F.lit((1 << 20) - 1))
-    return symbol_code(df) * F.lit(float(1 << 20)) + spread
+    return code
 
 
-def bucketed(df: DataFrame, group: list[str], coarse: Column, buckets: int | None = None) -> DataFrame:
+def bucketed(df: DataFrame, group: list[str], coarse: Coarse, buckets: int | None = None) -> DataFrame:
     """Add the ordered bucket number of each row within its group."""
     n = 1 << ((buckets or bucket_count(df)) - 1).bit_length()
     cuts = [i / n for i in range(1, n)]
-    keyed = df.withColumn("_coarse", coarse.cast("double"))
+    key = coarse if isinstance(coarse, Column) else coarse()
+    keyed = df.withColumn("_coarse", key.cast("double"))
     bounds = keyed.groupBy(*group).agg(
         F.percentile_approx("_coarse", cuts, max(1000, 10 * n)).alias("_cuts")
     )
@@ -76,7 +100,7 @@ def running(
     df: DataFrame,
     group: list[str],
     order: list[str | Column],
-    coarse: Column,
+    coarse: Coarse,
     sums: dict[str, Column],
     *,
     peaks: dict[str, str] | None = None,
@@ -175,7 +199,7 @@ def path_summary(
     df: DataFrame,
     group: list[str],
     order: list[str | Column],
-    coarse: Column,
+    coarse: Coarse,
     ret: str,
     *,
     buckets: int | None = None,

@@ -128,11 +128,15 @@ def _template(s: Strategy, fixed: dict[int, Number], pick: Callable[[int], Colum
 
 
 def prepare(bars: DataFrame, strategies: list[Strategy]) -> DataFrame:
-    """Bars with the union of all indicators, computed once and staged."""
+    """Bars with the union of all indicators, computed once.
+
+    They are staged when several plans will read them.
+    """
     names: list[str] = []
     for s in strategies:
         names += s.indicators + ([_atr_name(s.exit)] if s.exit.stop.type == "atr" else [])
-    return stage(with_indicators(bars, sorted(set(names))))
+    ready = with_indicators(bars, sorted(set(names)))
+    return stage(ready) if len({_shape(s) for s in strategies}) > 1 else ready
 
 
 def sweep_trades(bars: DataFrame, candidates: list[Candidate], costs: Costs = Costs()) -> DataFrame:
