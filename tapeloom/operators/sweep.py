@@ -19,7 +19,16 @@ from pyspark.sql import functions as F
 from tapeloom.functions.indicators import with_indicators
 from tapeloom.functions.spec import Condition, Exit, Stop, Strategy, Target, entry_column
 from tapeloom.operators.metrics import confidence_score, overall_metrics
-from tapeloom.operators.robust import split_gaps
+from tapeloom.operators.robust import (
+    cpcv,
+    cpcv_paths,
+    numbered,
+    regime_holdout,
+    regime_holdout_summary,
+    split_gaps,
+    walk_forward,
+    walk_forward_summary,
+)
 from tapeloom.operators.trades import Costs, _atr_name, candidate_exits, entry_flags, one_position
 from tapeloom.runtime import stage, with_row
 
@@ -179,10 +188,12 @@ def roster(candidates: list[Candidate], spark_df: DataFrame) -> DataFrame:
     return spark_df.sparkSession.createDataFrame(rows, "candidate_id string, complexity double, changes string")
 
 
-def fast_report(trades: DataFrame, names: DataFrame, key: str = "candidate_id") -> DataFrame:
+def fast_report(
+    trades: DataFrame, names: DataFrame, key: str = "candidate_id", *, order: DataFrame | None = None
+) -> DataFrame:
     """Metrics, split gaps and confidence of each candidate, zeros without trades."""
     metrics = overall_metrics(trades, [key], names)
-    gaps = split_gaps(trades, [key])
+    gaps = split_gaps(trades, [key], order)
     neutral = {
         "train_win_rate": 0.0,
         "val_win_rate": 0.0,
@@ -196,6 +207,22 @@ def fast_report(trades: DataFrame, names: DataFrame, key: str = "candidate_id")
     return joined.withColumn("confidence_score", confidence_score(F.col("complexity")))
 
 
+def full_report(trades: DataFrame, names: DataFrame, key: str = "candidate_id", *, pass_gap: float = 0.10) -> DataFrame:
+    """The fast report with fold, regime-holdout and purged-path diagnostics.
+
+    The trades are numbered by date once; all chronological parts read that.
+    """
+    keys = [key]
+    order = stage(numbered(trades, keys))
+    report = fast_report(trades, names, key, order=order)
+    folds = walk_forward_summary(walk_forward(trades, keys, order=order), keys, pass_gap)
+    held = regime_holdout_summary(regime_holdout(trades, keys), keys, pass_gap)
+    paths = cpcv(cpcv_paths(trades, keys, order=order), keys)
+    for part in (folds, held.withColumnsRenamed({"pass_rate": "holdout_pass_rate", "worst_gap": "holdout_worst_gap"}), paths):
+        report = report.join(part, key, "left")
+    return report
+
+
 def param_sensitivity(
     bars: DataFrame, strategy: Strategy, variants: list[Candidate], costs: Costs = Costs()
 ) -> DataFrame:

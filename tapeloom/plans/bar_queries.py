@@ -546,7 +546,7 @@ def yahoo_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a03_a04_normalise_renamed",
-    f"{BARS} SELECT symbol, date, open, high, low, close, 0.0 AS volume, prev_close FROM bars",
+    f"{BARS} SELECT symbol, date, open, high, low, close, CAST(0 AS DOUBLE) AS volume, prev_close FROM bars",
 )
 def renamed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = t.bars(spark, sf_dir).drop("prev_close", "volume")

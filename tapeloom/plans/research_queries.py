@@ -880,7 +880,7 @@ def snapshot_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.read_snapshot(spark, path).select("symbol", "date", "open", "high", "low", "close", "volume")
 
 
-@query("g25_family_and_complexity", f"{EV} SELECT DISTINCT strategy_id, regexp_replace(strategy_id, '_v[0-9]+$', '') AS family, {BASE.complexity} AS complexity FROM evs")
+@query("g25_family_and_complexity", f"{EV} SELECT DISTINCT strategy_id, regexp_replace(strategy_id, '_v[0-9]+$', '') AS family, CAST({BASE.complexity} AS DOUBLE) AS complexity FROM evs")
 def family_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     evals = evaluation_log(spark, sf_dir).select("strategy_id").distinct()
     return evals.select(

@@ -79,13 +79,3 @@ def groups_fit(df: DataFrame, group: list[str]) -> bool:
     counts = df.groupBy(*group).count() if group else df.agg(F.count("*").alias("count"))
     largest = counts.agg(F.max("count")).first()[0]
     return (largest or 0) <= limit
-
-
-def small_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A driver-built table (specs, grids, keyword lists), sized by its list."""
-    return spark.createDataFrame(rows, schema)
-
-
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
-    """Broadcast a side whose row count is known and below ``limit``."""
-    return F.broadcast(df) if rows <= limit else df
