@@ -14,6 +14,7 @@ from tapeloom.operators.ordered import (
     running,
     symbol_major_code,
 )
+from tapeloom.runtime import groups_fit
 
 TRADE_ORDER = ["symbol", "signal_idx"]
 
@@ -77,14 +78,14 @@ def basic_metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def median_return(trades: DataFrame, keys: list[str]) -> DataFrame:
-    med = exact_median(trades, keys, "return_pct", "median_return")
+def median_return(trades: DataFrame, keys: list[str], *, fits: bool | None = None) -> DataFrame:
+    med = exact_median(trades, keys, "return_pct", "median_return", fits=fits)
     return med.withColumn("median_return", F.round("median_return", 6))
 
 
-def path_metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
+def path_metrics(trades: DataFrame, keys: list[str], *, fits: bool | None = None) -> DataFrame:
     """Metrics of the trade sequence, in symbol then bar order."""
-    path = path_summary(trades, keys, TRADE_ORDER, symbol_major_code(trades), "return_pct")
+    path = path_summary(trades, keys, TRADE_ORDER, symbol_major_code(trades), "return_pct", fits=fits)
     return path.select(
         *keys,
         F.round("max_drawdown", 4).alias("max_drawdown"),
@@ -98,7 +99,12 @@ def overall_metrics(trades: DataFrame, keys: list[str], roster: DataFrame | None
 
     ``roster`` lists keys that must appear even without trades (zeros).
     """
-    parts = [basic_metrics(trades, keys), median_return(trades, keys), path_metrics(trades, keys)]
+    fits = groups_fit(trades, keys)
+    parts = [
+        basic_metrics(trades, keys),
+        median_return(trades, keys, fits=fits),
+        path_metrics(trades, keys, fits=fits),
+    ]
     joined = reduce(lambda a, b: a.join(b, keys), parts)
     if roster is not None:
         joined = roster.select(*keys).join(joined, keys, "left").fillna(0, subset=list(METRIC_COLUMNS))

@@ -178,9 +178,11 @@ def with_average_ranks(df: DataFrame, group: list[str], names: dict[str, str]) -
     return known
 
 
-def exact_median(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+def exact_median(
+    df: DataFrame, group: list[str], value: str, name: str, *, fits: bool | None = None
+) -> DataFrame:
     """Exact median per group; large groups use value counts instead of a list."""
-    if groups_fit(df, group):
+    if groups_fit(df, group) if fits is None else fits:
         return df.groupBy(*group).agg(F.median(value).alias(name))
     ranks = value_ranks(df, group, value, fits=False)
     totals = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("_n"))
@@ -203,6 +205,7 @@ def path_summary(
     ret: str,
     *,
     buckets: int | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Compounded path statistics of an ordered sequence of returns.
 
@@ -213,7 +216,7 @@ def path_summary(
     """
     keys = [*group, _BUCKET]
     step = F.log(F.greatest(1 + F.col(ret), F.lit(1e-300)))
-    fits = groups_fit(df, group)
+    fits = groups_fit(df, group) if fits is None else fits
     base = df.withColumn(_BUCKET, F.lit(0)) if fits else bucketed(df, group, coarse, buckets)
     placed = base.select(
         *keys, step.alias("_step"), (F.col(ret) > 0).alias("_win"), *_order_cols(order, keys)

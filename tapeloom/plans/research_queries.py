@@ -298,7 +298,7 @@ lessons AS (SELECT 'fam_' || o_orderpriority AS strategy_family, 'fam_' || o_ord
   CAST(CASE WHEN o_orderkey % 7 = 4 THEN CAST(o_custkey % 12 + 2 AS VARCHAR) ELSE CAST(CAST(o_custkey % 30 AS INT) / 1000 AS VARCHAR) END AS VARCHAR) AS to_value,
   'because of ' || o_orderstatus || (o_custkey % 100) AS reason, CAST(o_orderkey % 100 AS DOUBLE) / 100 AS score_before,
   CAST(o_orderkey % 100 + o_custkey % 21 - 10 AS DOUBLE) / 100 AS score_after, [{_pick_sql(PROBLEMS, 'o_orderkey')}, {_pick_sql(PROBLEMS, 'o_custkey')}] AS failure_patterns,
-  epoch_ms(o_orderdate) // 1000 * 100000 + o_orderkey % 100000 AS created_at, CASE WHEN o_orderkey % 50 = 0 THEN 'test' ELSE 'llm' END AS source FROM orders),
+  date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 8640000000 + o_orderkey % 100000 AS created_at, CASE WHEN o_orderkey % 50 = 0 THEN 'test' ELSE 'llm' END AS source FROM orders),
 le AS (SELECT *, score_after - score_before AS score_delta, score_after > score_before AS worked FROM lessons)"""
 LE = f"WITH {LESSONS_SQL}"
 
@@ -322,7 +322,7 @@ def lesson_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((k % 100).cast("double") / 100).alias("score_before"),
         ((k % 100 + c % 21 - 10).cast("double") / 100).alias("score_after"),
         F.array(pick(PROBLEMS, k), pick(PROBLEMS, c)).alias("failure_patterns"),
-        (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) * 100000 + k % 100000).alias("created_at"),
+        (F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")) * 8640000000 + k % 100000).alias("created_at"),
         F.when(k % 50 == 0, "test").otherwise("llm").alias("source"),
     )
     df = df.withColumn("score_delta", F.col("score_after") - F.col("score_before"))
@@ -547,7 +547,7 @@ def event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVLOG_SQL = """
 evlog AS (SELECT 'e' || (o_custkey * 2 + o_orderkey % 2) AS id, 'fam_' || o_orderpriority || '_v' || (o_custkey % 9) AS strategy_id, 'fam_' || o_orderpriority AS family_id,
   CAST(floor(o_totalprice) AS BIGINT) % 1000 / 1000.0 AS confidence_score, o_orderkey % 90 AS signal_count, (o_custkey % 70) / 100.0 AS win_rate,
-  epoch_ms(o_orderdate) // 1000 * 100000 + o_orderkey % 100000 AS created_at, 'j' || o_orderkey AS json_content FROM orders),
+  date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 8640000000 + o_orderkey % 100000 AS created_at, 'j' || o_orderkey AS json_content FROM orders),
 evs AS (SELECT id, arg_min(strategy_id, created_at) AS strategy_id, arg_min(family_id, created_at) AS family_id, arg_max(confidence_score, created_at) AS confidence_score,
   arg_min(signal_count, created_at) AS signal_count, arg_min(win_rate, created_at) AS win_rate, min(created_at) AS created_at, arg_max(json_content, created_at) AS json_content FROM evlog GROUP BY id)"""
 EV = f"WITH {EVLOG_SQL}"
@@ -562,7 +562,7 @@ def evaluation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor("o_totalprice").cast("long") % 1000 / 1000.0).alias("confidence_score"),
         (k % 90).alias("signal_count"),
         ((c % 70) / 100.0).alias("win_rate"),
-        (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) * 100000 + k % 100000).alias("created_at"),
+        (F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")) * 8640000000 + k % 100000).alias("created_at"),
         F.concat(F.lit("j"), k.cast("string")).alias("json_content"),
     )
 
