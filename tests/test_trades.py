@@ -181,4 +181,4 @@ def test_grids():
     assert plans[0].changes == ("baseline",)
     assert len(plans) == 1 + 3 + len(sweep.GUARD_CANDIDATES)
     exits = sweep.exit_candidates(spec(), ("stoploss", "holding"))
-    assert len(exits) == 5 * 6 - 6  # the current stop repeats nothing, 0.04 is new; hold 6 is new
+    assert len(exits) == 5 * 6  # four grid stops and 0.04, five grid holdings and 6: nothing repeats
