@@ -80,7 +80,9 @@ def basic_metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
 
 def median_return(trades: DataFrame, keys: list[str], *, fits: bool | None = None) -> DataFrame:
     med = exact_median(trades, keys, "return_pct", "median_return", fits=fits)
-    return med.withColumn("median_return", F.round("median_return", 6))
+    # returns have six digits, so the mean of the two middle ones is often an exact
+    # half; the nudge decides it upward whatever the last bit of the double is
+    return med.withColumn("median_return", F.round(F.col("median_return") + 1e-12, 6))
 
 
 def path_metrics(trades: DataFrame, keys: list[str], *, fits: bool | None = None) -> DataFrame:

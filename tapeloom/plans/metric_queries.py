@@ -61,7 +61,7 @@ pb{tag} AS (SELECT *, greatest(0, max(lv) OVER o) AS pk FROM pa{tag} WINDOW o AS
 pc{tag} AS (SELECT {keys}, 1 - exp(-max(pk - lv)) AS dd, exp(arg_max(lv, rn)) - 1 AS tot FROM pb{tag} GROUP BY {keys}),
 st{tag} AS (SELECT {keys}, max(c) AS streak FROM (SELECT {keys}, isl, count(*) FILTER (return_pct <= 0) AS c FROM pa{tag} GROUP BY {keys}, isl) GROUP BY {keys}),
 om{tag} AS (SELECT {keys}, round(wr, 4) AS win_rate, round(mean, 6) AS avg_return, round(coalesce(win, 0), 6) AS avg_win_return,
-  round(coalesce(loss, 0), 6) AS avg_loss_return, round(med, 6) AS median_return,
+  round(coalesce(loss, 0), 6) AS avg_loss_return, round(med + 1e-12, 6) AS median_return,
   round(coalesce(coalesce(win, 0) / nullif(coalesce(abs(loss), 0.001), 0), 0), 4) AS profit_loss_ratio, round(dd, 4) AS max_drawdown,
   round(coalesce(mean / nullif(sd, 0) * sqrt(least(n, 250)), 0), 4) AS sharpe_ratio, n AS signal_count,
   round(coalesce(hold_avg, 0), 1) AS avg_holding_days, streak AS max_consecutive_loss, round(tot, 6) AS total_return
