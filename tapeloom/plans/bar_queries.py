@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import context, events, indicators, regime, spec
 from tapeloom.plans import tables as t
 from tapeloom.plans.registry import QUERIES, SQL, query, r, rounded
+from tapeloom.runtime import shared_path
 from tapeloom.sources import bars as src
 
 W = "PARTITION BY symbol ORDER BY date"
@@ -578,11 +579,7 @@ def index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{BARS} SELECT symbol, date, open, high, low, close, volume FROM bars WHERE date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'""",
 )
 def stored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    from tapeloom.runtime import stage_root
-
-    path = f"{stage_root(spark) or sf_dir}/bars-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     src.write_history(t.bars(spark, sf_dir), path)
     got = src.read_history(spark, path, START, END)
     return got.select("symbol", "date", "open", "high", "low", "close", "volume")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from tapeloom.plans import tables as t
 from tapeloom.plans.bar_queries import BARS, W, _momentum, _SIMPLE, lag
 from tapeloom.plans.registry import query, r, rounded
 from tapeloom.plans.trade_queries import BASE
-from tapeloom.runtime import stage, stage_root
+from tapeloom.runtime import shared_path, stage
 from tapeloom.sources import bars as src
 from tapeloom.sources import export
 
@@ -789,19 +787,12 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _scratch(spark: SparkSession, sf_dir: str, name: str) -> str:
-    root = stage_root(spark)
-    if root is None:
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 @query(
     "a17_step_export",
     f"""{_STEPS} SELECT trajectory_id, round_num AS round, {r('score_before', 'score')}, {r('score_delta', 'score_delta')}, improved, target, array_to_string(failure_patterns, '; ') AS problems FROM sp""",
 )
 def step_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, path = export.step_records(steps(spark, sf_dir)), _scratch(spark, sf_dir, "steps")
+    records, path = export.step_records(steps(spark, sf_dir)), shared_path(spark)
     export.write_json(records, path)
     back = spark.read.schema(records.schema).json(path)
     return rounded(
@@ -824,7 +815,7 @@ def step_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     contains(reason, 'because') AS answered FROM sp""",
 )
 def conversation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, path = export.conversation_records(steps(spark, sf_dir)), _scratch(spark, sf_dir, "talk")
+    records, path = export.conversation_records(steps(spark, sf_dir)), shared_path(spark)
     export.write_json(records, path)
     back = spark.read.schema(records.schema).json(path)
     return back.select(
@@ -851,7 +842,7 @@ def preference_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{LE} SELECT strategy_id AS strategy, change_type AS mode, {r('score_after - score_before', 'improvement')}, round_num AS rounds, source = 'test' AS failed FROM le""",
 )
 def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, sf_dir, "experiments")
+    path = shared_path(spark)
     lesson_table(spark, sf_dir).select(
         F.col("strategy_id").alias("strategy"),
         F.col("change_type").alias("mode"),
@@ -867,7 +858,7 @@ def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a23_evaluation_export", f"{EV} SELECT strategy_id, id, {r('confidence_score', 'confidence_score')}, signal_count FROM evs")
 def evaluation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     evals = evaluation_table(spark, sf_dir)
-    docs, path = export.evaluation_records(evals), _scratch(spark, sf_dir, "evaluations")
+    docs, path = export.evaluation_records(evals), shared_path(spark)
     export.write_json(docs, path)
     back = spark.read.schema(docs.schema).json(path)
     return rounded(back.select("strategy_id", "evaluation.id", "evaluation.confidence_score", "evaluation.signal_count"))
@@ -875,7 +866,7 @@ def evaluation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a08_snapshot_jsonl", f"{BARS} SELECT CAST(symbol AS VARCHAR) AS symbol, date, open, high, low, close, volume FROM bars")
 def snapshot_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, sf_dir, "snapshot")
+    path = shared_path(spark)
     t.bars(spark, sf_dir).withColumn("symbol", F.col("symbol").cast("string")).write.json(path)
     return src.read_snapshot(spark, path).select("symbol", "date", "open", "high", "low", "close", "volume")
 

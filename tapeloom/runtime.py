@@ -2,33 +2,54 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_STAGE_ROOT = "tapeloom.stage.root"
+_staged: list[str] = []
 
 
-def stage_root(spark: SparkSession) -> str | None:
-    """Shared folder for staged tables: the cluster's checkpoint folder.
+def shared_root(spark: SparkSession) -> str:
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A temporary folder stands in only for a local master, where driver and
-    executors are one process.  Elsewhere there is no safe default.
+    Where that setting is empty, a folder in the warehouse stands in, which a
+    cluster shares as well.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    root = spark.conf.get(_STAGE_ROOT, None)
-    if root is None:
-        root = tempfile.mkdtemp(prefix="tapeloom-")
-        spark.conf.set(_STAGE_ROOT, root)
-    return root
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tapeloom"
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path below the shared folder, removed when the program ends."""
+    path = f"{shared_root(spark)}/stage/{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
+
+
+def discard(path: str) -> None:
+    """Remove a folder that :func:`shared_path` named."""
+    jvm = SparkContext._jvm
+    if jvm is None or path not in _staged:
+        return
+    _staged.remove(path)
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
+
+
+def release() -> None:
+    """Remove every staged table of this program."""
+    for path in list(_staged):
+        with contextlib.suppress(Exception):
+            discard(path)
+
+
+atexit.register(release)
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -36,14 +57,10 @@ def stage(df: DataFrame) -> DataFrame:
 
     Used where several later passes read the same intermediate.  The written
     table survives lost executors, keeps column pruning and pushdown for its
-    readers and cuts the lineage.  Without a shared folder the frame is
-    persisted instead, which keeps its lineage.
+    readers and cuts the lineage.
     """
     spark = df.sparkSession
-    root = stage_root(spark)
-    if root is None:
-        return df.persist()
-    path = f"{root}/stage/{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
