@@ -42,11 +42,16 @@ def _seed_hash(codes: Column, at: Column, mask: str) -> Column:
 
 
 def _windows(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """One row per window start with ``at`` and the window's hashes ``h``."""
+    """One row per window start and mask with the start ``at`` and the hash ``h``.
+
+    The hashes become rows before anything looks at them: a condition on a
+    plain column stays small in generated code.
+    """
     shortest = min(map(len, masks))
     starts = F.when(F.size("codes") >= shortest, F.sequence(F.lit(0), F.size("codes") - shortest))
     spread = rows.withColumn("at", F.explode(starts))
-    return spread.withColumn("h", F.array(*[_seed_hash(F.col("codes"), F.col("at"), m) for m in masks]))
+    hashes = F.array(*[_seed_hash(F.col("codes"), F.col("at"), m) for m in masks])
+    return spread.withColumn("h", F.explode(hashes)).drop("codes")
 
 
 def _agreement(a: Column, b: Column) -> Column:
@@ -87,7 +92,6 @@ def overlaps(
     short_items = _windows(items.where(F.size("codes") < longest), (short_mask,))
     seeds = stage(
         long_items.unionByName(short_items)
-        .select("_item", "at", F.explode("h").alias("h"))
         .where(F.col("h").isNotNull())
         .distinct()
     )
@@ -95,11 +99,7 @@ def overlaps(
 
     source = docs.select(F.col(doc).alias("_doc"), F.xxhash64(F.col(text)).alias("_copy"), F.col(text).alias("_text"))
     coded = source.withColumn("codes", word_codes(F.col("_text"))).drop("_text")
-    windows = _windows(coded, every).drop("codes")
-    maybe = windows.where(F.greatest(*[known.might_contain(F.col("h")[i]) for i in range(len(every))]))
-    hits = stage(
-        maybe.select("_doc", "_copy", "at", F.explode("h").alias("h")).where(known.might_contain(F.col("h")))
-    )
+    hits = stage(_windows(coded, every).where(known.might_contain(F.col("h"))))
     shifts = (
         hits.join(seeds.select("_item", F.col("at").alias("item_at"), F.col("h").alias("seed")), F.col("h") == F.col("seed"))
         .select("_doc", "_copy", "_item", (F.col("at") - F.col("item_at")).alias("shift"))
