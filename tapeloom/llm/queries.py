@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chat, decontaminate, mixing, quality_rules, url_filter
+from tapeloom.llm import chat, decontaminate, mixing, quality_rules, token_files, url_filter
+from tapeloom.runtime import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +62,16 @@ def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+# ── 4 token files ────────────────────────────────────────────────────────────
+
+
+@query("op4_token_files")
+def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark)
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_documents(spark, path)
+
+
 # ── 5 chat formatting ────────────────────────────────────────────────────────
 
 
