@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 PERIOD = 1000
 BLOCK_ROWS = 64
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_500
 OTHER = "other"
 MAX_SOURCES = 500
 

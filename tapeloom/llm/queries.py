@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chat, decontaminate, mixing, quality_rules, token_files, url_filter
+from tapeloom.llm import chat, decontaminate, mixing, near_duplicates, quality_rules, token_files, url_filter
 from tapeloom.runtime import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,24 @@ def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+# ── 3 n-gram Jaccard join ────────────────────────────────────────────────────
+
+#: Query text that gives ``groups`` (doc_id, n_shingles, component_id) of a view.
+GROUPS = r"""sh AS (
+  SELECT doc_id, CASE WHEN len(w) >= {words} THEN list_distinct(list_transform(range(1, len(w) - {last}), lambda i: array_to_string(w[i:i + {last}], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {view})),
+  one AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sh),
+  pair AS (SELECT a.doc_id AS x, b.doc_id AS y FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+  link AS (SELECT x, y FROM pair UNION SELECT y, x FROM pair),
+  reach(d, c) AS (SELECT doc_id, doc_id FROM sh UNION SELECT reach.d, link.y FROM reach JOIN link ON reach.c = link.x),
+  groups AS (SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(c) FROM reach WHERE d = doc_id) AS component_id FROM sh)"""
+
+
+@query("op3_near_duplicates", "WITH RECURSIVE " + GROUPS.format(view="documents", words=4, last=3, percent=85) + " SELECT * FROM groups")
+def near_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 # ── 4 token files ────────────────────────────────────────────────────────────
 
 
