@@ -39,7 +39,9 @@ from tapeloom.llm import bloom
 from tapeloom.runtime import discard, shared_path, stage
 
 WORDS, PERCENT = 5, 80
-BAND_RATIO = 1.35
+BAND_GROWTH = 1.15
+#: Second-level pieces of a part and how many of them may differ; the cheapest is taken per band.
+SPLITS = ((3, 2), (3, 1), (4, 2), (4, 1))
 SEEDS = 8
 CELLS = 256
 CACHE_WORDS = 300_000
@@ -92,7 +94,7 @@ def shingles(text: bytes, words: int) -> np.ndarray:
 # ── bands and signatures ─────────────────────────────────────────────────────
 
 
-def bands(percent: int, largest: int, ratio: float = BAND_RATIO) -> list[tuple[int, int]]:
+def bands(percent: int, largest: int, growth: float = BAND_GROWTH) -> list[tuple[int, int]]:
     """(smallest, largest) set size of every band up to one that holds ``largest``."""
     if not 0 < percent <= 100:
         raise ValueError("percent must lie in 1 to 100")
@@ -104,49 +106,72 @@ def bands(percent: int, largest: int, ratio: float = BAND_RATIO) -> list[tuple[i
     out: list[tuple[int, int]] = []
     while not out or out[-1][1] < largest:
         low = max(1, -(-percent * (top + 1) // 100))
-        top = max(top + 1, int(low * ratio))
+        top = max(top + 1, int(top * growth))
         out.append((low, top))
     return out
 
 
+def _plan(k: int, low: int) -> tuple[int, int, int, list[tuple[int, ...]]]:
+    """First-level parts, spare ones among them, pieces and subsets for k differences.
+
+    Gaps are expected as in the band's smallest set.  Of the plans under which
+    at most one set in eight needs another seed, the one with the fewest
+    signatures; without any, the one that needs other seeds least.
+    """
+    found = []
+    for n2, k2 in SPLITS:
+        subsets = list(combinations(range(n2), n2 - k2))
+        need = k // (k2 + 1) + 1
+        for spare in range(need // 2 + 5):
+            n1 = need + spare
+            gaps = n1 * len(subsets) * float(np.exp(-low * (n2 - k2) / (n1 * n2)))
+            term = total = float(np.exp(-gaps))
+            for i in range(1, spare + 1):
+                term *= gaps / i
+                total += term
+            again = max(0.0, 1 - total)
+            cost = n1 * len(subsets) / max(1 - again, 1e-9)
+            found.append(((0, cost) if again <= 0.125 else (1, again), n1, spare, n2, subsets))
+            if again <= 0.125:
+                break  # more parts only cost more
+    _, n1, spare, n2, subsets = min(found, key=lambda p: p[0])
+    return n1, spare, n2, subsets
+
+
 class _Band:
     """What every set of a band needs to be signed."""
 
     def __init__(self, number: int, low: int, high: int, percent: int):
         k = 2 * high * (100 - percent) // (100 + percent)
-        self.n2, self.k2 = (3, 1) if k < 12 else (3, 2)
-        subsets = list(combinations(range(self.n2), self.n2 - self.k2))
-        need = k // (self.k2 + 1) + 1
-        # gaps to expect in the smallest set of the band, with some room
-        spare, n1 = 0, need
-        for _ in range(20):
-            n1 = need + spare
-            gaps = n1 * len(subsets) * np.exp(-low * (self.n2 - self.k2) / (n1 * self.n2))
-            wanted = int(gaps + 2.5 * np.sqrt(gaps)) + 1
-            if wanted <= spare or spare > 2 * need + 2:
-                break
-            spare += 1
-        self.n1, self.spare = n1, spare
+        n1, self.spare, self.n2, subsets = _plan(k, low)
+        self.n1 = n1
         pieces = n1 * self.n2
         self.edges = np.array([i * (1 << 64) // pieces for i in range(1, pieces)], np.uint64)
-        self.weights = [np.array([_ROLL * _U(2 * i + 3) if i in s else _U(0) for i in range(self.n2)], np.uint64) for s in subsets]
-        self.masks = [np.array([i in s for i in range(self.n2)]) for s in subsets]
-        places = np.arange(n1, dtype=np.uint64)
-        self.tags = [_mix(places + (_U(number) << _U(32)) + (_U(j + 1) << _U(56))) for j in range(len(subsets))]
-
-    def sign(self, h: np.ndarray, seed: int, last: bool) -> tuple[np.ndarray, bool]:
-        """Signatures of a sorted set and whether it has more gaps than the band can spare."""
-        cuts = np.concatenate(([0], np.searchsorted(h, self.edges), [len(h)]))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(h + _ROLL), dtype=np.uint64)))[cuts]
-        parts = (sums[1:] - sums[:-1]).reshape(self.n1, self.n2)
-        filled = np.diff(cuts).reshape(self.n1, self.n2) > 0
-        signs, gaps = [], np.zeros(self.n1, bool)
-        for weights, mask, tags in zip(self.weights, self.masks, self.tags, strict=True):
-            full = filled[:, mask].any(axis=1)
-            s = _mix((parts * weights).sum(axis=1, dtype=np.uint64) + tags + _U(seed))
-            signs.append(s if last else s[full])
-            gaps |= ~full
-        return np.concatenate(signs), int(gaps.sum()) > self.spare
+        self.subsets = np.array(subsets)  # one row of pieces per subset
+        self.weights = np.array([int(_ROLL) * (2 * i + 3) % (1 << 64) for i in range(self.n2)], np.uint64)
+        places = np.arange(n1 * len(subsets), dtype=np.uint64)
+        self.tags = _mix(places + _U((number + 1) << 32)).reshape(n1, len(subsets))
+
+    def sign(self, h: np.ndarray, sums: np.ndarray, seed: int) -> tuple[np.ndarray, bool]:
+        """Signatures of a sorted set and whether it has more gaps than the band can spare.
+
+        ``sums`` are the running sums of the mixed members, from 0.
+        """
+        cuts = np.empty(len(self.edges) + 2, np.int64)
+        cuts[0], cuts[-1] = 0, len(h)
+        cuts[1:-1] = np.searchsorted(h, self.edges)
+        parts = np.diff(sums[cuts]).reshape(self.n1, self.n2) * self.weights
+        filled = (np.diff(cuts) > 0).reshape(self.n1, self.n2)
+        full = filled[:, self.subsets].any(axis=2)
+        signs = _mix(parts[:, self.subsets].sum(axis=2, dtype=np.uint64) + self.tags + _U(seed))
+        gaps = self.n1 - int(full.all(axis=1).sum())
+        return signs.ravel() if seed == SEEDS - 1 else signs[full], gaps > self.spare
+
+
+def _sums(h: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(_mix(h + _ROLL), out=out[1:])
+    return out
 
 
 @lru_cache(maxsize=16)
@@ -157,19 +182,21 @@ def _all_bands(percent: int, power: int) -> list[tuple[int, int, _Band]]:
 
 def signatures(h: np.ndarray, percent: int) -> np.ndarray:
     """All signatures of a set; linked sets that differ share at least one."""
-    out = []
-    for low, high, band in _all_bands(percent, max(15, len(h).bit_length())):
+    out, views = [], []  # views: the set under each seed
+    for low, high, band in _all_bands(percent, max(12, len(h).bit_length())):
         if low > len(h):
             break
         if len(h) > high:
             continue
         for seed in range(SEEDS):
-            last = seed == SEEDS - 1
-            signs, gaps = band.sign(h if seed == 0 else np.sort(_mix(h ^ _mix(np.full(1, seed, np.uint64)))), seed, last)
+            if len(views) == seed:
+                view = h if seed == 0 else np.sort(_mix(h ^ _mix(np.full(1, seed, np.uint64))))
+                views.append((view, _sums(view)))
+            signs, gaps = band.sign(*views[seed], seed)
             out.append(signs)
             if not gaps:
                 break
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def cell_counts(h: np.ndarray) -> np.ndarray:
@@ -391,14 +418,17 @@ def _grouped(docs: DataFrame, doc: str, text: str, words: int, percent: int) ->
     meeting = _apart(shared, roots)
     heads = meeting.where(F.col("root") == F.col("low")).groupBy("sign").agg(F.min("fp").alias("a"))
     second = meeting.where(F.col("root") != F.col("low")).join(stage(heads), "sign")
-    found = stage(found.union(links.among(_ordered(second.select("a", F.col("fp").alias("b"))))))
-    roots = components(found)
+    more = links.among(_ordered(second.select("a", F.col("fp").alias("b"))))
+    if not more.isEmpty():
+        found = stage(found.union(more))
+        roots = components(found)
+        meeting = _apart(shared, roots)
     # and what is apart after that, pair by pair
-    meeting = _apart(shared, roots)
     other = meeting.select("sign", F.col("fp").alias("b"), F.col("root").alias("other"))
     rest = meeting.select("sign", F.col("fp").alias("a"), "root").join(other, "sign").where(F.col("root") < F.col("other"))
-    found = stage(found.union(links.among(_ordered(rest.select("a", "b")))))
-    roots = components(found)
+    more = links.among(_ordered(rest.select("a", "b")))
+    if not more.isEmpty():
+        roots = components(found.union(more))
 
     named = classes.select("fp", "first_doc").join(roots, "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     named = stage(named)
