@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import decontaminate, mixing, quality_rules
+from tapeloom.llm import decontaminate, mixing, near_duplicates, quality_rules, token_files
 from tapeloom.llm.queries import MIX_OTHER, MIX_WEIGHTS
 from tapeloom.runtime import shared_path
 
@@ -18,6 +19,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.keep_good(docs)
 
 
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near duplicates."""
+    return near_duplicates.keep_first(docs)
+
+
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -28,10 +34,19 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs, MIX_WEIGHTS, other=MIX_OTHER)
 
 
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids written as wavelet-matrix shards, and the documents read back from them."""
+    path = shared_path(spark)
+    token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_documents(spark, path)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", good_quality),
+    ("near_duplicates", without_copies),
     ("decontaminate", uncontaminated),
     ("mix_sources", mixed),
+    ("token_files", token_ids),
 ]
 
 ORACLE_SQL: str | None = None

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chat, decontaminate, mixing, near_duplicates, quality_rules, token_files, url_filter
+from tapeloom.llm import (
+    chat,
+    decontaminate,
+    html_text,
+    language_id,
+    mixing,
+    near_duplicates,
+    quality_rules,
+    quality_votes,
+    token_files,
+    url_filter,
+)
 from tapeloom.runtime import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +73,19 @@ def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+# ── 2 quality classifier ─────────────────────────────────────────────────────
+
+
+@query("op2_quality_votes")
+def quality_votes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    held_out = quality_votes.held_out(F.col("doc_id"))
+    votes = quality_votes.fit(docs, labels.where(~held_out))
+    scored = quality_votes.score(docs, votes)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 # ── 3 n-gram Jaccard join ────────────────────────────────────────────────────
 
 #: Query text that gives ``groups`` (doc_id, n_shingles, component_id) of a view.
@@ -109,6 +133,38 @@ def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+# ── 6 language identification ────────────────────────────────────────────────
+
+
+@query("op6_language_id")
+def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by text, declared language and source; pages by text, markup and address."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    languages, model = language_id.train(docs)
+    none = F.lit(None).cast("string")
+    host = url_filter.host(F.col("url"))
+    rows = docs.select(
+        "doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.lit(False).alias("markup"), F.col("lang").alias("declared"),
+        none.alias("suffix"), none.alias("domain"), F.col("source").alias("host"),
+    ).unionByName(
+        pages.select(
+            F.lit(None).cast("long").alias("doc_id"), "page_id", F.col("html").alias("text"), F.lit(True).alias("markup"),
+            language_id.declared_in(F.col("html")).alias("declared"), F.substring_index(host, ".", -1).alias("suffix"),
+            F.substring_index(host, ".", -2).alias("domain"), host.alias("host"),
+        )
+    )
+    found = language_id.identify(rows, languages, model)
+    return found.select("doc_id", "page_id", "language", F.round("probability", 6).alias("probability"), "text_language", "declared")
+
+
+# ── 7 HTML extraction ────────────────────────────────────────────────────────
+
+
+@query("op7_html_text")
+def html_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 # ── 8 mixing ─────────────────────────────────────────────────────────────────
 
 #: Target shares of the named sources; all others together have ``MIX_OTHER``.

@@ -43,6 +43,28 @@ _LATIN_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ODD = re.compile(r"[\x00-\x1f\x7f\x80-\xa0]|<\|")
 
 
+class _Recent:
+    """A bounded cache of two generations: what is used moves into the new one."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def absent(self, keys: set) -> list:
+        """The keys without a value; the others are in ``new`` afterwards."""
+        if len(self.new) + len(keys) > self.limit:
+            self.old, self.new = self.new, {}
+        new, old, out = self.new, self.old, []
+        for k in keys:
+            if k not in new:
+                if k in old:
+                    new[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that never looks across white space.
 
@@ -57,44 +79,40 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.latin = regex.compile(_LATIN_PIECES)
-        self.limit = limit
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = _Recent(limit), _Recent(limit)
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a UTF-8 text as little-endian 16-bit integers."""
         words = text.split()
         try:
-            return b"".join(map(self.words.__getitem__, words))
+            return b"".join(map(self.words.new.__getitem__, words))
         except KeyError:
             self._learn(set(words))
-            return b"".join(map(self.words.__getitem__, words))
+            return b"".join(map(self.words.new.__getitem__, words))
 
     def _learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > self.limit:
-            self.words.clear()
-            new = list(words)
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
+        missing = self.words.absent(words)
         split: dict[bytes, list[str]] = {}
         whole: list[bytes] = []
-        for w in new:
+        for w in missing:
             s = w.decode()
-            if _ODD.search(s) or max(s) > "\xff":
+            if s.isalpha() and max(s) <= "\xff":
+                split[w] = [s.lower()]
+            elif max(s) > "\xff" or _ODD.search(s):
                 whole.append(w)
             else:
-                low = s.lower()
-                split[w] = _ASCII_PIECES.findall(low) if low.isascii() else self.latin.findall(low)
-        missing = list({p for ps in split.values() for p in ps if p not in self.pieces})
-        for i in range(0, len(missing), 1000):
-            self._encode_pieces(missing[i : i + 1000])
+                s = s.lower()
+                split[w] = _ASCII_PIECES.findall(s) if s.isascii() else self.latin.findall(s)
+        pieces = self.pieces.absent({p for ps in split.values() for p in ps})
+        for i in range(0, len(pieces), 1000):
+            self._encode_pieces(pieces[i : i + 1000])
+        known, made = self.pieces.new, self.words.new
         for w, ps in split.items():
-            self.words[w] = self.pieces[ps[0]] if len(ps) == 1 else b"".join([self.pieces[p] for p in ps])
+            made[w] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
         if whole:
             encoded = self.tokenizer.encode_batch([w.decode() for w in whole], add_special_tokens=False)
             for w, e in zip(whole, encoded, strict=True):
-                self.words[w] = np.array(e.ids, "<u2").tobytes()
+                made[w] = np.array(e.ids, "<u2").tobytes()
 
     def _encode_pieces(self, pieces: list[str]) -> None:
         e = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
@@ -102,11 +120,11 @@ class WordEncoder:
         edges = np.searchsorted(owner, np.arange(len(pieces) + 1))
         if len(owner) == 0 or owner[-1] + 1 != len(pieces):
             for p, x in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True):
-                self.pieces[p] = np.array(x.ids, "<u2").tobytes()
+                self.pieces.new[p] = np.array(x.ids, "<u2").tobytes()
             return
         raw, edges = ids.tobytes(), edges.tolist()
         for k, p in enumerate(pieces):
-            self.pieces[p] = raw[2 * edges[k] : 2 * edges[k + 1]]
+            self.pieces.new[p] = raw[2 * edges[k] : 2 * edges[k + 1]]
 
 
 _encoders: dict[str, WordEncoder] = {}
