@@ -90,7 +90,7 @@ def quality_votes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Query text that gives ``groups`` (doc_id, n_shingles, component_id) of a view.
 GROUPS = r"""sh AS (
-  SELECT doc_id, CASE WHEN len(w) >= {words} THEN list_distinct(list_transform(range(1, len(w) - {last}), lambda i: array_to_string(w[i:i + {last}], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  SELECT doc_id, CASE WHEN len(w) >= {words} THEN list_distinct(list_transform(range(1, len(w) - {last} + 1), lambda i: array_to_string(w[i:i + {last}], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
   FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {view})),
   one AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sh),
   pair AS (SELECT a.doc_id AS x, b.doc_id AS y FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
