@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.words import SPACES, chars, count_of, words
+from tapeloom.llm.words import SPACES, chars, count_of, let, words
 
 SAMPLE_ROWS = 2000
 SYMBOLS = "#*$%&|<>"
@@ -78,7 +78,7 @@ def _covered(marks: Column) -> Column:
 
 
 def n_repeat_words(text: Column) -> Column:
-    return _covered(_window_marks(words(text)))
+    return let(words(text), lambda w: let(_window_marks(w), _covered))
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,3 +28,8 @@ def chars(text: Column) -> Column:
 def count_of(text: Column, char_class: str) -> Column:
     """How many characters of a text lie in the class; 0 for null."""
     return chars(F.regexp_replace(text, f"[^{char_class}]+", ""))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also where a lambda inside looks at it again."""
+    return F.get(F.transform(F.array(value), body), 0)
