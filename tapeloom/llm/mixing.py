@@ -136,8 +136,8 @@ def schedule(
     spark = docs.sparkSession
     share = {**weights, OTHER: other}
     group = F.when(F.col(source).isin(*weights), F.col(source)).otherwise(F.lit(OTHER))
-    rows = docs.drop("mix_group", "mix_phase", "mix_slot", "mix_rank").withColumn("mix_group", group)
-    rows = rows.withColumn("_h", F.xxhash64(*docs.columns, F.lit(1)))
+    plain = docs.drop("mix_group", "mix_phase", "mix_slot", "mix_rank")
+    rows = plain.withColumn("mix_group", group).withColumn("_h", F.xxhash64(*plain.columns, F.lit(1)))
 
     # one row per group comes to the driver, at most MAX_SOURCES + 1
     counts = {x["mix_group"]: x["n"] for x in rows.groupBy("mix_group").agg(F.count("*").alias("n")).collect()}
