@@ -85,7 +85,8 @@ def match_sector_rank(sectors: DataFrame, top: list[str], bottom: list[str]) ->
     for listed, place, last in reversed(ranked):
         if not listed:
             continue
-        same = (F.lower(name) == listed.lower()) | name.contains(listed) | F.lit(listed).contains(name)
+        # an empty name is contained in every other and matches none
+        same = (F.length(name) > 0) & ((F.lower(name) == listed.lower()) | name.contains(listed) | F.lit(listed).contains(name))
         rank = F.when(same, place).otherwise(rank)
         risk = F.when(same, last).otherwise(risk)
     return sectors.withColumns({"heat_rank": rank, "risk_flag": risk})

@@ -218,28 +218,5 @@ def sell_allowed(rules: MarketRules, columns: list[str]) -> Column:
     return ok
 
 
-def fingerprint_parts(s: Strategy) -> list[str]:
-    """Rule lines whose hash identifies a strategy apart from its name."""
-    groups = (
-        ("et", s.entry.triggers),
-        ("ec", s.entry.conditions),
-        ("eg", s.entry.guards),
-        ("ef", s.entry.filters),
-        ("xt", s.exit.triggers),
-    )
-    rules = [
-        f"{tag}:{c.indicator}{c.op}{c.value}" for tag, cs in groups for c in sorted(cs, key=lambda c: c.indicator)
-    ]
-    stop, target = s.exit.stop, s.exit.target
-    return [
-        f"logic={s.entry.logic}",
-        *rules,
-        f"sl:{stop.type}:{stop.value}:{stop.multiplier}",
-        f"tp:{target.type}:{target.value}:{target.target}",
-        f"mhd:{s.exit.max_holding_days}",
-        f"u:{s.market}",
-    ]
-
-
 def fingerprint(parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", parts), 256), 1, 16)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.operators.ordered import chronological_code, running, value_ranks, with_average_ranks
+from tapeloom.operators.ordered import running, value_ranks, with_average_ranks
 from tapeloom.runtime import with_row
 
 # Validation thresholds.
@@ -26,6 +26,8 @@ THRESHOLDS = {
     "max_cross_correlation": 0.7,
 }
 MIN_CROSS_SECTION = 4
+# fixed values: below these many rows a rate is 0
+MIN_WIN_ROWS, MIN_TURNOVER_ROWS = 20, 10
 
 
 def forward_return(bars: DataFrame, horizon: int = 5, *, name: str = "r") -> DataFrame:
@@ -61,7 +63,7 @@ def daily_ic(obs: DataFrame) -> DataFrame:
 def positions(obs: DataFrame) -> DataFrame:
     """Number the rows by (date, symbol) without one global sort."""
     order = ["date", "symbol"]
-    return running(obs, [], order, chronological_code(obs, "date"), {"pos": F.lit(1)}).withColumn("pos", F.col("pos") - 1)
+    return running(obs, [], order, {"pos": F.lit(1)}).withColumn("pos", F.col("pos") - 1)
 
 
 def pooled_ic(obs: DataFrame) -> DataFrame:
@@ -106,23 +108,34 @@ def ic_summary(daily: DataFrame, pooled: DataFrame | None = None) -> DataFrame:
     return out.withColumn("ir", F.when(F.col("ic_std") > 1e-10, F.col("ic_mean") / F.col("ic_std")).otherwise(0.0))
 
 
-def monthly_win_rate(daily: DataFrame, *, sign: int = 1) -> DataFrame:
-    """Share of months whose mean daily IC has the expected sign."""
+def _none_below(result: DataFrame, rows: DataFrame, least: int, name: str) -> DataFrame:
+    """The result with 0 in ``name`` where ``rows`` has fewer than ``least`` rows."""
+    n = with_row(result, rows.agg(F.count("*").alias("_rows")))
+    return n.withColumn(name, F.when(F.col("_rows") < least, 0.0).otherwise(F.col(name))).drop("_rows")
+
+
+def monthly_win_rate(daily: DataFrame, *, sign: int = 1, obs: DataFrame | None = None) -> DataFrame:
+    """Share of months whose mean daily IC has the expected sign.
+
+    With the observations at hand, fewer than 20 complete ones give 0.
+    """
     month = daily.groupBy(F.trunc("date", "month").alias("month")).agg(F.avg("ic").alias("m"))
-    return month.agg(
+    out = month.agg(
         F.coalesce(F.avg((F.col("m") * sign > 0).cast("double")), F.lit(0.0)).alias("monthly_win_rate"),
         F.count("*").alias("months"),
     )
+    return out if obs is None else _none_below(out, _complete(obs), MIN_WIN_ROWS, "monthly_win_rate")
 
 
 def monthly_pooled_ic(obs: DataFrame, *, sign: int = 1) -> DataFrame:
     """The variant without symbols: one rank IC per month of at least five rows."""
     clean = _complete(obs).select(F.trunc("date", "month").alias("month"), "f", "r")
     ics = _rank_corr(clean, ["month"], "f", "r").where((F.col("n") >= 5) & F.col("ic").isNotNull())
-    return ics.agg(
+    out = ics.agg(
         F.coalesce(F.avg((F.col("ic") * sign > 0).cast("double")), F.lit(0.0)).alias("monthly_win_rate"),
         F.count("*").alias("months"),
     )
+    return _none_below(out, clean, MIN_WIN_ROWS, "monthly_win_rate")
 
 
 def bucket_win_rate(obs: DataFrame, *, sign: int = 1) -> DataFrame:
@@ -133,10 +146,11 @@ def bucket_win_rate(obs: DataFrame, *, sign: int = 1) -> DataFrame:
     placed = with_row(positions(clean), total).withColumn("bucket", F.floor(F.col("pos") / size))
     ics = _rank_corr(placed.select("bucket", "f", "r"), ["bucket"], "f", "r")
     ics = ics.where((F.col("n") >= 5) & F.col("ic").isNotNull())
-    return ics.agg(
+    out = ics.agg(
         F.coalesce(F.avg((F.col("ic") * sign > 0).cast("double")), F.lit(0.0)).alias("monthly_win_rate"),
         F.count("*").alias("months"),
     )
+    return _none_below(out, clean, MIN_WIN_ROWS, "monthly_win_rate")
 
 
 def turnover(obs: DataFrame) -> DataFrame:
@@ -152,10 +166,11 @@ def turnover(obs: DataFrame) -> DataFrame:
         F.avg(F.abs(F.col("rank") - F.col("rank_before"))).alias("move"), F.count("*").alias("common")
     )
     kept = pairs.where(F.col("common") >= MIN_CROSS_SECTION)
-    return kept.agg(
+    out = kept.agg(
         F.coalesce(F.avg(F.col("move") / F.col("common")), F.lit(0.0)).alias("turnover"),
         F.count("*").alias("steps"),
     )
+    return _none_below(out, known, MIN_TURNOVER_ROWS, "turnover")
 
 
 def half_split_turnover(obs: DataFrame) -> DataFrame:
@@ -193,7 +208,7 @@ def validate(
     """
     daily = daily_ic(obs)
     row = ic_summary(daily, pooled_ic(obs))
-    row = with_row(row, monthly_win_rate(daily, sign=sign).select("monthly_win_rate"))
+    row = with_row(row, monthly_win_rate(daily, sign=sign, obs=obs).select("monthly_win_rate"))
     row = with_row(row, turnover(obs).select("turnover"))
     limits = thresholds
     reasons = [

@@ -9,13 +9,15 @@ from tapeloom.functions.spec import fingerprint
 from tapeloom.runtime import stage
 
 
-def lineage(nodes: DataFrame, *, max_rounds: int = 40) -> DataFrame:
+def lineage(nodes: DataFrame) -> DataFrame:
     """Root and depth of every node of parent-pointer trees.
 
     ``nodes``: family, id, parent_id.  A parent outside the family makes a root.
     Each round doubles the distance a pointer spans, so even a chain of a
     million versions needs about twenty joins.  A node is settled once its
-    pointer reaches a root; settled nodes take no part in further joins.
+    pointer reaches a root; settled nodes are kept aside.  Once a pointer spans
+    more steps than there are nodes, whatever is still open runs in a circle:
+    such nodes have a null root and depth.
     """
     ids = nodes.select("family", F.col("id").alias("parent_id"), F.lit(True).alias("_known"))
     linked = nodes.select("family", "id", "parent_id").join(ids, ["family", "parent_id"], "left")
@@ -29,7 +31,8 @@ def lineage(nodes: DataFrame, *, max_rounds: int = 40) -> DataFrame:
             at.isNull().alias("done"),
         )
     )
-    for _ in range(max_rounds):
+    done, open_nodes, span, total = state.where("done"), state.where(~F.col("done")), 1, nodes.count()
+    while span <= total and not open_nodes.isEmpty():
         above = state.select(
             "family",
             F.col("id").alias("up"),
@@ -37,18 +40,20 @@ def lineage(nodes: DataFrame, *, max_rounds: int = 40) -> DataFrame:
             F.col("depth").alias("depth2"),
             F.col("done").alias("done2"),
         )
-        open_nodes = state.where(~F.col("done"))
-        moved = open_nodes.join(above, ["family", "up"]).select(
-            "family",
-            "id",
-            F.col("up2").alias("up"),
-            (F.col("depth") + F.col("depth2")).alias("depth"),
-            F.col("done2").alias("done"),
+        moved = stage(
+            open_nodes.join(above, ["family", "up"]).select(
+                "family",
+                "id",
+                F.col("up2").alias("up"),
+                (F.col("depth") + F.col("depth2")).alias("depth"),
+                F.col("done2").alias("done"),
+            )
         )
-        state = stage(state.where(F.col("done")).unionByName(moved))
-        if state.where(~F.col("done")).isEmpty():
-            break
-    return nodes.join(state.select("family", "id", F.col("up").alias("root_id"), "depth"), ["family", "id"])
+        done = done.unionByName(moved.where("done"))
+        state, open_nodes, span = done.unionByName(moved.where(~F.col("done"))), moved.where(~F.col("done")), 2 * span
+    circling = open_nodes.select("family", "id", F.lit(None).cast(nodes.schema["id"].dataType).alias("up"), F.lit(None).cast("long").alias("depth"))
+    settled = done.select("family", "id", "up", "depth").unionByName(circling)
+    return nodes.join(settled.withColumnRenamed("up", "root_id"), ["family", "id"])
 
 
 def spec_diff(fields: DataFrame, left: str, right: str) -> DataFrame:

@@ -8,13 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators.ordered import (
-    chronological_code,
     exact_median,
     path_summary,
     running,
-    symbol_major_code,
 )
-from tapeloom.runtime import groups_fit
 
 TRADE_ORDER = ["symbol", "signal_idx"]
 
@@ -78,16 +75,16 @@ def basic_metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def median_return(trades: DataFrame, keys: list[str], *, fits: bool | None = None) -> DataFrame:
-    med = exact_median(trades, keys, "return_pct", "median_return", fits=fits)
+def median_return(trades: DataFrame, keys: list[str]) -> DataFrame:
+    med = exact_median(trades, keys, "return_pct", "median_return")
     # returns have six digits, so the mean of the two middle ones is often an exact
     # half; the nudge decides it upward whatever the last bit of the double is
     return med.withColumn("median_return", F.round(F.col("median_return") + 1e-12, 6))
 
 
-def path_metrics(trades: DataFrame, keys: list[str], *, fits: bool | None = None) -> DataFrame:
+def path_metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
     """Metrics of the trade sequence, in symbol then bar order."""
-    path = path_summary(trades, keys, TRADE_ORDER, symbol_major_code(trades), "return_pct", fits=fits)
+    path = path_summary(trades, keys, TRADE_ORDER, "return_pct")
     return path.select(
         *keys,
         F.round("max_drawdown", 4).alias("max_drawdown"),
@@ -101,11 +98,10 @@ def overall_metrics(trades: DataFrame, keys: list[str], roster: DataFrame | None
 
     ``roster`` lists keys that must appear even without trades (zeros).
     """
-    fits = groups_fit(trades, keys)
     parts = [
         basic_metrics(trades, keys),
-        median_return(trades, keys, fits=fits),
-        path_metrics(trades, keys, fits=fits),
+        median_return(trades, keys),
+        path_metrics(trades, keys),
     ]
     joined = reduce(lambda a, b: a.join(b, keys), parts)
     if roster is not None:
@@ -252,9 +248,8 @@ def equity_series(trades: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "symbol", "signal_idx", "exit_date", F.log(F.greatest(1 + F.col("return_pct"), F.lit(1e-300))).alias("step")
     )
     order = ["exit_date", "symbol", "signal_idx"]
-    coarse = chronological_code(done, "exit_date")
     walked = running(
-        done, keys, order, coarse, {"trade_no": F.lit(1), "level": F.col("step")}, peaks={"peak": "level"}
+        done, keys, order, {"trade_no": F.lit(1), "level": F.col("step")}, peaks={"peak": "level"}
     )
     value, top = F.exp("level") * 100, F.exp("peak") * 100
     return walked.select(

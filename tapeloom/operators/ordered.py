@@ -1,94 +1,36 @@
-"""Ordered computations over groups too large for one task.
-
-A window over a whole strategy, date or sector puts the group in one task.  That
-is used only after a count proves every group small (``groups_fit``).  Otherwise
-a group is cut into value-ordered buckets first (bounds from a mergeable
-quantile sketch).  Buckets are summarised in parallel, only the short list of
-bucket summaries is ordered per group, and every row is finished inside its own
-bucket.  Bucket choice is a monotone function of the order key, so equal keys
-never straddle a border and results do not depend on the number of buckets.
+"""Ordered computations over groups of any size.
+
+Rows are cut into ranges of (group, order) by Spark's range partitioning and
+staged with the number of their range, so a group that holds most rows is
+spread over many ranges.  Ranges are summarised in parallel, only the short list
+of a group's range summaries is ordered, and every row is finished inside its
+own range.  Equal keys never straddle a border and nulls are keys like others,
+so results do not depend on the number of ranges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from os.path import commonprefix
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tapeloom.runtime import bucket_count, groups_fit, with_row
+from tapeloom.runtime import bucket_count, stage, with_row
 
 _BUCKET = "_bucket"
-_DATE_SPAN = 1 << 36
-
-# A coarse key only has to grow with the order, so it may be computed lazily and
-# only where buckets are needed.
-Coarse = Column | Callable[[], Column]
-
 
-def symbol_code(df: DataFrame, size: int, col: str = "symbol") -> Column:
-    """Whole number in [0, 256^size) that never decreases when the symbol grows.
-
-    Text is read from its first byte that differs between the smallest and the
-    largest symbol, since everything between them shares what comes before.
-    """
-    if isinstance(df.schema[col].dataType, T.NumericType):
-        top = F.lit(256**size - 1)
-        return F.least(F.greatest(F.floor(F.col(col)).cast("long"), F.lit(0)), top)
-    low, high = df.agg(F.min(col), F.max(col)).first()
-    shared = len(commonprefix([(low or "").encode(), (high or "").encode()]))
-    piece = F.substring(F.encode(F.col(col), "UTF-8"), shared + 1, size)
-    number = F.coalesce(F.conv(F.hex(piece), 16, 10).cast("double"), F.lit(0.0))
-    return number * F.pow(F.lit(256.0), size - F.octet_length(piece))
 
+def bucketed(df: DataFrame, group: list[str], order: list[str | Column], buckets: int | None = None) -> DataFrame:
+    """The staged rows with the number of their range of (group, order)."""
+    cut = df.repartitionByRange(buckets or bucket_count(df), *group, *order)
+    return stage(cut.withColumn(_BUCKET, F.spark_partition_id()))
 
-def date_code(col: str) -> Column:
-    return F.datediff(F.col(col), F.lit("1900-01-01").cast("date"))
 
-
-def chronological_code(df: DataFrame, date: str = "signal_date") -> Coarse:
-    """Coarse key of the order (date, symbol, …)."""
-    return lambda: date_code(date) * F.lit(float(_DATE_SPAN)) + symbol_code(df, 4)
-
-
-def symbol_major_code(df: DataFrame, idx: str = "signal_idx") -> Coarse:
-    """Coarse key of the order (symbol, bar position, …).
-
-    The position may only count where the symbol part is unique.
-    """
-
-    def code() -> Column:
-        if not isinstance(df.schema["symbol"].dataType, T.IntegralType):
-            return symbol_code(df, 6)
-        place = F.least(F.col(idx).cast("long"), F.lit((1 << 20) - 1))
-        unique = (F.col("symbol") >= 0) & (F.col("symbol") < (1 << 32) - 1)
-        return symbol_code(df, 4) * F.lit(float(1 << 20)) + F.when(unique, place).otherwise(0)
-
-    return code
-
-
-def bucketed(df: DataFrame, group: list[str], coarse: Coarse, buckets: int | None = None) -> DataFrame:
-    """Add the ordered bucket number of each row within its group."""
-    n = 1 << ((buckets or bucket_count(df)) - 1).bit_length()
-    cuts = [i / n for i in range(1, n)]
-    key = coarse if isinstance(coarse, Column) else coarse()
-    keyed = df.withColumn("_coarse", key.cast("double"))
-    bounds = keyed.groupBy(*group).agg(
-        F.percentile_approx("_coarse", cuts, max(1000, 10 * n)).alias("_cuts")
-    )
-    # one row per group: Spark broadcasts it when its measured size allows
-    joined = keyed.join(bounds, group) if group else with_row(keyed, bounds)
-    joined = joined.withColumn(_BUCKET, F.lit(0))
-    width = n // 2
-    while width:  # binary search for the number of cuts below the key
-        cut = F.get("_cuts", F.col(_BUCKET) + (width - 1))
-        joined = joined.withColumn(
-            _BUCKET, F.col(_BUCKET) + F.when(cut < F.col("_coarse"), width).otherwise(0)
-        )
-        width //= 2
-    return joined.drop("_cuts", "_coarse")
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null being equal to null; the left keys stay."""
+    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_same_{k}"]) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_same_{k}" for k in keys])
 
 
 def _summary_window(group: list[str]) -> Window:
@@ -100,25 +42,18 @@ def running(
     df: DataFrame,
     group: list[str],
     order: list[str | Column],
-    coarse: Coarse,
     sums: dict[str, Column],
     *,
     peaks: dict[str, str] | None = None,
     buckets: int | None = None,
-    fits: bool | None = None,
 ) -> DataFrame:
     """Inclusive running sums over an ordered group of any size.
 
     ``peaks`` adds running maxima of running sums (name -> name of the sum).
-    ``fits`` passes on an earlier size check.
     """
     peaks = peaks or {}
-    if groups_fit(df, group) if fits is None else fits:
-        whole = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        summed = df.select("*", *[F.sum(expr).over(whole).alias(n) for n, expr in sums.items()])
-        return summed.select("*", *[F.max(src).over(whole).alias(n) for n, src in peaks.items()])
     keys = [*group, _BUCKET]
-    placed = bucketed(df, group, coarse, buckets)
+    placed = bucketed(df, group, order, buckets)
     for name, expr in sums.items():
         placed = placed.withColumn(f"_v_{name}", expr)
     inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -140,7 +75,7 @@ def running(
         *[f"_b_{n}" for n in sums],
         *[F.max(F.col(f"_b_{src}") + F.col(f"_h_{n}")).over(w).alias(f"_p_{n}") for n, src in peaks.items()],
     )
-    joined = local.join(before, keys)
+    joined = join_same(local, before, keys)
     for name in sums:
         part = F.col(f"_l_{name}") if peaks else F.sum(f"_v_{name}").over(inner)
         joined = joined.withColumn(name, F.col(f"_b_{name}") + part)
@@ -149,13 +84,10 @@ def running(
     return joined.select(*df.columns, *sums, *peaks)
 
 
-def value_ranks(df: DataFrame, group: list[str], value: str, *, fits: bool | None = None) -> DataFrame:
+def value_ranks(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Per distinct value: its count, rows at or below it, and the average-tie rank."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n_ties"))
-    fits = groups_fit(df, group) if fits is None else fits
-    scanned = running(
-        counts, group, [F.col(value)], F.col(value), {"n_upto": F.col("n_ties")}, fits=fits
-    )
+    scanned = running(counts, group, [F.col(value)], {"n_upto": F.col("n_ties")})
     rank = F.col("n_upto") - F.col("n_ties") + (F.col("n_ties") + 1) / 2
     return scanned.withColumn("avg_rank", rank)
 
@@ -166,27 +98,17 @@ def with_average_ranks(df: DataFrame, group: list[str], names: dict[str, str]) -
     Rows with a null value are dropped.
     """
     known = df.dropna(subset=list(names))
-    if groups_fit(df, group):
-        for value, name in names.items():
-            w = Window.partitionBy(*group).orderBy(value)
-            upto = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, 0))
-            known = known.withColumn(name, (F.rank().over(w) + upto) / 2)
-        return known
     for value, name in names.items():
-        ranks = value_ranks(known, group, value, fits=False)
-        known = known.join(ranks.select(*group, value, F.col("avg_rank").alias(name)), [*group, value])
+        ranks = value_ranks(known, group, value)
+        known = join_same(known, ranks.select(*group, value, F.col("avg_rank").alias(name)), [*group, value])
     return known
 
 
-def exact_median(
-    df: DataFrame, group: list[str], value: str, name: str, *, fits: bool | None = None
-) -> DataFrame:
-    """Exact median per group; large groups use value counts instead of a list."""
-    if groups_fit(df, group) if fits is None else fits:
-        return df.groupBy(*group).agg(F.median(value).alias(name))
-    ranks = value_ranks(df, group, value, fits=False)
-    totals = df.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("_n"))
-    joined = ranks.join(totals, group) if group else with_row(ranks, totals)
+def exact_median(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """Exact median per group from value counts; null for a group of nulls."""
+    ranks = value_ranks(df, group, value)
+    totals = df.groupBy(*group).agg(F.count(value).alias("_n"))
+    joined = join_same(totals, ranks, group, "left") if group else with_row(ranks, totals)
     low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
     first = F.col("n_upto") - F.col("n_ties")
 
@@ -201,11 +123,9 @@ def path_summary(
     df: DataFrame,
     group: list[str],
     order: list[str | Column],
-    coarse: Coarse,
     ret: str,
     *,
     buckets: int | None = None,
-    fits: bool | None = None,
 ) -> DataFrame:
     """Compounded path statistics of an ordered sequence of returns.
 
@@ -216,8 +136,7 @@ def path_summary(
     """
     keys = [*group, _BUCKET]
     step = F.log(F.greatest(1 + F.col(ret), F.lit(1e-300)))
-    fits = groups_fit(df, group) if fits is None else fits
-    base = df.withColumn(_BUCKET, F.lit(0)) if fits else bucketed(df, group, coarse, buckets)
+    base = bucketed(df, group, order, buckets)
     placed = base.select(
         *keys, step.alias("_step"), (F.col(ret) > 0).alias("_win"), *_order_cols(order, keys)
     )

@@ -192,8 +192,7 @@ def rank_candidates(evals: DataFrame, goal: str = "confidence", *, id_col: str =
     from tapeloom.operators.ordered import running
 
     order = [*sort_key(goal), F.col(id_col)]
-    coarse = -(F.col("passed_gate").cast("double") * 1e6 + objective(goal).cast("double"))
-    return running(scored, [], order, coarse, {"rank": F.lit(1)})
+    return running(scored, [], order, {"rank": F.lit(1)})
 
 
 def diverse_seeds(ranked: DataFrame, limit: int, *, min_avg_return: float | None = None, min_total_return: float | None = None, min_profit_loss_ratio: float | None = None, min_signals: int | None = None, id_col: str = "candidate_id") -> DataFrame:
@@ -270,13 +269,16 @@ def screened_pick(evals: DataFrame, group: list[str], *, min_signals: int = 30)
 def promotion_guard(min_signals: int = 30) -> Column:
     """Why a version must not become champion; null when it may."""
     pct = F.format_string("%.1f%%", F.col("train_val_gap") * 100)
+    payoff = F.format_string(
+        "Non-positive trade payoff (avg_return=%.2f%%, total_return=%.2f%%)", F.col("avg_return") * 100, F.col("total_return") * 100
+    )
     return (
         F.when(
             F.col("signal_count") < min_signals,
             F.concat(F.lit("Sparse-signal result ("), F.col("signal_count").cast("string"), F.lit(f"/{min_signals})")),
         )
         .when(is_overfit(), F.concat(F.lit("Overfit detected (train_val_gap="), pct, F.lit(")")))
-        .when((F.col("avg_return") <= 0) & (F.col("total_return") <= 0), F.lit("Non-positive trade payoff"))
+        .when((F.col("avg_return") <= 0) & (F.col("total_return") <= 0), payoff)
     )
 
 

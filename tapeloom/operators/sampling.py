@@ -82,7 +82,7 @@ def _placed(df: DataFrame, value: Column) -> DataFrame:
     """Position within the sector by ``value`` descending (0-based) and sector size."""
     scored = df.withColumn("_value", value)
     order = [F.col("_value").desc(), F.col("symbol")]
-    pos = running(scored, ["_sector"], order, -F.col("_value"), {"_pos": F.lit(1)})
+    pos = running(scored, ["_sector"], order, {"_pos": F.lit(1)})
     sizes = df.groupBy("_sector").agg(F.count("*").alias("_size"))
     return pos.withColumn("_pos", F.col("_pos") - 1).join(sizes, "_sector")
 
@@ -90,8 +90,10 @@ def _placed(df: DataFrame, value: Column) -> DataFrame:
 def evenly_spaced(pos: Column, size: Column, n: Column) -> Column:
     """Whether a position is one of n evenly spaced picks out of ``size``."""
     step = size / n
-    guess = F.ceil(pos / step)
-    hit = (guess < n) & (F.floor(guess * step) == pos)
+    guess = F.floor(pos / step)
+    hit = F.lit(False)
+    for i in (guess, guess + 1, guess - 1):  # the division may be off by one either way
+        hit = hit | ((i >= 0) & (i < n) & (F.floor(i * step) == pos))
     return (n >= size) | hit
 
 
@@ -181,27 +183,3 @@ def strategy_scoped(
 ) -> DataFrame:
     filtered = apply_filters(universe, filters)
     return representative(filtered, limits) if fit is None else regime_fit(filtered, fit, limits)
-
-
-def expansion_ladder(
-    attempt: Callable[[int, int, str], int],
-    *,
-    symbols: int,
-    days: int,
-    methods: tuple[str, str] = ("representative", "strategy_scoped"),
-    min_trades: int = 30,
-    retries: int = 3,
-) -> list[tuple[int, int, int, str, int]]:
-    """Widen a study until it has enough trades.
-
-    Attempt k asks for 20 k more symbols and 180 k more days, and alternates the
-    sampling method.  Gives (attempt, symbols, days, method, trades) rows.
-    """
-    rows = []
-    for k in range(retries + 1):
-        asked = (symbols + 20 * k, days + 180 * k, methods[min(k, 1)])
-        found = attempt(*asked)
-        rows.append((k, *asked, found))
-        if found >= min_trades:
-            break
-    return rows

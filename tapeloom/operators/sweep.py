@@ -253,9 +253,8 @@ def value_grid(
     low, high = min(low, high), max(low, high)
     if step <= 0 or not low <= current <= high:
         return []
-    around = [0, -step, step, None, None, -2 * step, 2 * step, None]
-    edges = iter((low, high, (low + high) / 2))
-    raw = [next(edges) if d is None else current + d for d in around]
+    # fixed values: the order in which candidates are tried
+    raw = [current, current - step, current + step, low, high, current - 2 * step, current + 2 * step, (low + high) / 2]
     kept = [v for v in raw if low <= v <= high]
     shaped = [int(round(v)) if integer else round(float(v), digits) for v in kept]
     return list(dict.fromkeys(shaped))[: max(1, limit)]
@@ -325,7 +324,7 @@ def param_candidates(
 def exit_candidates(s: Strategy, spaces: tuple[str, ...] = ("exit", "stoploss", "takeprofit", "holding")) -> list[Candidate]:
     """Every stop x holding x trigger x target combination, without repeats."""
     x = s.exit
-    stops = [x.stop.value] + (list(STOP_GRID) if "stoploss" in spaces else [])
+    stops = [x.stop] + ([Stop("pct", v) for v in STOP_GRID] if "stoploss" in spaces else [])
     holds = [x.max_holding_days] + (list(HOLDING_GRID) if "holding" in spaces else [])
     triggers = [x.triggers] + (list(TRIGGER_GRID) if "exit" in spaces else [])
     targets = [x.target]
@@ -336,11 +335,10 @@ def exit_candidates(s: Strategy, spaces: tuple[str, ...] = ("exit", "stoploss",
     for stop, hold, trig, goal in itertools.product(
         *[list(dict.fromkeys(options)) for options in (stops, holds, triggers, targets)]
     ):
-        risk = x.stop if stop is None else Stop("pct", stop)
-        changed = Exit(risk, goal, hold, trig)
+        changed = Exit(stop, goal, hold, trig)
         notes = [
-            f"stop_loss={stop:.1%}" if stop is not None and stop != x.stop.value else "",
-            f"take_profit={goal.type}:{goal.value or goal.trigger_pct}" if goal != x.target else "",
+            f"stop_loss={stop.value:.1%}" if stop != x.stop else "",
+            f"take_profit={_target_note(goal)}" if goal != x.target else "",
             f"max_holding_days={hold}" if hold != x.max_holding_days else "",
             f"exit_triggers={','.join(c.indicator for c in trig) or 'none'}" if trig != x.triggers else "",
         ]
@@ -348,6 +346,10 @@ def exit_candidates(s: Strategy, spaces: tuple[str, ...] = ("exit", "stoploss",
     return _numbered(s.id, plans, "x")
 
 
+def _target_note(goal: Target) -> str:
+    return f"{goal.type}:{goal.trigger_pct}/{goal.trail_pct}" if goal.type == "trailing" else f"{goal.type}:{goal.value}"
+
+
 def _numbered(base: str, plans: list, tag: str) -> list[Candidate]:
     unique: dict[Strategy, tuple[str, ...]] = {}
     for strategy, notes in plans:

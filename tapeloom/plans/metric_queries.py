@@ -618,7 +618,7 @@ def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "g34_g38_verdicts",
     f"""{_SCORES} SELECT candidate_id, CASE WHEN signal_count < 4000 THEN 'Sparse-signal result (' || signal_count || '/4000)'
-      WHEN over THEN 'Overfit detected (train_val_gap=' || format('{{:.1f}}', train_val_gap * 100) || '%)' WHEN avg_return <= 0 AND total_return <= 0 THEN 'Non-positive trade payoff' END AS guard,
+      WHEN over THEN 'Overfit detected (train_val_gap=' || format('{{:.1f}}', train_val_gap * 100) || '%)' WHEN avg_return <= 0 AND total_return <= 0 THEN 'Non-positive trade payoff (avg_return=' || format('{{:.2f}}', avg_return * 100) || '%, total_return=' || format('{{:.2f}}', total_return * 100) || '%)' END AS guard,
     CASE WHEN signal_count < 30 THEN 'insufficient_evidence' WHEN win_rate >= 0.52 AND (avg_return <= 0 OR profit_loss_ratio < 1.2) THEN 'optimize_exits'
       WHEN over THEN 'simplify_structure' WHEN win_rate < 0.45 OR avg_return < 0 THEN 'revise_entry' ELSE 'continue_validation' END AS advice,
     array_to_string(list_filter([CASE WHEN signal_count < 25 THEN 'low_signals' END, CASE WHEN win_rate < 0.45 THEN 'low_win_rate' END, CASE WHEN max_drawdown > 0.20 THEN 'high_drawdown' END,

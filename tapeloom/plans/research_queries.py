@@ -218,7 +218,7 @@ _UNI = f"WITH {t.SQL_UNIVERSE}"
     f"""{_UNI}, a AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY market_cap DESC, symbol) - 1 AS pos, count(*) OVER (PARTITION BY sector) AS size,
       count(*) OVER () AS total, greatest(10, least(40, count(*) OVER ())) AS target FROM universe),
     b AS (SELECT *, greatest(1, CAST(round_even(size / total * target, 0) AS INT)) AS n FROM a)
-    SELECT symbol, sector FROM b WHERE n >= size OR (ceil(pos / (size / n)) < n AND floor(ceil(pos / (size / n)) * (size / n)) = pos)""",
+    SELECT symbol, sector FROM b WHERE n >= size OR pos IN (SELECT CAST(floor(g * (b.size / b.n)) AS BIGINT) FROM generate_series(0, b.n - 1) AS s(g))""",
 )
 def sector_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sampling.sector_picks(t.universe(spark, sf_dir), _LIMITS)
@@ -360,7 +360,7 @@ _VKEY = r"""CASE WHEN regexp_full_match(to_value, '-?[0-9]+') OR to_value IN ('t
   ELSE CAST(round(CAST(to_value AS DOUBLE), 2) AS VARCHAR) END"""
 _FAILED = f"""{LE}, rc AS (SELECT *, row_number() OVER (PARTITION BY strategy_family ORDER BY created_at DESC) AS n FROM le),
 fs AS (SELECT strategy_family, change_type, trim(target) AS target, {_VKEY} AS value_key, count(*) FILTER (NOT worked) AS failures, count(*) FILTER (worked) AS ok
-  FROM rc WHERE n <= 500 GROUP BY ALL HAVING count(*) FILTER (NOT worked) >= 2 AND count(*) FILTER (worked) = 0)"""
+  FROM rc GROUP BY ALL HAVING count(*) FILTER (NOT worked) >= 2 AND count(*) FILTER (worked) = 0)"""
 
 
 @query("j14_failed_signatures", f"{_FAILED} SELECT strategy_family, change_type, target, value_key, failures FROM fs")
@@ -406,7 +406,7 @@ def lesson_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j16_cross_strategy_memory",
-    f"""{LE}, rc AS (SELECT * FROM le WHERE {_REAL} ORDER BY created_at DESC LIMIT 120),
+    f"""{LE}, rc AS (SELECT * FROM le WHERE {_REAL}),
     g AS (SELECT change_type, target, count(*) AS total, count(*) FILTER (worked) AS succeeded, count(DISTINCT strategy_family) AS families FROM rc
       WHERE strategy_family <> '{FAMILY}' GROUP BY ALL HAVING count(*) FILTER (worked) > 0)
     SELECT change_type, target, total, succeeded, families, {r('succeeded / total', 'rate')} FROM g ORDER BY g.succeeded DESC, g.total DESC, change_type, target LIMIT 2""",
@@ -438,7 +438,7 @@ def _cat_sql(logic: bool) -> str:
 
 @query(
     "j18_top_success_patterns",
-    f"""{LE}, rc AS (SELECT * FROM le WHERE worked AND {_REAL} ORDER BY created_at DESC LIMIT 50)
+    f"""{LE}, rc AS (SELECT * FROM le WHERE worked AND {_REAL})
     SELECT change_type || '→' || {_cat_sql(False)} AS pattern, count(*) AS n FROM rc GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""",
 )
 def top_success(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,7 +470,7 @@ def convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j26_search_profile",
-    f"""{_RANKED_TYPES}, src AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strategy_family ORDER BY created_at DESC) AS k FROM le WHERE {_REAL}) WHERE k <= 100), {_EFFECT},
+    f"""{_RANKED_TYPES}, src AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strategy_family ORDER BY created_at DESC) AS k FROM le WHERE {_REAL})), {_EFFECT},
     ev AS (SELECT strategy_family, count(*) AS sc, avg(CAST(worked AS INT)) AS wr FROM le GROUP BY strategy_family),
     lk AS (SELECT strategy_family, string_agg(change_type, ',' ORDER BY position) FILTER (position <= 3) AS preferred FROM rp GROUP BY strategy_family)
     SELECT strategy_family, preferred, {r('CASE WHEN sc < 15 THEN greatest(1.5, intensity) WHEN wr > 0.6 AND sc > 50 THEN least(0.7, intensity) ELSE intensity END', 'intensity')},
@@ -491,7 +491,7 @@ def search_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_MINED = f"""{LE}, rc AS (SELECT * FROM le WHERE worked AND {_REAL} ORDER BY created_at DESC LIMIT 200),
+_MINED = f"""{LE}, rc AS (SELECT * FROM le WHERE worked AND {_REAL}),
 ht AS (SELECT lower(unnest(failure_patterns)) AS fp, change_type AS action, {_cat_sql(True)} AS tc, reason FROM rc),
 hc AS (SELECT CASE WHEN contains(fp, 'win') AND contains(fp, 'rate') THEN 'low_win_rate' WHEN contains(fp, 'drawdown') THEN 'high_drawdown'
    WHEN contains(fp, 'overfit') OR (contains(fp, 'train') AND (contains(fp, 'val') OR contains(fp, 'gap'))) THEN 'overfit'

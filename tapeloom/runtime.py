@@ -79,20 +79,3 @@ def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
     packed = row.select(F.struct("*")).scalar()
     return df.withColumn("_row", packed).select("*", "_row.*").drop("_row")
 
-
-def group_limit(spark: SparkSession) -> int:
-    """Rows a single ordered group may hold before it is cut into buckets."""
-    return int(spark.conf.get("tapeloom.scan.groupRows", "1000000"))
-
-
-def groups_fit(df: DataFrame, group: list[str]) -> bool:
-    """Whether every group is proven small enough for one ordered task.
-
-    One counting job over the key columns; callers stage what they measure.
-    """
-    limit = group_limit(df.sparkSession)
-    if limit <= 0:
-        return False
-    counts = df.groupBy(*group).count() if group else df.agg(F.count("*").alias("count"))
-    largest = counts.agg(F.max("count")).first()[0]
-    return (largest or 0) <= limit

@@ -79,7 +79,6 @@ def main() -> int:
 
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="0.01")
-    ap.add_argument("--bucketed", action="store_true", help="force the bucketed scans")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     spark = (
@@ -91,8 +90,6 @@ def main() -> int:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if args.bucketed:
-        spark.conf.set("tapeloom.scan.groupRows", "0")
     sf_dir = f"/root/testdata/sf{args.sf}"
     con, sqls, bad = connect(sf_dir), entry.oracle_sql(), []
     for name, fn in entry.queries().items():

@@ -21,11 +21,3 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
-
-
-@pytest.fixture
-def bucketed(spark):
-    """Force the bucketed form of every ordered scan."""
-    spark.conf.set("tapeloom.scan.groupRows", "0")
-    yield
-    spark.conf.unset("tapeloom.scan.groupRows")

@@ -148,10 +148,36 @@ def test_samples(spark):
     assert sampling.apply_filters(u.withColumn("pe", F.lit(None).cast("double")), [("pe", "<", 3.0)]).count() == 90
 
 
-def test_expansion_ladder():
-    rows = sampling.expansion_ladder(lambda n, d, m: n // 2, symbols=20, days=365)
-    assert rows[0] == (0, 20, 365, "representative", 10)
-    assert rows[-1] == (2, 60, 725, "strategy_scoped", 30)
+def test_evenly_spaced_picks_as_many_as_asked(spark):
+    pairs = spark.range(1, 200).selectExpr("id AS size").selectExpr("size", "explode(sequence(1L, size)) AS n")
+    picks = pairs.selectExpr("size", "n", "explode(sequence(0L, size - 1)) AS pos").where(
+        sampling.evenly_spaced(F.col("pos"), F.col("size"), F.col("n"))
+    )
+    want = pairs.selectExpr("size", "n", "explode(transform(sequence(0L, n - 1), i -> cast(floor(i * (size / n)) AS long))) AS pos")
+    assert picks.exceptAll(want).isEmpty() and want.exceptAll(picks).isEmpty()
+
+
+def test_lineage_reports_circles(spark):
+    from tapeloom.operators.lineage import lineage
+
+    rows = [("f", f"n{i}", f"n{i - 1}" if i else None) for i in range(9)] + [("f", "x", "y"), ("f", "y", "x"), ("f", "z", "y"), ("g", "s", "s")]
+    got = {(r.family, r.id): (r.root_id, r.depth) for r in lineage(spark.createDataFrame(rows, "family string, id string, parent_id string")).collect()}
+    assert all(got["f", f"n{i}"] == ("n0", i) for i in range(9))
+    assert [got[k] for k in (("f", "x"), ("f", "y"), ("f", "z"), ("g", "s"))] == [(None, None)] * 4
+
+
+def test_exit_grid_keeps_other_stops():
+    from dataclasses import replace
+
+    from tapeloom.functions.spec import Stop
+    from tapeloom.operators import sweep
+    from tapeloom.plans.trade_queries import BASE
+
+    for stop in (Stop("pct_from_low", 0.08), Stop("price_level", 95.0)):
+        grid = sweep.exit_candidates(replace(BASE, exit=replace(BASE.exit, stop=stop)))
+        assert grid[0].strategy.exit.stop == stop and grid[0].changes == ("baseline",)
+        assert {c.strategy.exit.stop.type for c in grid} == {stop.type, "pct"}
+        assert len({c.changes for c in grid}) == len(grid)
 
 
 def test_random_baseline_is_centred_on_the_pool(spark):

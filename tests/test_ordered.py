@@ -1,10 +1,11 @@
-"""Bucketed scans equal plain windows, with a hot group and ties."""
+"""Ordered scans equal plain windows: a hot group, ties, null groups and keys, one odd symbol."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators import ordered
@@ -26,10 +27,10 @@ def rows() -> pd.DataFrame:
     )
 
 
-def test_running_sums(spark, bucketed, rows):
+def test_running_sums(spark, rows):
     df = spark.createDataFrame(rows)
     got = ordered.running(
-        df, ["k"], ["symbol", "signal_idx"], ordered.symbol_major_code(df), {"rn": F.lit(1), "s": F.col("return_pct")}, peaks={"top": "s"}
+        df, ["k"], ["symbol", "signal_idx"], {"rn": F.lit(1), "s": F.col("return_pct")}, peaks={"top": "s"}
     ).toPandas()
     want = rows.sort_values(["k", "symbol", "signal_idx"]).copy()
     want["rn"] = want.groupby("k").cumcount() + 1
@@ -40,30 +41,20 @@ def test_running_sums(spark, bucketed, rows):
     assert np.allclose(both.s, both.s_w) and np.allclose(both.top, both.top_w)
 
 
-@pytest.mark.parametrize("limit", ["0", "100000"])
-def test_average_ranks_and_median(spark, rows, limit):
-    spark.conf.set("tapeloom.scan.groupRows", limit)
-    try:
-        df = spark.createDataFrame(rows)
-        got = ordered.with_average_ranks(df, ["k"], {"v": "rk"}).toPandas().set_index("signal_idx").sort_index()
-        want = rows.groupby("k")["v"].rank()
-        assert np.allclose(got["rk"].to_numpy(), want.to_numpy())
-        med = ordered.exact_median(df, ["k"], "return_pct", "m").toPandas().set_index("k")["m"]
-        assert np.allclose(med.sort_index(), rows.groupby("k")["return_pct"].median().sort_index())
-    finally:
-        spark.conf.unset("tapeloom.scan.groupRows")
+def test_average_ranks_and_median(spark, rows):
+    df = spark.createDataFrame(rows)
+    got = ordered.with_average_ranks(df, ["k"], {"v": "rk"}).toPandas().set_index("signal_idx").sort_index()
+    want = rows.groupby("k")["v"].rank()
+    assert np.allclose(got["rk"].to_numpy(), want.to_numpy())
+    med = ordered.exact_median(df, ["k"], "return_pct", "m").toPandas().set_index("k")["m"]
+    assert np.allclose(med.sort_index(), rows.groupby("k")["return_pct"].median().sort_index())
 
 
-@pytest.mark.parametrize("limit", ["0", "100000"])
-def test_path_summary(spark, rows, limit):
-    spark.conf.set("tapeloom.scan.groupRows", limit)
-    try:
-        df = spark.createDataFrame(rows)
-        got = ordered.path_summary(
-            df, ["k"], ["symbol", "signal_idx"], ordered.symbol_major_code(df), "return_pct"
-        ).toPandas().set_index("k")
-    finally:
-        spark.conf.unset("tapeloom.scan.groupRows")
+def test_path_summary(spark, rows):
+    df = spark.createDataFrame(rows)
+    got = ordered.path_summary(
+        df, ["k"], ["symbol", "signal_idx"], "return_pct"
+    ).toPandas().set_index("k")
     for key, g in rows.sort_values(["symbol", "signal_idx"]).groupby("k"):
         equity = np.cumprod(1 + g.return_pct.to_numpy())
         peak = np.maximum.accumulate(np.r_[1.0, equity])[1:]
@@ -76,12 +67,22 @@ def test_path_summary(spark, rows, limit):
         assert got.loc[key, "max_consecutive_loss"] == best
 
 
-def test_symbol_code_never_decreases(spark):
-    names = sorted(["", "A", "AA", "AAPL", "AB", "B", "Z", "ZZZZZ", "é", "600519.SH", "000001.SZ"], key=lambda s: s.encode())
-    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, symbol string")
-    for size in (4, 6):
-        codes = [r[0] for r in df.select(ordered.symbol_code(df, size), "i").orderBy("i").collect()]
-        assert codes == sorted(codes)
-    long = spark.createDataFrame([(f"SYMBOL-{i:06d}",) for i in range(0, 900, 9)], "symbol string")
-    codes = [r[0] for r in long.select(ordered.symbol_code(long, 4), "symbol").orderBy("symbol").collect()]
-    assert codes == sorted(codes) and len(set(codes)) == 100
+def test_nulls_and_odd_symbols_are_keys_like_others(spark):
+    data = [(None if i % 2 else "g", None if i % 7 == 0 else f"SYMBOL-{i:06d}" if i != 5 else "A", i, float(i % 5), None if i % 3 == 0 else i % 4 / 1.0) for i in range(400)]
+    df = spark.createDataFrame(data, "k string, symbol string, signal_idx int, return_pct double, v double")
+    w = Window.partitionBy("k").orderBy("symbol", "signal_idx").rowsBetween(Window.unboundedPreceding, 0)
+    want = {(r.k, r.signal_idx): (r.rn, r.s) for r in df.select("*", F.count("*").over(w).alias("rn"), F.sum("return_pct").over(w).alias("s")).collect()}
+    sums = {"rn": F.lit(1), "s": F.col("return_pct")}
+    got = {(r.k, r.signal_idx): (r.rn, r.s) for r in ordered.running(df, ["k"], ["symbol", "signal_idx"], sums, buckets=13).collect()}
+    assert got == want
+    down = Window.orderBy(F.col("v").desc(), "signal_idx")
+    want = {r.signal_idx: r.p for r in df.select("signal_idx", F.row_number().over(down).alias("p")).collect()}
+    got = {r.signal_idx: r.p for r in ordered.running(df, [], [F.col("v").desc(), F.col("signal_idx")], {"p": F.lit(1)}).collect()}
+    assert got == want
+    ranks = {(r.k, r.signal_idx): r.rk for r in ordered.with_average_ranks(df, ["k"], {"v": "rk"}).collect()}
+    frame = df.toPandas().dropna(subset=["v"])
+    for part in (None, "g"):
+        one = frame[frame.k.isna()] if part is None else frame[frame.k == part]
+        assert [ranks[part, i] for i in one.signal_idx] == one.v.rank().tolist()
+    assert {r.k: r.m for r in ordered.exact_median(df, ["k"], "v", "m").collect()} == {r.k: r.m for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    assert ordered.path_summary(df, ["k"], ["symbol", "signal_idx"], "return_pct").count() == 2

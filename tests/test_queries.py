@@ -1,4 +1,4 @@
-"""Registered queries against their SQL on the smallest tables, bucketed scans forced."""
+"""Registered queries against their SQL on the smallest tables."""
 
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ def duck():
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_query_matches_sql(spark, bucketed, duck, name):
+def test_query_matches_sql(spark, duck, name):
     ok, note = compare(duck, spark, name, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert ok, note
 
