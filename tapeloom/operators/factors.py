@@ -114,6 +114,11 @@ def _none_below(result: DataFrame, rows: DataFrame, least: int, name: str) -> Da
     return n.withColumn(name, F.when(F.col("_rows") < least, 0.0).otherwise(F.col(name))).drop("_rows")
 
 
+def _positive(value: Column) -> Column:
+    """Share of positive values; an exact zero counts as zero whatever its last bit says."""
+    return F.avg((F.round(value, 12) > 0).cast("double"))
+
+
 def monthly_win_rate(daily: DataFrame, *, sign: int = 1, obs: DataFrame | None = None) -> DataFrame:
     """Share of months whose mean daily IC has the expected sign.
 
@@ -121,7 +126,7 @@ def monthly_win_rate(daily: DataFrame, *, sign: int = 1, obs: DataFrame | None =
     """
     month = daily.groupBy(F.trunc("date", "month").alias("month")).agg(F.avg("ic").alias("m"))
     out = month.agg(
-        F.coalesce(F.avg((F.col("m") * sign > 0).cast("double")), F.lit(0.0)).alias("monthly_win_rate"),
+        F.coalesce(_positive(F.col("m") * sign), F.lit(0.0)).alias("monthly_win_rate"),
         F.count("*").alias("months"),
     )
     return out if obs is None else _none_below(out, _complete(obs), MIN_WIN_ROWS, "monthly_win_rate")
@@ -132,7 +137,7 @@ def monthly_pooled_ic(obs: DataFrame, *, sign: int = 1) -> DataFrame:
     clean = _complete(obs).select(F.trunc("date", "month").alias("month"), "f", "r")
     ics = _rank_corr(clean, ["month"], "f", "r").where((F.col("n") >= 5) & F.col("ic").isNotNull())
     out = ics.agg(
-        F.coalesce(F.avg((F.col("ic") * sign > 0).cast("double")), F.lit(0.0)).alias("monthly_win_rate"),
+        F.coalesce(_positive(F.col("ic") * sign), F.lit(0.0)).alias("monthly_win_rate"),
         F.count("*").alias("months"),
     )
     return _none_below(out, clean, MIN_WIN_ROWS, "monthly_win_rate")
@@ -147,7 +152,7 @@ def bucket_win_rate(obs: DataFrame, *, sign: int = 1) -> DataFrame:
     ics = _rank_corr(placed.select("bucket", "f", "r"), ["bucket"], "f", "r")
     ics = ics.where((F.col("n") >= 5) & F.col("ic").isNotNull())
     out = ics.agg(
-        F.coalesce(F.avg((F.col("ic") * sign > 0).cast("double")), F.lit(0.0)).alias("monthly_win_rate"),
+        F.coalesce(_positive(F.col("ic") * sign), F.lit(0.0)).alias("monthly_win_rate"),
         F.count("*").alias("months"),
     )
     return _none_below(out, clean, MIN_WIN_ROWS, "monthly_win_rate")

@@ -70,7 +70,7 @@ def pooled_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "h04_monthly_win_rate",
     f"""{_DAILY}, mo AS (SELECT date_trunc('month', date) AS m, avg(ic) AS a FROM ic GROUP BY 1)
-    SELECT {r('avg(CAST(a > 0 AS INT))', 'monthly_win_rate')}, count(*) AS months FROM mo""",
+    SELECT {r('avg(CAST(round(a, 12) > 0 AS INT))', 'monthly_win_rate')}, count(*) AS months FROM mo""",
 )
 def monthly_win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(factors.monthly_win_rate(factors.daily_ic(observations(spark, sf_dir))))
@@ -80,7 +80,7 @@ def monthly_win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     "h04_monthly_pooled_win_rate",
     f"""{OBS_SQL}, mr AS (SELECT date_trunc('month', date) AS m, {rank_sql("date_trunc('month', date)", 'f')} AS rf, {rank_sql("date_trunc('month', date)", 'r')} AS rr FROM cl),
     mi AS (SELECT corr(rf, rr) AS a FROM mr GROUP BY m HAVING count(*) >= 5 AND stddev_pop(rf) > 0 AND stddev_pop(rr) > 0)
-    SELECT {r('avg(CAST(a > 0 AS INT))', 'monthly_win_rate')}, count(*) AS months FROM mi""",
+    SELECT {r('avg(CAST(round(a, 12) > 0 AS INT))', 'monthly_win_rate')}, count(*) AS months FROM mi""",
 )
 def monthly_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(factors.monthly_pooled_ic(observations(spark, sf_dir)))
@@ -91,7 +91,7 @@ def monthly_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{OBS_SQL}, po AS (SELECT f, r, (row_number() OVER (ORDER BY date, symbol) - 1) // greatest(count(*) OVER () // 12, 5) AS b FROM cl),
     br AS (SELECT b, {rank_sql('b', 'f')} AS rf, {rank_sql('b', 'r')} AS rr FROM po),
     bi AS (SELECT corr(rf, rr) AS a FROM br GROUP BY b HAVING count(*) >= 5 AND stddev_pop(rf) > 0 AND stddev_pop(rr) > 0)
-    SELECT {r('avg(CAST(a > 0 AS INT))', 'monthly_win_rate')}, count(*) AS months FROM bi""",
+    SELECT {r('avg(CAST(round(a, 12) > 0 AS INT))', 'monthly_win_rate')}, count(*) AS months FROM bi""",
 )
 def bucket_win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(factors.bucket_win_rate(observations(spark, sf_dir)))
@@ -128,7 +128,7 @@ def cross_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _VALID = f"""{_DAILY}, mo AS (SELECT avg(ic) AS a FROM ic GROUP BY date_trunc('month', date)), {_TURN.split('cl AS (SELECT * FROM obs WHERE r IS NOT NULL),')[1]},
 xr AS (SELECT {rank_sql('', 'f')} AS ra, {rank_sql('', 'g')} AS rb FROM obs),
-v AS (SELECT (SELECT avg(ic) FROM ic) AS m, (SELECT stddev_pop(ic) FROM ic) AS s, (SELECT avg(CAST(a > 0 AS INT)) FROM mo) AS w, (SELECT avg(mv / c) FROM tp) AS tv, (SELECT corr(ra, rb) FROM xr) AS x)"""
+v AS (SELECT (SELECT avg(ic) FROM ic) AS m, (SELECT stddev_pop(ic) FROM ic) AS s, (SELECT avg(CAST(round(a, 12) > 0 AS INT)) FROM mo) AS w, (SELECT avg(mv / c) FROM tp) AS tv, (SELECT corr(ra, rb) FROM xr) AS x)"""
 
 
 @query(
