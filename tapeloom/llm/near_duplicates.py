@@ -18,8 +18,9 @@ have a Jaccard similarity of ``percent`` / 100 or more.
 
 Signatures only name candidates; every link is decided by the sets themselves.
 Equal sets are one class from the start and candidates are tried class by
-class: first the smallest class of every signature with the others, and only
-between classes that are still apart after that all of them.  Sets of shingles
+class: first every class with the smallest one it shares a signature with, and
+only between components that are still apart after that all of them, block by
+block and by bounds on what they have in common before the sets are fetched.  Sets of shingles
 are compared by 64-bit hashes, classes by 128 bits.
 """
 
@@ -43,7 +44,9 @@ BAND_GROWTH = 1.15
 #: Second-level pieces of a part and how many of them may differ; the cheapest is taken per band.
 SPLITS = ((3, 2), (3, 1), (4, 2), (4, 1))
 SEEDS = 8
-CELLS = 256
+CELLS, PARITIES = 256, 1024
+#: Members of a signature that one task compares with each other; larger groups are compared block by block.
+BLOCK_ROWS = 2000
 CACHE_WORDS = 300_000
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -205,6 +208,12 @@ def cell_counts(h: np.ndarray) -> np.ndarray:
     return np.minimum(counts, 255).astype(np.uint8)
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """One bit per cell, whether it holds an odd number: two sets differ in at least as many shingles as bits."""
+    counts = np.bincount((h >> _U(54)).astype(np.int64), minlength=PARITIES)
+    return np.packbits((counts & 1).astype(bool))
+
+
 def _linked(same: int, a: int, b: int, percent: int) -> bool:
     return 100 * same >= percent * (a + b - same)
 
@@ -214,7 +223,7 @@ def _linked(same: int, a: int, b: int, percent: int) -> bool:
 
 def _sign_documents(words: int, percent: int):
     schema = pa.schema(
-        [("doc", pa.int64()), ("copy", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("cells", pa.binary()), ("signs", pa.list_(pa.int64()))]
+        [("doc", pa.int64()), ("copy", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("cells", pa.binary()), ("parity", pa.binary()), ("signs", pa.list_(pa.int64()))]
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,14 +235,15 @@ def _sign_documents(words: int, percent: int):
                 for doc, copy, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(2), strict=True):
                     h = shingles(text.as_py() or b"", words)
                     if not len(h):
-                        rows.append((doc, copy, 0, None, None, None))
+                        rows.append((doc, copy, 0, None, None, None, None))
                         continue
                     fp = xxhash.xxh3_128_digest(h.tobytes())
                     if fp in seen:
-                        rows.append((doc, copy, len(h), fp, None, None))
+                        rows.append((doc, copy, len(h), fp, None, None, None))
                         continue
                     seen.add(fp)
-                    rows.append((doc, copy, len(h), fp, cell_counts(h).tobytes(), signatures(h, percent).view(np.int64)))
+                    signs = signatures(h, percent).view(np.int64)
+                    rows.append((doc, copy, len(h), fp, cell_counts(h).tobytes(), parities(h).tobytes(), signs))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return run
@@ -279,6 +289,63 @@ def _could_link(percent: int):
     return run
 
 
+def _bucket_pairs(percent: int, one_each: bool):
+    """Pairs of a signature's members in different components that could link.
+
+    Rows come sorted by (sign, lo, hi): two blocks of one signature's members,
+    or one block with itself.  With ``one_each`` only the first partner of
+    every member is named.
+    """
+
+    def compare(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        lo, hi = rows[0][1], rows[0][2]
+        left = [r for r in rows if r[3] == lo]
+        right = left if lo == hi else [r for r in rows if r[3] == hi]
+        if not left or not right:
+            return
+        fields = [
+            (np.array([r[6] for r in side]), np.frombuffer(b"".join(r[7] for r in side), np.uint64).reshape(-1, PARITIES // 64))
+            for side in (left, right)
+        ]
+        names = {r[5]: i for i, r in enumerate(rows)}
+        root_l, root_r = (np.array([names[r[5]] for r in side]) for side in (left, right))
+        (n_l, c_l), (n_r, c_r) = fields
+        for i in range(len(left)):
+            from_ = i + 1 if lo == hi else 0
+            total = n_r[from_:] + n_l[i]
+            fits = (root_r[from_:] != root_l[i]) & (100 * np.minimum(n_r[from_:], n_l[i]) >= percent * np.maximum(n_r[from_:], n_l[i]))
+            at = np.flatnonzero(fits)
+            if not len(at):
+                continue
+            apart = np.bitwise_count(c_r[from_ + at] ^ c_l[i]).sum(axis=1, dtype=np.int64)
+            at = at[100 * (total[at] - apart) >= percent * (total[at] + apart)]
+            for j in at[:1] if one_each else at:
+                a, b = left[i][4], right[from_ + int(j)][4]
+                yield (a, b) if a < b else (b, a)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: set[tuple[bytes, bytes]] = set()
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    out.update(compare(held))
+                    held = []
+                held.append(row)
+            if len(out) > 50_000:
+                yield _pair_batch(out)
+                out = set()
+        if held:
+            out.update(compare(held))
+        yield _pair_batch(out)
+
+    return run
+
+
+def _pair_batch(pairs: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+
 def _do_link(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,12 +430,28 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Signature members with their component, where a signature has several."""
+def _apart(shared: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of signatures that several components share, with what is needed to compare them."""
     named = shared.join(roots, "fp", "left").select("sign", "fp", F.coalesce("root", "fp").alias("root"))
     named = stage(named)
-    several = named.groupBy("sign").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high"))
-    return stage(named.join(stage(several.select("sign", "low")), "sign"))
+    several = (
+        named.groupBy("sign")
+        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
+        .where(F.col("low") != F.col("high"))
+        .select("sign", F.ceil(F.col("members") / BLOCK_ROWS).cast("int").alias("blocks"))
+    )
+    return named.join(stage(several), "sign").join(classes.select("fp", "n", "parity"), "fp")
+
+
+def _compared(meeting: DataFrame, percent: int, one_each: bool) -> DataFrame:
+    """Distinct pairs that could link, staged; every two blocks of a signature meet in one group."""
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    spread = meeting.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = spread.select(
+        "sign", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fp", "root", "n", "parity"
+    )
+    dealt = keyed.repartition("sign", "lo", "hi").sortWithinPartitions("sign", "lo", "hi", "fp")
+    return stage(dealt.mapInArrow(_bucket_pairs(percent, one_each), "a binary, b binary").distinct())
 
 
 def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -387,14 +470,14 @@ def _grouped(docs: DataFrame, doc: str, text: str, words: int, percent: int) ->
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("copy"), F.col(text).cast("binary").alias("text"))
     signed_path = shared_path(docs.sparkSession)
     rows.mapInArrow(
-        _sign_documents(words, percent), "doc long, copy long, n long, fp binary, cells binary, signs array<long>"
+        _sign_documents(words, percent), "doc long, copy long, n long, fp binary, cells binary, parity binary, signs array<long>"
     ).write.parquet(signed_path)
     signed = docs.sparkSession.read.parquet(signed_path)
     members = stage(signed.select("doc", "copy", "n", "fp"))
     classes = stage(
         signed.where(F.col("fp").isNotNull())
         .groupBy("fp")
-        .agg(F.min("doc").alias("first_doc"), F.max("n").alias("n"), F.max("cells").alias("cells"))
+        .agg(F.min("doc").alias("first_doc"), F.max("n").alias("n"), F.max("cells").alias("cells"), F.max("parity").alias("parity"))
         .withColumn("rep", _key(F.col("first_doc")))
     )
 
@@ -414,21 +497,15 @@ def _grouped(docs: DataFrame, doc: str, text: str, words: int, percent: int) ->
     first = shared.join(stage(smallest), "sign").groupBy(F.col("fp").alias("b")).agg(F.min("low").alias("a"))
     found = links.among(first.where(F.col("a") != F.col("b")).select("a", "b"))
     roots = components(found)
-    # where components still meet: the smallest component's member of each signature with the others
-    meeting = _apart(shared, roots)
-    heads = meeting.where(F.col("root") == F.col("low")).groupBy("sign").agg(F.min("fp").alias("a"))
-    second = meeting.where(F.col("root") != F.col("low")).join(stage(heads), "sign")
-    more = links.among(_ordered(second.select("a", F.col("fp").alias("b"))))
-    if not more.isEmpty():
-        found = stage(found.union(more))
-        roots = components(found)
-        meeting = _apart(shared, roots)
-    # and what is apart after that, pair by pair
-    other = meeting.select("sign", F.col("fp").alias("b"), F.col("root").alias("other"))
-    rest = meeting.select("sign", F.col("fp").alias("a"), "root").join(other, "sign").where(F.col("root") < F.col("other"))
-    more = links.among(_ordered(rest.select("a", "b")))
-    if not more.isEmpty():
-        roots = components(found.union(more))
+    # where components still meet: first one candidate for every member, then all of them
+    for one_each in (True, False):
+        candidates = _compared(_apart(shared, classes, roots), percent, one_each)
+        if candidates.isEmpty():
+            break
+        more = links.among(candidates)
+        if not more.isEmpty():
+            found = stage(found.union(more))
+            roots = components(found)
 
     named = classes.select("fp", "first_doc").join(roots, "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     named = stage(named)
@@ -442,10 +519,6 @@ def _grouped(docs: DataFrame, doc: str, text: str, words: int, percent: int) ->
     )
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def keep_first(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of every group, the one with the smallest id, columns unchanged.
 
