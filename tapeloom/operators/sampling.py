@@ -42,7 +42,8 @@ class Limits:
 
 
 def hashed(seed: int) -> Column:
-    return F.xxhash64(F.col("symbol").cast("string"), F.lit(seed))
+    """A seeded order of symbols that any engine can repeat."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.col("symbol").cast("string")))
 
 
 def clamp_target(available: Column, limits: Limits) -> Column:

@@ -699,3 +699,28 @@ def market_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         spec.buy_allowed(rules, df.columns).alias("can_buy"),
         spec.sell_allowed(rules, df.columns).alias("can_sell"),
     )
+
+
+@query(
+    "s01_symbol_rules",
+    r"""WITH k AS (SELECT s_suppkey AS key, lpad(CAST(s_suppkey * 7919 % 1000000 AS VARCHAR), 6, '0') AS c FROM supplier),
+    s AS (SELECT key, CASE key % 6 WHEN 0 THEN c WHEN 1 THEN 'sz' || c WHEN 2 THEN c || '.SH' WHEN 3 THEN ' SH' || c || '.ss ' WHEN 4 THEN 'SZSH' || c ELSE 'AB' || c END AS raw FROM k),
+    p AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(upper(trim(raw)), '\.SZ$', ''), '\.SS$', ''), '\.SH$', '') AS a FROM s),
+    q AS (SELECT key, raw, regexp_replace(regexp_replace(regexp_replace(a, '^SZ(.+)', '\1'), '^SH(.+)', '\1'), '^SS(.+)', '\1') AS code FROM p)
+    SELECT key, raw, code, CASE WHEN regexp_full_match(code, '[0-9]{6}') THEN code || CASE WHEN code[1] IN ('6', '9') THEN '.SS' ELSE '.SZ' END ELSE code END AS listed FROM q""",
+)
+def symbol_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier numbers written the ways codes come in, brought to one form."""
+    key = F.col("s_suppkey")
+    c = F.lpad((key * 7919 % 1000000).cast("string"), 6, "0")
+    raw = (
+        F.when(key % 6 == 0, c)
+        .when(key % 6 == 1, F.concat(F.lit("sz"), c))
+        .when(key % 6 == 2, F.concat(c, F.lit(".SH")))
+        .when(key % 6 == 3, F.concat(F.lit(" SH"), c, F.lit(".ss ")))
+        .when(key % 6 == 4, F.concat(F.lit("SZSH"), c))
+        .otherwise(F.concat(F.lit("AB"), c))
+    )
+    named = t.table(spark, sf_dir, "supplier").select(key.alias("key"), raw.alias("raw"))
+    coded = named.withColumn("code", src.plain_code(F.col("raw")))
+    return coded.withColumn("listed", src.exchange_code(F.col("code")))

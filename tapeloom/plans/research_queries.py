@@ -225,12 +225,23 @@ def sector_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where("_picked").select("symbol", "sector")
 
 
-@query("j01_j02_representative_sample")
+@query(
+    "j01_j02_representative_sample",
+    f"""{_UNI}, a AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY market_cap DESC, symbol) - 1 AS pos, count(*) OVER (PARTITION BY sector) AS size,
+      count(*) OVER () AS total, greatest(10, least(40, count(*) OVER ())) AS target FROM universe),
+    b AS (SELECT *, greatest(1, CAST(round_even(size / total * target, 0) AS INT)) AS n FROM a),
+    c AS (SELECT *, n >= size OR pos IN (SELECT CAST(floor(g * (b.size / b.n)) AS BIGINT) FROM generate_series(0, b.n - 1) AS s(g)) AS picked FROM b),
+    d AS (SELECT *, row_number() OVER (ORDER BY picked DESC, md5('42|' || CAST(symbol AS VARCHAR)), symbol) AS rk, count(*) FILTER (picked) OVER () AS np FROM c)
+    SELECT symbol, sector, CAST(rk AS INT) AS symbol_rank FROM d WHERE rk <= CASE WHEN np > target THEN target WHEN np < 10 AND total >= 10 THEN 10 ELSE np END""",
+)
 def representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.representative(t.universe(spark, sf_dir), _LIMITS).select("symbol", "sector", "symbol_rank")
 
 
-@query("j04_random_pick")
+@query(
+    "j04_random_pick",
+    f"{_UNI} SELECT symbol, sector FROM universe ORDER BY md5('42|' || CAST(symbol AS VARCHAR)), symbol LIMIT 20",
+)
 def random_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.random_pick(t.universe(spark, sf_dir), 20, 42).select("symbol", "sector")
 

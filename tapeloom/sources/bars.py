@@ -254,3 +254,19 @@ def benchmark_from_bars(bars: DataFrame) -> DataFrame:
     return bars.groupBy("date").agg(
         F.avg("close").alias("close"), F.avg("high").alias("high"), F.avg("low").alias("low")
     )
+
+
+def plain_code(symbol: Column) -> Column:
+    """An A-share code without blanks, exchange suffix and exchange prefix, in capitals."""
+    code = F.upper(F.trim(symbol))
+    for suffix in (".SZ", ".SS", ".SH"):
+        code = F.when(code.endswith(suffix), F.substring(code, F.lit(1), F.length(code) - len(suffix))).otherwise(code)
+    for prefix in ("SZ", "SH", "SS"):
+        code = F.when(code.startswith(prefix) & (F.length(code) > 2), F.substring(code, F.lit(3), F.length(code))).otherwise(code)
+    return code
+
+
+def exchange_code(symbol: Column) -> Column:
+    """A six-digit code with its exchange: Shanghai for 6 and 9, Shenzhen for the rest; others as they are."""
+    shanghai = F.substring(symbol, 1, 1).isin("6", "9")
+    return F.when(symbol.rlike("^[0-9]{6}$"), F.concat(symbol, F.when(shanghai, ".SS").otherwise(".SZ"))).otherwise(symbol)
