@@ -664,30 +664,26 @@ def hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("candidate_id", "hypothesis_status")
 
 
-@query(
-    "g26_full_report",
-    f"""{EVALS}, {WALK}, {_HOLDOUT}, {_CPCV},
+_FULL = f"""{EVALS}, {WALK}, {_HOLDOUT}, {_CPCV},
     fo AS (SELECT candidate_id, round(avg(round(abs(a - b), 4)), 4) AS fg, round(avg(CAST(round(abs(a - b), 4) <= 0.10 AS INT)), 4) AS fp FROM wf GROUP BY candidate_id),
     hs AS (SELECT candidate_id, max(gap) AS hg, round(avg(CAST(gap <= 0.10 AS INT)), 4) AS hp FROM ho GROUP BY candidate_id),
     cq AS (SELECT candidate_id, count(*) AS n_paths, round(avg(abs(a - b)), 4) AS mg FROM cv WHERE train_n >= 5 AND test_n >= 5 GROUP BY candidate_id)
     SELECT candidate_id, {r('confidence_score', 'confidence_score')}, signal_count, {r('train_val_gap', 'train_val_gap')}, {r('fg', 'walk_forward_gap')}, {r('fp', 'walk_forward_pass_rate')},
     {r('hg', 'holdout_worst_gap')}, {r('hp', 'holdout_pass_rate')}, n_paths, {r('mg', 'mean_gap')}
-    FROM ev LEFT JOIN fo USING (candidate_id) LEFT JOIN hs USING (candidate_id) LEFT JOIN cq USING (candidate_id)""",
-)
+    FROM ev LEFT JOIN fo USING (candidate_id) LEFT JOIN hs USING (candidate_id) LEFT JOIN cq USING (candidate_id)"""
+_FULL_COLUMNS = [
+    "candidate_id", "confidence_score", "signal_count", "train_val_gap", "walk_forward_gap", "walk_forward_pass_rate",
+    "holdout_worst_gap", "holdout_pass_rate", "n_paths", "mean_gap",
+]
+
+
+@query("g26_full_report", _FULL)
 def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     tk = swept(spark, sf_dir)
-    got = sweep.full_report(tk, sweep.roster(CANDIDATES, tk))
-    return rounded(
-        got.select(
-            "candidate_id",
-            "confidence_score",
-            "signal_count",
-            "train_val_gap",
-            "walk_forward_gap",
-            "walk_forward_pass_rate",
-            "holdout_worst_gap",
-            "holdout_pass_rate",
-            "n_paths",
-            "mean_gap",
-        )
-    )
+    return rounded(sweep.full_report(tk, sweep.roster(CANDIDATES, tk)).select(*_FULL_COLUMNS))
+
+
+@query("i05_two_phase", f"{_FULL} WHERE candidate_id IN (SELECT candidate_id FROM ev ORDER BY confidence_score DESC, candidate_id LIMIT 4)")
+def two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tk = swept(spark, sf_dir)
+    return rounded(sweep.two_phase(tk, sweep.roster(CANDIDATES, tk), 4).select(*_FULL_COLUMNS))
