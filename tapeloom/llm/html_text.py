@@ -26,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_PAGES = 300
+from tapeloom.llm.words import sampled
+
+SAMPLE_PAGES, REBUILT_PAGES = 300, 1500
 HIDDEN, EPOCHS, WINDOW = 16, 8, 48
 PATH_DIMS, WORD_DIMS, SHAPE_DIMS = 96, 24, 8
 DIMS = PATH_DIMS + WORD_DIMS + SHAPE_DIMS
@@ -312,6 +314,8 @@ def _rebuilt(leaves: list[Block], rng: random.Random) -> tuple[list[Block], list
     labels: list[bool] = []
 
     def add(path: tuple[str, ...], content: bool, text: str) -> None:
+        if not content and rng.random() < 0.35:  # any leaf may stand in boilerplate too
+            path = (*path, rng.choice(["p", "p", "div", "h2", "h3", "blockquote"]))
         out.append(Block(path, text, len(text) if path[-1] == "li" and not content else 0))
         labels.append(content)
 
@@ -333,16 +337,17 @@ def _rebuilt(leaves: list[Block], rng: random.Random) -> tuple[list[Block], list
 
 
 def train(pages: DataFrame, html: str = "html", sample_pages: int = SAMPLE_PAGES, seed: int = 5) -> Labeller:
-    """A labeller fitted to at most ``sample_pages`` pages, picked by a hash of the page."""
-    order = F.xxhash64(html, F.lit(seed))
-    rows = pages.where(F.col(html).isNotNull()).select(F.col(html).alias("h"), order.alias("o")).orderBy("o", "h").limit(sample_pages).collect()
+    """A labeller fitted to about ``sample_pages`` pages, at most twice as many, picked by a hash."""
+    rows = sorted(r[html] for r in sampled(pages.where(F.col(html).isNotNull()), sample_pages, seed).select(html).collect())
     rng = random.Random(seed)
+    # fewer pages are rebuilt more often, so that every kind of boilerplate is met
+    rebuilt = max(4, -(-REBUILT_PAGES // max(1, len(rows))))
     sequences, labels = [], []
     for row in rows:
-        leaves = blocks(row.h)
+        leaves = blocks(row)
         if not leaves:
             continue
-        versions = [(leaves, [marked(b) for b in leaves]), *(_rebuilt(leaves, rng) for _ in range(3))]
+        versions = [(leaves, [marked(b) for b in leaves]), *(_rebuilt(leaves, rng) for _ in range(rebuilt))]
         for made, wanted in versions:
             x, y = vectors(made), np.array(wanted, np.float32)
             # long pages are learnt window by window

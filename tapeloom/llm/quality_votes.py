@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.llm.words import sampled
+
 #: Bound of the labelled rows that are fitted and broadcast.
-MAX_LABELLED = 4000
+MAX_LABELLED = 8000
 NEIGHBOURS, RANK, BLOCK = 15, 48, 512
 WORD_DIMS, SHAPE_DIMS, EXTRA_DIMS = 1024, 256, 4
 DIMS = WORD_DIMS + SHAPE_DIMS + EXTRA_DIMS
@@ -99,19 +101,13 @@ class Votes:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "label", limit: int = MAX_LABELLED) -> Votes:
-    """Votes of at most ``limit`` labelled rows, picked by a hash of their id.
+    """Votes of at most ``limit`` labelled rows, about half as many, picked by a hash.
 
     Rows with a null id or label are no examples; without any example every
     score is one half.
     """
-    order = F.xxhash64(doc, F.lit(11))
-    chosen = (
-        labels.select(F.col(doc).alias("_id"), F.col(label).cast("int").alias("label"))
-        .where(F.col("_id").isNotNull() & F.col("label").isNotNull())
-        .withColumn("o", order if doc == "_id" else F.xxhash64("_id", F.lit(11)))
-        .orderBy("o", "_id", "label")
-        .limit(limit)
-    )
+    marked = labels.select(F.col(doc).alias("_id"), F.col(label).cast("int").alias("label"))
+    chosen = sampled(marked.where(F.col("_id").isNotNull() & F.col("label").isNotNull()), limit // 2, 11)
     # at most ``limit`` narrow rows
     known = docs.select(F.col(doc).alias("_d"), F.col(text).alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_id"))
     rows = known.select("label", "_t").mapInArrow(_feature_rows, "label int, features binary").limit(2 * limit).collect()

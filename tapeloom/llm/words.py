@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -33,3 +33,15 @@ def count_of(text: Column, char_class: str) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once, also where a lambda inside looks at it again."""
     return F.get(F.transform(F.array(value), body), 0)
+
+
+def sampled(rows: DataFrame, wanted: int, seed: int) -> DataFrame:
+    """About ``wanted`` rows, at most twice as many, by a hash over all their columns.
+
+    A share of the hash range is kept, so no task sends more than its share.
+    """
+    total = rows.count()
+    if total <= wanted:
+        return rows
+    top = -(1 << 63) + (1 << 64) * wanted // total
+    return rows.where(F.xxhash64(*rows.columns, F.lit(seed)) < top).limit(2 * wanted)
