@@ -40,7 +40,7 @@ from tapeloom.llm import bloom
 from tapeloom.runtime import discard, shared_path, stage
 
 WORDS, PERCENT = 5, 80
-BAND_GROWTH = 1.15
+BAND_GROWTH = 1.25
 #: Second-level pieces of a part and how many of them may differ; the cheapest is taken per band.
 SPLITS = ((3, 2), (3, 1), (4, 2), (4, 1))
 SEEDS = 8
