@@ -2,7 +2,9 @@
 
 A mask is laid over every window of a text and only the words at its set
 places are hashed, so a window still matches after words at the other places
-were substituted.  Training windows meet benchmark windows of the same mask in
+were substituted.  The masks are those of a block with one place left open; an
+overlap always holds a block with at most one substitution (``complete_masks``),
+so no overlap goes unseen.  Training windows meet benchmark windows of the same mask in
 a hash join; a blocked Bloom filter of the benchmark's hashes keeps all other
 training windows out of the shuffle.  A hit names a document, an item and a
 shift between them.  There both are laid side by side, and the overlap counts
@@ -19,13 +21,30 @@ from tapeloom.llm import bloom
 from tapeloom.llm.words import plain_words
 from tapeloom.runtime import stage
 
-#: Set places are compared, others may differ.
+#: Set places are compared, others may differ.  These two are the seeds of the
+#: query's SQL alone, which may miss overlaps; see :func:`complete_masks`.
 MASKS = ("111010011011", "110110101011", "101101110101")
-#: For items too short for those; below its length an item is no evidence.
 SHORT_MASK = "11111"
+#: An item with fewer words is no evidence.
+SHORTEST = 5
 STRETCH, AGREE = 20, 80
 
 
+def complete_masks(agree: int = AGREE) -> tuple[str, ...]:
+    """Masks of which one at least hits every overlap of ``SHORTEST`` words or more.
+
+    Of n words at most n (100 - agree) / 100 differ.  The block of b words is
+    chosen so that this is at most n / b: there are as many whole blocks as
+    differences or more, so some block has one difference or none.  It matches
+    one of the masks that leave a single place open.
+    """
+    b = SHORTEST if agree == 100 else min(SHORTEST, 100 // (100 - agree))
+    if b < 2:
+        raise ValueError("less than half of the words would have to agree")
+    # open at either end is the same run of b - 1 words
+    return ("1" * (b - 1), *("1" * i + "0" + "1" * (b - 1 - i) for i in range(1, b - 1)))
+
+
 def _places(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
@@ -68,8 +87,6 @@ def overlaps(
     doc: str = "doc_id",
     item: str = "item_id",
     text: str = "text",
-    masks: tuple[str, ...] = MASKS,
-    short_mask: str = SHORT_MASK,
     stretch: int = STRETCH,
     agree: int = AGREE,
 ) -> DataFrame:
@@ -80,26 +97,16 @@ def overlaps(
     nothing, repeated rows are reported once, a null id is an id like others.
     The benchmark is hashed with Spark too, so its size is free.
     """
-    every = (*masks, short_mask)
-    longest = max(map(len, masks))
+    masks = complete_masks(agree)
     items = stage(
-        benchmark.select(F.col(item).alias("_item"), word_codes(F.col(text)).alias("codes")).where(
-            F.size("codes") >= len(short_mask)
-        )
-    )
-    # items that the long masks can cover are looked up by those alone
-    long_items = _windows(items.where(F.size("codes") >= longest), masks)
-    short_items = _windows(items.where(F.size("codes") < longest), (short_mask,))
-    seeds = stage(
-        long_items.unionByName(short_items)
-        .where(F.col("h").isNotNull())
-        .distinct()
+        benchmark.select(F.col(item).alias("_item"), word_codes(F.col(text)).alias("codes")).where(F.size("codes") >= SHORTEST)
     )
+    seeds = stage(_windows(items, masks).where(F.col("h").isNotNull()).distinct())
     known = bloom.build(seeds.select("h").distinct(), "h")
 
     source = docs.select(F.col(doc).alias("_doc"), F.xxhash64(F.col(text)).alias("_copy"), F.col(text).alias("_text"))
     coded = source.withColumn("codes", word_codes(F.col("_text"))).drop("_text")
-    hits = stage(_windows(coded, every).where(known.might_contain(F.col("h"))))
+    hits = stage(_windows(coded, masks).where(known.might_contain(F.col("h"))))
     shifts = (
         hits.join(seeds.select("_item", F.col("at").alias("item_at"), F.col("h").alias("seed")), F.col("h") == F.col("seed"))
         .select("_doc", "_copy", "_item", (F.col("at") - F.col("item_at")).alias("shift"))

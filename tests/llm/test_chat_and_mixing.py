@@ -1,5 +1,6 @@
 """Perspective rotation, mixing and decontamination."""
 
+import itertools
 import random
 from collections import Counter
 
@@ -118,3 +119,47 @@ def test_overlaps_survive_substitutions(spark):
     left = decontaminate.clean(docs, bench)
     assert sorted(r.doc_id for r in left.collect()) == [6, 7, 9, 11, 12, 13] and left.columns == docs.columns
     assert decontaminate.overlaps(docs, bench.limit(0)).count() == 0 and decontaminate.overlaps(docs.limit(0), bench).count() == 0
+
+
+def test_some_seed_hits_every_allowed_pattern():
+    masks = decontaminate.complete_masks()
+    for n in range(decontaminate.SHORTEST, decontaminate.STRETCH + 1):
+        places = [sum(1 << at + i for i, c in enumerate(m) if c == "1") for m in masks for at in range(n - len(m) + 1)]
+        for changed in itertools.combinations(range(n), n * (100 - decontaminate.AGREE) // 100):
+            differs = sum(1 << i for i in changed)
+            assert any(not p & differs for p in places), (n, changed)
+
+
+def test_overlaps_match_a_search_without_seeds(spark):
+    rng = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(400)]
+    filler = lambda n: rng.choices(vocabulary, k=n)
+    items = {n: filler(n) for n in range(5, 45)}
+    docs = {}
+
+    def add(words):
+        docs[len(docs)] = filler(rng.randint(0, 9)) + words + filler(rng.randint(0, 9))
+
+    for n, words in items.items():
+        for at in range(n if n <= 12 else 0):  # a 12-word item with just its first or last word changed
+            add([*words[:at], "zz", *words[at + 1 :]])
+        for wrong in (0, 1):  # as many substitutions as allowed, and one more
+            for _ in range(8):
+                size = min(n, 20)
+                begin = rng.randint(0, n - size)
+                part = words[begin : begin + size]
+                for at in rng.sample(range(size), size // 5 + wrong):
+                    part[at] = "zz"
+                add(part)
+
+    def overlap(doc, item):
+        need, best = min(20, len(item)), None
+        for shift in range(-len(item) + 1, len(doc)):
+            same = [doc[i + shift] == item[i] for i in range(len(item)) if 0 <= i + shift < len(doc)]
+            if any(100 * sum(same[i : i + need]) >= 80 * need for i in range(len(same) - need + 1)):
+                best = max(best or (0, 0), (sum(same), -len(same)))
+        return best
+
+    want = {(d, i, m, -a) for d, x in docs.items() for i, y in items.items() for m, a in [overlap(x, y) or (0, 0)] if m}
+    frame = lambda rows, key: spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], f"{key} long, text string")
+    assert {tuple(r) for r in decontaminate.overlaps(frame(docs, "doc_id"), frame(items, "item_id")).collect()} == want
