@@ -35,9 +35,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids written as wavelet-matrix shards, and the documents read back from them."""
+    """Token ids written as wavelet-matrix shards in the order of the mixture, and the documents read back from them.
+
+    Files keep no order of rows, so the places in the mixture are worked out again.
+    """
     path = shared_path(spark)
-    token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    placed = mixing.placed(docs, MIX_WEIGHTS, other=MIX_OTHER)
+    token_files.write(placed, path, public_tokenizers.path("word_bpe_49k.json"), order=("mix_slot", "mix_rank"))
     return token_files.read_documents(spark, path)
 
 

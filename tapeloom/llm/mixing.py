@@ -173,7 +173,21 @@ def schedule(
     )
 
 
+def _packed(docs: DataFrame, weights: dict[str, float], key: str, source: str, **kwargs) -> DataFrame:
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"), F.col(source).alias("source"))
+    return schedule(packed, weights, "key", "source", **kwargs)
+
+
 def mixed(docs: DataFrame, weights: dict[str, float], key: str = "doc_id", source: str = "source", **kwargs) -> DataFrame:
     """The rows in the order of the mixture, columns unchanged."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"), F.col(source).alias("source"))
-    return schedule(packed, weights, "key", "source", **kwargs).orderBy("mix_slot", "mix_rank").select("row.*")
+    return _packed(docs, weights, key, source, **kwargs).orderBy("mix_slot", "mix_rank").select("row.*")
+
+
+def placed(docs: DataFrame, weights: dict[str, float], key: str = "doc_id", source: str = "source", **kwargs) -> DataFrame:
+    """The rows in any order, with the ``mix_slot`` and ``mix_rank`` that :func:`mixed` sorts by.
+
+    Places depend on the rows alone, so they can be worked out again where
+    the order was lost, as in files.
+    """
+    others = [c for c in docs.columns if c not in ("mix_slot", "mix_rank")]
+    return _packed(docs, weights, key, source, **kwargs).select(*[F.col("row")[c].alias(c) for c in others], "mix_slot", "mix_rank")

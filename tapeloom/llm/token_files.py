@@ -1,6 +1,6 @@
 """Token ids in wavelet-matrix shards.
 
-Documents are ordered by id, encoded and packed into shards of about
+Documents are ordered by id or by given columns, encoded and packed into shards of about
 ``SHARD_TOKENS`` ids, cut between documents.  A shard is a wavelet matrix: one
 bit plane for every bit of an id, highest first, each followed by a stable move
 of its zeros before its ones.  Counts of ones per block of 512 bits give rank
@@ -289,16 +289,19 @@ def write(
     text: str = "text",
     end_id: int = END_ID,
     shard_tokens: int = SHARD_TOKENS,
+    order: tuple[str, ...] = (),
 ) -> None:
-    """Write the shards of all documents below ``path``, in ascending order of id.
+    """Write the shards of all documents below ``path``, in ascending order of id or of the columns ``order``.
 
     ``tokenizer`` is the file's path, the same on every machine.  Null and
     empty texts have the end id alone; repeated and null ids (first) are kept,
     equal ids stand in the order of their texts; an empty table writes no rows.
     A text longer than a shard gets a longer shard.
     """
-    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    ordered = rows.repartitionByRange("doc").sortWithinPartitions("doc", "text")
+    by = [F.col(c).alias(f"_by{i}") for i, c in enumerate(order)] or [F.col(doc).cast("long").alias("_by0")]
+    places = [f"_by{i}" for i in range(len(by))]
+    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), *by)
+    ordered = rows.repartitionByRange(*places).sortWithinPartitions(*places, "doc", "text").select("doc", "text")
     shards = ordered.mapInArrow(_pack(tokenizer, shard_tokens, end_id), SHARD_SCHEMA)
     # small row groups: a writer never buffers more than a few shards
     shards.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)

@@ -9,8 +9,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tapeloom.llm import html_text, language_id, quality_votes
-from tapeloom.llm.queries import GROUPS, JUDGED, LEAKS, QUERIES
+from tapeloom.llm import html_text, language_id, mixing, quality_votes
+from tapeloom.llm.queries import GROUPS, JUDGED, LEAKS, MIX_OTHER, MIX_WEIGHTS, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -152,3 +152,22 @@ def test_pipeline_on_empty_and_odd_tables(spark):
             docs = step(spark, docs, SF)
             assert docs.count() == 0, name
             assert docs.columns == columns or name == "token_files"
+
+
+def test_pipeline_writes_tokens_in_mixture_order(spark):
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
+    con.execute("CREATE TABLE good AS WITH " + JUDGED.format(view="documents") + " SELECT doc_id, text FROM judged WHERE kept")
+    con.execute("CREATE TABLE one AS WITH RECURSIVE " + GROUPS.format(view="good", words=5, last=4, percent=80) + " SELECT good.* FROM good JOIN groups USING (doc_id) WHERE doc_id = component_id")
+    con.execute("CREATE TABLE clean AS WITH " + LEAKS.format(view="one") + " SELECT * FROM one WHERE doc_id NOT IN (SELECT doc_id FROM leaks)")
+    ids = [d for (d,) in con.execute("SELECT doc_id FROM clean").fetchall()]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mixture = mixing.mixed(docs.where(docs.doc_id.isin(ids)), MIX_WEIGHTS, other=MIX_OTHER).collect()
+    assert [r.doc_id for r in mixture] != sorted(ids) == sorted(r.doc_id for r in mixture)
+    tokenizer, want, start = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), [], 0
+    for r in mixture:
+        got = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
+        want.append((r.doc_id, start, len(got), zlib.crc32(np.array(got, "<u4").tobytes())))
+        start += len(got)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()), key=lambda r: r[1]) == want
