@@ -6,16 +6,19 @@ ceil((j + 1) / w); in every slot the released block with the earliest deadline
 goes next.  The share of every source then stays within one block of its
 weight at every slot.
 
-Weights are fractions of ``PERIOD``, so the schedule repeats after that many
-slots and one period is all that is worked out by hand; it turns block numbers
-into slots by arithmetic.  When a source runs out, the others share its weight
+Weights are exact fractions, so the schedule repeats after their common
+denominator.  One period, or less where a source runs out before, is all that
+is worked out by hand; it turns block numbers into slots by arithmetic.  When a source runs out, the others share its weight
 from there on (a new phase), so every row gets a place.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import bisect_left
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +32,10 @@ MAX_SOURCES = 500
 
 
 def whole_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Weights as positive integers that add up to ``period`` (largest remainder)."""
+    """Weights rounded to positive integers that add up to ``period`` (largest remainder).
+
+    The schedule itself takes :func:`exact_weights`.
+    """
     if any(w <= 0 for w in weights.values()):
         raise ValueError("weights must be positive")
     if len(weights) > period:
@@ -43,8 +49,30 @@ def whole_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str,
     return out
 
 
-def one_period(whole: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of every source's blocks in one period, earliest deadline first."""
+def _fraction(weight: float | Fraction) -> Fraction:
+    """The simplest fraction that is this number: 1/20 for 0.05, 1/3 for 1 / 3."""
+    if isinstance(weight, float):
+        near = (Fraction(weight).limit_denominator(10**digits) for digits in range(1, 18))
+        return next((f for f in near if float(f) == weight), Fraction(weight))
+    return Fraction(weight)
+
+
+def exact_weights(weights: dict[str, float | Fraction]) -> dict[str, int]:
+    """Weights as the smallest integers in the same proportions; their sum is the period."""
+    if any(w <= 0 for w in weights.values()):
+        raise ValueError("weights must be positive")
+    exact = {k: _fraction(w) for k, w in weights.items()}
+    unit = math.lcm(*(f.denominator for f in exact.values()))
+    whole = {k: int(f * unit) for k, f in exact.items()}
+    common = math.gcd(*whole.values())
+    return {k: n // common for k, n in whole.items()}
+
+
+def one_period(whole: dict[str, int], left: dict[str, int] | None = None) -> dict[str, list[int]]:
+    """Slots of every source's blocks in one period, earliest deadline first.
+
+    Ends before that where a source has used up the blocks it has ``left``.
+    """
     period = sum(whole.values())
     slots: dict[str, list[int]] = {k: [] for k in whole}
     waiting = [(0, k) for k in sorted(whole)]  # (release, source)
@@ -58,6 +86,8 @@ def one_period(whole: dict[str, int]) -> dict[str, list[int]]:
         if due <= slot:
             raise AssertionError("a block missed its deadline")
         slots[k].append(slot)
+        if left is not None and len(slots[k]) == left[k]:
+            break
         if len(slots[k]) < whole[k]:
             heapq.heappush(waiting, (len(slots[k]) * period // whole[k], k))
     return slots
@@ -73,24 +103,26 @@ class Stretch:
     last: int
     base: int
     slots: list[int]
+    period: int
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[Stretch]:
+def phases(blocks: dict[str, int], weights: dict[str, float | Fraction]) -> list[Stretch]:
     """The plan: at most (number of sources)² stretches."""
     left, done = {k: n for k, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0)
     out, base, phase = [], 0, 0
     while left:
-        slots = one_period(whole_weights({k: weights[k] for k in left}, period))
+        slots = one_period(exact_weights({k: weights[k] for k in left}), left)
+        period = sum(map(len, slots.values()))  # or up to where a source runs out
 
         def slot_of(k: str, j: int) -> int:
             return j // len(slots[k]) * period + slots[k][j % len(slots[k])]
 
-        length = min(slot_of(k, n - 1) for k, n in left.items()) + 1
+        length = min(slot_of(k, n - 1) for k, n in left.items() if slots[k]) + 1
         for k, n in list(left.items()):
             turns, rest = divmod(length, period)
-            taken = turns * len(slots[k]) + sum(s < rest for s in slots[k])
+            taken = turns * len(slots[k]) + bisect_left(slots[k], rest)
             if taken:
-                out.append(Stretch(k, phase, done[k], done[k] + taken, base, slots[k]))
+                out.append(Stretch(k, phase, done[k], done[k] + taken, base, slots[k], period))
             done[k] += taken
             left[k] = n - taken
             if not left[k]:
@@ -107,6 +139,7 @@ _PLAN = T.StructType(
         T.StructField("last", T.LongType()),
         T.StructField("base", T.LongType()),
         T.StructField("slots", T.ArrayType(T.IntegerType())),
+        T.StructField("_period", T.LongType()),
     ]
 )
 
@@ -119,7 +152,6 @@ def schedule(
     other: float = 1.0,
     block_rows: int = BLOCK_ROWS,
     bucket_rows: int = BUCKET_ROWS,
-    period: int = PERIOD,
 ) -> DataFrame:
     """All rows with ``mix_group``, ``mix_phase``, ``mix_slot`` and ``mix_rank``.
 
@@ -159,17 +191,18 @@ def schedule(
         "mix_rank", (F.col("_n") % block_rows).cast("int")
     )
 
-    plan = phases({k: -(-n // block_rows) for k, n in counts.items()}, share, period)
-    table = spark.createDataFrame([(x.source, x.phase, x.first, x.last, x.base, x.slots) for x in plan], _PLAN)
-    # bounded: at most (MAX_SOURCES + 1)² / 2 stretches, each phase holds ``period`` slots in all
+    plan = phases({k: -(-n // block_rows) for k, n in counts.items()}, share)
+    table = spark.createDataFrame([(x.source, x.phase, x.first, x.last, x.base, x.slots, x.period) for x in plan], _PLAN)
+    # bounded: at most (MAX_SOURCES + 1)² / 2 stretches, each phase holds one period of slots
+    # in all or, where that is longer, the blocks up to its end
     joined = numbered.join(
         F.broadcast(table),
         (F.col("mix_group") == F.col("_source")) & (F.col("_block") >= F.col("first")) & (F.col("_block") < F.col("last")),
     )
     j, n = F.col("_block") - F.col("first"), F.size("slots")
-    slot = F.col("base") + F.floor(j / n) * period + F.get("slots", (j % n).cast("int"))
+    slot = F.col("base") + F.floor(j / n) * F.col("_period") + F.get("slots", (j % n).cast("int"))
     return joined.withColumn("mix_slot", slot.cast("long")).withColumnRenamed("phase", "mix_phase").drop(
-        "_h", "_bucket", "_sg", "_sb", "_start", "_n", "_block", "_source", "first", "last", "base", "slots"
+        "_h", "_bucket", "_sg", "_sb", "_start", "_n", "_block", "_source", "first", "last", "base", "slots", "_period"
     )
 
 

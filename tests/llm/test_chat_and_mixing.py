@@ -3,6 +3,7 @@
 import itertools
 import random
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 
@@ -65,6 +66,33 @@ def test_one_period_stays_within_one_block(weights):
             done += t < mixing.PERIOD and t in places[done : done + 1]
 
 
+@pytest.mark.parametrize(
+    "weights",
+    [{"src0": 0.2, "src1": 0.1, "src2": 0.1, "src3": 0.05, "src4": 0.05, "other": 0.5}, {"a": 0.9996, "b": 0.0004}, {"a": 0.123456789, "b": 0.3, "c": 0.576543211}, {"a": 1, "b": 1 / 3, "c": 2.5}],
+)
+@pytest.mark.parametrize("short", [False, True])
+def test_plan_stays_within_one_block_of_the_given_weights(weights, short):
+    exact = {k: Fraction(str(w)) if w != 1 / 3 else Fraction(1, 3) for k, w in weights.items()}
+    blocks = {k: 10 + int(9000 * w) - (short and i % 2) * int(4000 * w) for i, (k, w) in enumerate(weights.items())}
+    slots, ends = {}, {}
+    for x in mixing.phases(blocks, weights):
+        ends[x.phase] = x.base
+        for j in range(x.last - x.first):
+            at = x.base + j // len(x.slots) * x.period + x.slots[j % len(x.slots)]
+            assert at not in slots
+            slots[at] = (x.source, x.phase)
+    assert sorted(slots) == list(range(sum(blocks.values()))) and Counter(k for k, _ in slots.values()) == blocks
+    left = Counter(blocks)
+    for phase in sorted(ends):
+        active = {k: exact[k] for k, n in left.items() if n}
+        total, done = sum(active.values()), Counter()
+        for t in range(ends[phase], ends.get(phase + 1, len(slots))):
+            assert slots[t][1] == phase
+            done[slots[t][0]] += 1
+            assert all(abs(done[k] * total - w * (t + 1 - ends[phase])) < total for k, w in active.items())
+        left -= done
+
+
 def test_schedule_keeps_all_rows_and_their_shares(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(["hot"] * 5 + ["b", "c", None, "rare"]), "t", "x") for i in range(3000)] + [(7, "b", "t", "x")] * 3 + [(None, "c", "t", "x")]
