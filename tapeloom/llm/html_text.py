@@ -35,13 +35,25 @@ DIMS = PATH_DIMS + WORD_DIMS + SHAPE_DIMS
 
 # ── blocks ───────────────────────────────────────────────────────────────────
 
-_RAW = "script|style|noscript|template|iframe|svg|title|textarea|select|object|math"
+_RAW = "script|style|noscript|template|iframe|title|textarea"
+_ATTRIBUTES = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
+#: Tags that end a drawing without a closing tag, as in a browser.
+_BREAKS_OUT = (
+    "address|article|aside|b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|fieldset|footer|form|h[1-6]|head|header|hr|html"
+    "|i|img|li|main|menu|meta|nav|ol|p|pre|ruby|s|section|small|span|strong|strike|sub|sup|table|td|th|tr|tt|u|ul|var"
+)
+_DRAWING = rf"<svg\b{_ATTRIBUTES}(?:(?<=/)>|(?<!/)>.*?(?:</svg\s*>|(?=</?(?:{_BREAKS_OUT})[\s/>])|\Z))"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|[^<]+|<",
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|{_DRAWING}|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})/?>|[^<]+|<",
     re.IGNORECASE | re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _INLINE = set("a abbr acronym b bdi bdo big cite code del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+#: A formula is part of its sentence.
+_INLINE |= set(
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle"
+    " msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml".split()
+)
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _ENDS_PARAGRAPH = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())

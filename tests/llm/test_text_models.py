@@ -126,6 +126,28 @@ def test_language_evidence(spark):
     assert {r.language for r in none} == {"und"}
 
 
+@pytest.mark.parametrize(
+    "within, wanted",
+    [
+        ('<svg width="1"/>', []),
+        ('<svg data-a="x>y" />', []),
+        ("<svg><title>icon</title><text>no</text></svg>", []),
+        ("<svg><path d='M0'/>", []),
+        ("<svg viewBox=0><text>no", []),
+        ("<math/>", []),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p>", ["Let x=2 hold."]),
+        ("<object data=a.swf><p>instead</p></object>", ["instead"]),
+        ("<object data=a.swf>", []),
+        ("<select><option>one<option>two</select>", ["one", "two"]),
+        ("<select name=a>", []),
+        ("<script>no</script><textarea>no</textarea>", []),
+    ],
+)
+def test_blocks_after_drawings_formulas_and_objects_are_kept(within, wanted):
+    page = f"<body><article><p>Before.</p>{within}<p>After one.</p><div>After two.</div></article></body>"
+    assert [b.text for b in html_text.blocks(page)] == ["Before.", *wanted, "After one.", "After two."]
+
+
 def test_pipeline_matches_brute_force(spark):
     con = duckdb.connect()
     for name in ("documents", "benchmark"):
