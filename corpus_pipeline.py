@@ -31,7 +31,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents in the order of the target mixture."""
-    return mixing.mixed(docs, MIX_WEIGHTS, other=MIX_OTHER)
+    return mixing.mixed(docs, MIX_WEIGHTS, other=MIX_OTHER, every_source=True)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Files keep no order of rows, so the places in the mixture are worked out again.
     """
     path = shared_path(spark)
-    placed = mixing.placed(docs, MIX_WEIGHTS, other=MIX_OTHER)
+    placed = mixing.placed(docs, MIX_WEIGHTS, other=MIX_OTHER, every_source=True)
     token_files.write(placed, path, public_tokenizers.path("word_bpe_49k.json"), order=("mix_slot", "mix_rank"))
     return token_files.read_documents(spark, path)
 

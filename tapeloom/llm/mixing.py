@@ -144,6 +144,21 @@ _PLAN = T.StructType(
 )
 
 
+def _parts(docs: DataFrame, weights: dict[str, float | Fraction], source: str, other: float | Fraction) -> dict[str, Fraction]:
+    """Equal parts of ``other`` for the sources found without a weight; what is joint is named ``OTHER``."""
+    found = docs.select(F.col(source).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    unnamed = found.where(F.col("s").isNull() | ~F.col("s").isin(*weights))
+    members = unnamed.count()
+    if not members:
+        return {}
+    part = _fraction(other) / members
+    own = unnamed.where(F.col("s") != OTHER).orderBy(F.desc("n"), "s").limit(MAX_SOURCES - len(weights)).collect()
+    parts = {r["s"]: part for r in own}
+    if members > len(parts):
+        parts[OTHER] = part * (members - len(parts))
+    return parts
+
+
 def schedule(
     docs: DataFrame,
     weights: dict[str, float],
@@ -152,11 +167,15 @@ def schedule(
     other: float = 1.0,
     block_rows: int = BLOCK_ROWS,
     bucket_rows: int = BUCKET_ROWS,
+    every_source: bool = False,
 ) -> DataFrame:
     """All rows with ``mix_group``, ``mix_phase``, ``mix_slot`` and ``mix_rank``.
 
     ``weights`` names at most ``MAX_SOURCES`` sources; all others and null make
-    up one group with the weight ``other``.  ``mix_slot`` is the block's place
+    up one group with the weight ``other``.  With ``every_source`` each of those
+    found is a group of its own with an equal part of that weight; only null,
+    and what lies beyond ``MAX_SOURCES``, smallest first, stays in the joint
+    group, which has the parts of all its members.  ``mix_slot`` is the block's place
     in the mixture, ``mix_rank`` the row's place in its block; sorting by both
     gives the mixture, in which no row is lost or repeated.  Within a group
     rows stand in the order of a hash over all their columns, which deals a
@@ -167,7 +186,9 @@ def schedule(
         raise ValueError(f"more than {MAX_SOURCES} weighted sources")
     spark = docs.sparkSession
     share = {**weights, OTHER: other}
-    group = F.when(F.col(source).isin(*weights), F.col(source)).otherwise(F.lit(OTHER))
+    if every_source:
+        share = {**weights, **_parts(docs, weights, source, other)}
+    group = F.when(F.col(source).isin(*(share.keys() - {OTHER} | weights.keys())), F.col(source)).otherwise(F.lit(OTHER))
     plain = docs.drop("mix_group", "mix_phase", "mix_slot", "mix_rank")
     rows = plain.withColumn("mix_group", group).withColumn("_h", F.xxhash64(*plain.columns, F.lit(1)))
 

@@ -167,7 +167,7 @@ def html_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ── 8 mixing ─────────────────────────────────────────────────────────────────
 
-#: Target shares of the named sources; all others together have ``MIX_OTHER``.
+#: Target shares of the named sources; all others have equal parts of ``MIX_OTHER``.
 MIX_WEIGHTS = {"src0": 0.2, "src1": 0.1, "src2": 0.1, "src3": 0.05, "src4": 0.05}
 MIX_OTHER = 0.5
 
@@ -175,7 +175,7 @@ MIX_OTHER = 0.5
 @query("op8_mix_sources")
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.schedule(docs, MIX_WEIGHTS, other=MIX_OTHER)
+    return mixing.schedule(docs, MIX_WEIGHTS, other=MIX_OTHER, every_source=True)
 
 
 # ── 9 decontamination ────────────────────────────────────────────────────────

@@ -113,6 +113,25 @@ def test_schedule_keeps_all_rows_and_their_shares(spark):
     assert mixing.schedule(docs.limit(0), {"hot": 1.0}).count() == 0 and mixing.mixed(docs.limit(0), {"hot": 1.0}).count() == 0
 
 
+@pytest.mark.parametrize("limit", [500, 3])
+def test_every_source_has_its_own_share(spark, monkeypatch, limit):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", limit)
+    sizes = {"hot": 600, "b": 320, "c": 310, "d": 300, None: 290}
+    docs = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
+    got = mixing.schedule(docs, {"hot": 0.5}, other=0.5, block_rows=4, bucket_rows=100, every_source=True).collect()
+    assert Counter(r.source for r in got) == sizes
+    own = ["hot", "b", "c", "d"] if limit == 500 else ["hot", "b", "c"]
+    assert all(r.mix_group == (r.source if r.source in own else "other") for r in got)
+    share = {"hot": 4, "b": 1, "c": 1, **({"d": 1, "other": 1} if limit == 500 else {"other": 2})}
+    done = Counter()
+    for slot, group, phase in sorted({(r.mix_slot, r.mix_group, r.mix_phase) for r in got}):
+        if phase:
+            break
+        done[group] += 1
+        assert all(abs(done[k] * 8 - w * (slot + 1)) < 8 for k, w in share.items())
+    assert sum(done.values()) > 100
+
+
 def test_overlaps_survive_substitutions(spark):
     rng = random.Random(9)
     vocabulary = [f"v{i}" for i in range(5000)]

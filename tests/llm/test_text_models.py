@@ -185,7 +185,7 @@ def test_pipeline_writes_tokens_in_mixture_order(spark):
     con.execute("CREATE TABLE clean AS WITH " + LEAKS.format(view="one") + " SELECT * FROM one WHERE doc_id NOT IN (SELECT doc_id FROM leaks)")
     ids = [d for (d,) in con.execute("SELECT doc_id FROM clean").fetchall()]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    mixture = mixing.mixed(docs.where(docs.doc_id.isin(ids)), MIX_WEIGHTS, other=MIX_OTHER).collect()
+    mixture = mixing.mixed(docs.where(docs.doc_id.isin(ids)), MIX_WEIGHTS, other=MIX_OTHER, every_source=True).collect()
     assert [r.doc_id for r in mixture] != sorted(ids) == sorted(r.doc_id for r in mixture)
     tokenizer, want, start = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), [], 0
     for r in mixture:
