@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import (
+    audit_queries,
     chat,
     decontaminate,
     html_text,
@@ -20,27 +19,10 @@ from tapeloom.llm import (
     token_files,
     url_filter,
 )
+from tapeloom.llm.registry import QUERIES, SQL, query, table
 from tapeloom.runtime import shared_path
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(fn: Query) -> Query:
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["QUERIES", "SQL", "audit_queries"]
 
 # ── 1 quality rules ──────────────────────────────────────────────────────────
 
