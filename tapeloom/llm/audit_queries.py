@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import fill_in_middle, source_audit
+from tapeloom.llm import fill_in_middle, source_audit, toxicity
 from tapeloom.llm.registry import query, table
 
 # ── 11 source divergence audit ───────────────────────────────────────────────
@@ -36,6 +36,19 @@ def source_audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
 
 
+# ── 12 toxicity ──────────────────────────────────────────────────────────────
+
+
+@query("op12_toxicity")
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    held_out = toxicity.held_out(F.col("doc_id"))
+    scorer = toxicity.fit(docs, labels.where(~held_out))
+    scored = toxicity.score(docs, scorer)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 # ── 13 fill in the middle ────────────────────────────────────────────────────
 
 
