@@ -31,8 +31,8 @@ from tapeloom.runtime import stage
 
 MIN_DOCS, TOP_TERMS = 10, 10
 SCALE = 1_000_000_000
-#: Words that one block of the first pass holds, entries of a block of the later ones, entries of a group of terms.
-BLOCK_WORDS, BLOCK_ENTRIES, GROUP_ENTRIES = 3_000_000, 1_000_000, 1_000_000
+#: Words that one block of the first pass holds, entries of a block of the later ones, entries of a group of terms (at least the square of a language's sources).
+BLOCK_WORDS, BLOCK_ENTRIES, GROUP_ENTRIES = 3_000_000, 1_000_000, 50_000
 #: Sources and terms that are compared at a time.
 SOURCE_BLOCK, CELLS = 64, 4_000_000
 
@@ -354,15 +354,18 @@ def audit(
     named = docs.select(F.coalesce(F.col(lang).cast("string"), empty).alias("lang"), F.coalesce(F.col(source).cast("string"), empty).alias("source"))
     named = named.distinct().withColumn("group", group_code(F.col("lang"), F.col("source")))
     of_lang = kept.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.sum("first").alias("v"), F.count("*").alias("entries"))
+    many = named.groupBy("lang").agg(F.count("*").alias("sources"))
     of_group = kept.groupBy("lang", "group").agg(F.sum("n").alias("group_n"))
     zero = F.lit(0).cast("long")
     groups = (
-        named.join(of_lang, "lang", "left")
+        named.join(many, "lang")
+        .join(of_lang, "lang", "left")
         .join(of_group, ["lang", "group"], "left")
-        .select("lang", "source", "group", *[F.coalesce(c, zero).alias(c) for c in ("lang_n", "v", "entries", "group_n")])
+        .select("lang", "source", "group", "sources", *[F.coalesce(c, zero).alias(c) for c in ("lang_n", "v", "entries", "group_n")])
     )
     groups = stage(groups.withColumn("p0", F.coalesce(share(zero, F.col("group_n"), F.col("v")), zero)))
-    salts = F.ceil(F.col("entries") / GROUP_ENTRIES).cast("int")
+    # a group gives a row for every two sources, so it holds no fewer entries than that
+    salts = F.ceil(F.col("entries") / F.greatest(F.lit(GROUP_ENTRIES), F.col("sources") * F.col("sources"))).cast("int")
     shares = kept.join(groups.drop("p0"), ["lang", "group"]).select(
         "lang", "source", "group", "term", share(F.col("n"), F.col("group_n"), F.col("v")).alias("p"),
         share(F.col("total"), F.col("lang_n"), F.col("v")).alias("q"), F.pmod(F.xxhash64("term"), salts).cast("int").alias("salt"),
