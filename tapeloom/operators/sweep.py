@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.indicators import with_indicators
 from tapeloom.functions.spec import Condition, Exit, Stop, Strategy, Target, entry_column
+from tapeloom.operators.exit_grid import covers, grid_exits
 from tapeloom.operators.metrics import confidence_score, overall_metrics
 from tapeloom.operators.robust import (
     cpcv,
@@ -145,16 +146,29 @@ def prepare(bars: DataFrame, strategies: list[Strategy]) -> DataFrame:
     for s in strategies:
         names += s.indicators + ([_atr_name(s.exit)] if s.exit.stop.type == "atr" else [])
     ready = with_indicators(bars, sorted(set(names)))
-    return stage(ready) if len({_shape(s) for s in strategies}) > 1 else ready
+    families = {_family(s) for s in strategies}
+    return stage(ready) if len(families) > 1 else ready
+
+
+def _family(s: Strategy) -> tuple:
+    """What candidates share that one plan evaluates: the entry, or the shape of the whole."""
+    if covers(s.exit):
+        return ("entry", s.entry, s.market, s.preferred_regimes, s.rules)
+    return ("shape", *_shape(s))
 
 
 def sweep_trades(bars: DataFrame, candidates: list[Candidate], costs: Costs = Costs()) -> DataFrame:
     """Executed trades of every candidate, keyed by ``candidate_id``."""
     ready = prepare(bars, [c.strategy for c in candidates])
-    groups: dict[tuple, list[Candidate]] = defaultdict(list)
+    families: dict[tuple, list[Candidate]] = defaultdict(list)
     for c in candidates:
-        groups[_shape(c.strategy)].append(c)
-    parts = [_sweep_group(ready, members, costs) for members in groups.values()]
+        families[_family(c.strategy)].append(c)
+    # entries that one candidate has differ in numbers only and share a plan by their shape
+    groups: dict[tuple, list[Candidate]] = defaultdict(list)
+    for family, members in families.items():
+        for c in members:
+            groups[family if len(members) > 1 and family[0] == "entry" else ("shape", *_shape(c.strategy))].append(c)
+    parts = [(grid_exits if key[0] == "entry" else _sweep_group)(ready, members, costs) for key, members in groups.items()]
     exits = reduce(lambda a, b: a.unionByName(b), parts)
     return one_position(exits, ["candidate_id", "symbol"])
 

@@ -341,20 +341,20 @@ def one_position(exits: DataFrame, keys: list[str]) -> DataFrame:
     # structs order by their first field; maps cannot be ordered, so they need a comparator
     by_start = (lambda a, b: F.when(a["signal_idx"] < b["signal_idx"], -1).otherwise(1)) if snap else None
     sorted_trades = F.array_sort("_t", by_start)
-    start = F.struct(F.lit(-1).alias("until"), F.array().cast("array<int>").alias("kept"))
+    # places of the kept trades in the sorted array
+    start = F.struct(F.lit(-1).alias("until"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("kept"))
 
     def step(acc: Column, t: Column) -> Column:
-        taken = F.struct(
-            t["exit_idx"].cast("int").alias("until"),
-            F.concat(acc["kept"], F.array(t["signal_idx"].cast("int"))).alias("kept"),
-        )
-        return F.when(t["signal_idx"] > acc["until"], taken).otherwise(acc)
+        after = acc["at"] + 1
+        taken = F.struct(t["exit_idx"].cast("int").alias("until"), after.alias("at"), F.concat(acc["kept"], F.array(acc["at"])).alias("kept"))
+        passed = F.struct(acc["until"].alias("until"), after.alias("at"), acc["kept"].alias("kept"))
+        return F.when(t["signal_idx"] > acc["until"], taken).otherwise(passed)
 
     kept = F.aggregate(F.col("_s"), start, step, lambda acc: acc["kept"])
     return (
         grouped.select(*keys, sorted_trades.alias("_s"))
         .withColumn("_kept", kept)
-        .select(*keys, F.inline(F.filter("_s", lambda t: F.array_contains("_kept", t["signal_idx"]))))
+        .select(*keys, F.inline(F.transform("_kept", lambda i: F.get(F.col("_s"), i))))
         .select(*exits.columns)
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tapeloom.plans import (  # noqa: F401
     bar_queries,
+    grid_queries,
     metric_queries,
     research_queries,
     trade_queries,

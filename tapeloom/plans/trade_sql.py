@@ -42,10 +42,14 @@ def trades_sql(
     gate: str = "true",
     reach: str = "hold + 1",
     entry_cand: str = "true",
+    cand_columns: str = "",
+    signal: str = "trig",
+    source: str = "x",
 ) -> str:
     """CTE chain (without WITH) ending in ``taken``."""
     more = f", {columns}" if columns else ""
     tagged = f", {tags}" if tags else ""
+    moving = f", {cand_columns}" if cand_columns else ""
     if timing == "close":
         at, price = "idx", "close"
     else:
@@ -55,13 +59,13 @@ def trades_sql(
     wait = "j > e" if t_plus_1 else "true"
     key = "candidate_id, symbol, s"
     return f"""{base},
-f0 AS (SELECT *, ({entry}) AS flag, coalesce(({trigger}), false) AS trig, ({sell}) AS sellable{more} FROM x),
+f0 AS (SELECT *, ({entry}) AS flag, coalesce(({trigger}), false) AS trig, ({sell}) AS sellable{more} FROM {source}),
 f1 AS (SELECT *, lead(idx) OVER ({W}) AS n_idx, lead(open) OVER ({W}) AS n_open, lead(low) OVER ({W}) AS n_low,
               lead(close) OVER ({W}) AS n_close, lead(date) OVER ({W}) AS n_date, max(idx) OVER (PARTITION BY symbol) AS last_idx,
               count(*) OVER (PARTITION BY symbol) AS n_bars FROM f0),
 ent AS (SELECT candidate_id, stop_v, target_v, hold, symbol, idx AS s, date AS sd, high AS sh, last_idx, {at} AS e, {price} * {1 + slip} AS p,
                {'date' if timing == 'close' else 'coalesce(n_date, date)'} AS ed, {'low' if timing == 'close' else 'coalesce(n_low, low)'} AS e_low,
-               {'close' if timing == 'close' else 'coalesce(n_close, close)'} AS e_close{tagged}
+               {'close' if timing == 'close' else 'coalesce(n_close, close)'} AS e_close{tagged}{moving}
         FROM f1, {cand} WHERE flag AND n_bars >= 30 AND idx >= {start} AND {buy} AND {ok} AND {gate} AND {entry_cand}),
 look AS (SELECT ent.*, b.idx AS j, b.date AS jd, b.high, b.low, b.close, b.trig, b.sellable,
                 b.* EXCLUDE (symbol, date, open, high, low, close, volume, prev_close, idx, flag, trig, sellable, n_idx, n_open, n_low, n_close, n_date, last_idx, n_bars{', ' + tags if tags else ''}),
@@ -70,7 +74,7 @@ look AS (SELECT ent.*, b.idx AS j, b.date AS jd, b.high, b.low, b.close, b.trig,
          WINDOW lk AS (PARTITION BY candidate_id, ent.symbol, s ORDER BY b.idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 judged AS (SELECT *, coalesce({stop[0]}, false) AS st, coalesce({target[0]}, false) AS tg FROM look WHERE sellable AND {wait}),
 called AS (SELECT *, CASE WHEN j - e >= hold THEN 'max_hold' WHEN tg AND (NOT st OR {prefer}) THEN 'take_profit'
-                          WHEN st THEN 'stop_loss' WHEN trig THEN 'signal' END AS reason FROM judged),
+                          WHEN st THEN 'stop_loss' WHEN {signal} THEN 'signal' END AS reason FROM judged),
 priced AS (SELECT *, CASE reason WHEN 'take_profit' THEN {target[1]} WHEN 'stop_loss' THEN {stop[1]} ELSE close END AS xp FROM called WHERE reason IS NOT NULL),
 firsts AS (SELECT {key}, min(j) AS xi, arg_min(jd, j) AS xd, arg_min(reason, j) AS reason, arg_min(xp, j) AS xp FROM priced GROUP BY {key}),
 exits AS MATERIALIZED (SELECT ent.candidate_id, ent.symbol, ent.s AS signal_idx, e AS entry_idx, ed AS signal_date, p AS entry_price, coalesce(xi, last_idx) AS exit_idx,

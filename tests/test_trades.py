@@ -182,3 +182,34 @@ def test_grids():
     assert len(plans) == 1 + 3 + len(sweep.GUARD_CANDIDATES)
     exits = sweep.exit_candidates(spec(), ("stoploss", "holding"))
     assert len(exits) == 5 * 6  # four grid stops and 0.04, five grid holdings and 6: nothing repeats
+
+
+@pytest.mark.parametrize(
+    ("timing", "policy", "rules"),
+    [
+        ("next_open", "conservative", None),
+        ("close", "optimistic", MarketRules()),
+        ("breakout_high", "close_first", MarketRules(t_plus_1=True, limit_up_down=True, suspension=True)),
+    ],
+)
+def test_exit_grid_equals_single_runs(spark, timing, policy, rules):
+    """Staircases name the bars that a walk over every bar finds, whatever the stop, target and trigger."""
+    pdf = market(2, 90, halts=True)
+    stops = [Stop("pct", 0.03), Stop("pct_from_low", 0.04), Stop("price_level", reference="entry_low"), Stop("price_level", 98.0)]
+    goals = [Target("rr", 1.5), Target("pct", 0.04), Target("trailing", trigger_pct=0.03, trail_pct=0.02)]
+    triggers = [(), (Condition("close_below_ma5", "==", True),)]
+    base = replace(spec(), rules=rules, entry=replace(spec().entry, timing=timing))
+    plans = [
+        sweep.Candidate(f"{i}-{j}-{k}-{hold}", replace(base, exit=Exit(stop, goal, hold, trigger)))
+        for i, stop in enumerate(stops)
+        for j, goal in enumerate(goals)
+        for k, trigger in enumerate(triggers)
+        for hold in (3, 8)
+    ]
+    costs = Costs(fill_policy=policy)
+    bars = spark.createDataFrame(pdf)
+    got = sweep.sweep_trades(bars, plans, costs).collect()
+    for plan in plans[::5]:
+        mine = sorted((r.symbol, r.signal_idx, r.exit_idx, r.exit_date, r.exit_reason, round(r.exit_price, 9)) for r in got if r.candidate_id == plan.id)
+        alone = trades(bars, plan.strategy, costs).collect()
+        assert mine == sorted((r.symbol, r.signal_idx, r.exit_idx, r.exit_date, r.exit_reason, round(r.exit_price, 9)) for r in alone), plan.id
