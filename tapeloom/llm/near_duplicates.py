@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm import bloom
-from tapeloom.runtime import discard, shared_path, stage
+from tapeloom.runtime import bucket_count, stage
 
 WORDS, PERCENT = 5, 80
 BAND_GROWTH = 1.25
@@ -45,6 +45,8 @@ BAND_GROWTH = 1.25
 SPLITS = ((3, 2), (3, 1), (4, 2), (4, 1))
 SEEDS = 8
 CELLS, PARITIES = 256, 1024
+#: Bits of a signature, and signatures that a task holds at a time.
+SIGN_BITS, SIGNS_HELD = 56, 4_000_000
 #: Members of a signature that one task compares with each other; larger groups are compared block by block.
 BLOCK_ROWS = 2000
 CACHE_WORDS = 300_000
@@ -199,7 +201,13 @@ def signatures(h: np.ndarray, percent: int) -> np.ndarray:
             out.append(signs)
             if not gaps:
                 break
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out) >> _U(64 - SIGN_BITS) if out else np.zeros(0, np.uint64)
+
+
+def signature_count(n: int, percent: int) -> int:
+    """At most so many signatures has a set of ``n`` shingles under its first seed."""
+    fitting = (band for low, high, band in _all_bands(percent, max(12, n.bit_length())) if low <= n <= high)
+    return sum(band.tags.size for band in fitting)
 
 
 def cell_counts(h: np.ndarray) -> np.ndarray:
@@ -221,13 +229,24 @@ def _linked(same: int, a: int, b: int, percent: int) -> bool:
 # ── passes over the documents ────────────────────────────────────────────────
 
 
-def _sign_documents(words: int, percent: int):
+def _distinct_sets(batches: Iterable[pa.RecordBatch], words: int, column: int) -> Iterator[tuple[bytes, np.ndarray]]:
+    """(class, set) of the texts of one task, every class once."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        for text in batch.column(column):
+            h = shingles(text.as_py() or b"", words)
+            if len(h) and (fp := xxhash.xxh3_128_digest(h.tobytes())) not in seen:
+                seen.add(fp)
+                yield fp, h
+
+
+def _describe_documents(words: int, percent: int):
     schema = pa.schema(
-        [("doc", pa.int64()), ("copy", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("cells", pa.binary()), ("parity", pa.binary()), ("signs", pa.list_(pa.int64()))]
+        [("doc", pa.int64()), ("copy", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("cells", pa.binary()), ("parity", pa.binary()), ("signs", pa.int64())]
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # one signing per class and task
+        seen: set[bytes] = set()  # one description per class and task
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 rows: list[tuple] = []
@@ -242,13 +261,121 @@ def _sign_documents(words: int, percent: int):
                         rows.append((doc, copy, len(h), fp, None, None, None))
                         continue
                     seen.add(fp)
-                    signs = signatures(h, percent).view(np.int64)
-                    rows.append((doc, copy, len(h), fp, cell_counts(h).tobytes(), parities(h).tobytes(), signs))
+                    rows.append((doc, copy, len(h), fp, cell_counts(h).tobytes(), parities(h).tobytes(), signature_count(len(h), percent)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return run
 
 
+# ── which signatures several classes have ────────────────────────────────────
+
+
+def _packed_runs(values: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(range, first value, bytes a step, steps) of sorted 56-bit values, cut at equal ranges of the domain."""
+    edges = np.array([i * (1 << SIGN_BITS) // ranges for i in range(1, ranges)], np.uint64)
+    cuts = np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if a == b:
+            continue
+        steps = np.diff(values[a:b])
+        wide = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+        yield i, int(values[a]), wide, steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+
+
+def _unpacked(first: int, wide: int, steps: bytes) -> np.ndarray:
+    raw = np.frombuffer(steps, np.uint8).reshape(-1, wide)
+    full = np.zeros((len(raw) + 1, 8), np.uint8)
+    full[1:, :wide] = raw
+    out = full.view("<u8").ravel()
+    out[0] = first
+    return np.cumsum(out, dtype=np.uint64)
+
+
+def _sign_ranges(words: int, percent: int, ranges: int):
+    """Signatures of a task's classes as a few sorted runs of short steps."""
+    schema = pa.schema([("range", pa.int32()), ("first", pa.int64()), ("wide", pa.int32()), ("steps", pa.binary())])
+
+    def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        values = np.sort(np.concatenate(held))
+        for row in _packed_runs(values, ranges):
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types, strict=True)], schema=schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for _, h in _distinct_sets(batches, words, 0):
+            held.append(signatures(h, percent))
+            size += len(held[-1])
+            if size >= SIGNS_HELD:
+                yield from packed(held)
+                held, size = [], 0
+        if held:
+            yield from packed(held)
+
+    return run
+
+
+def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Values that stand in the runs of a range twice or more; rows come sorted by range."""
+
+    def found(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        values = np.sort(np.concatenate(held))
+        twice = np.unique(values[1:][values[1:] == values[:-1]]).view(np.int64)
+        for s in range(0, len(twice), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(twice[s : s + 100_000])], ["sign"])
+
+    held: list[np.ndarray] = []
+    now = None
+    for batch in batches:
+        for number, first, wide, steps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if number != now and held:
+                yield from found(held)
+                held = []
+            now = number
+            held.append(_unpacked(first, wide, steps))
+    if held:
+        yield from found(held)
+
+
+def _signs_of(words: int, percent: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fps: list[bytes] = []
+        signs: list[np.ndarray] = []
+        for fp, h in _distinct_sets(batches, words, 0):
+            fps.append(fp)
+            signs.append(signatures(h, percent).view(np.int64))
+            if len(fps) == 200:
+                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(signs, pa.list_(pa.int64()))], ["fp", "signs"])
+                fps, signs = [], []
+        if fps:
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(signs, pa.list_(pa.int64()))], ["fp", "signs"])
+
+    return run
+
+
+def _shared_signatures(rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(sign, fp) of the signatures that two classes or more have, staged.
+
+    Classes are signed once to find the values that repeat, sent as sorted runs
+    of a few bytes a value, and once more to name the classes of those; no
+    signature is written in between.  Each class is signed where its first
+    document is read.
+    """
+    wanted = bloom.build(classes, "rep")
+    first = rows.where(wanted.might_contain(_key(F.col("doc")))).select("text")
+    total = classes.agg(F.sum("signs")).first()[0] or 0
+    ranges = max(bucket_count(rows), -(-total // SIGNS_HELD))
+    runs = first.mapInArrow(_sign_ranges(words, percent, ranges), "range int, first long, wide int, steps binary")
+    dealt = runs.repartition(F.col("range")).sortWithinPartitions("range")
+    several = stage(dealt.mapInArrow(_repeated, "sign long"))
+    maybe = bloom.build(several, "sign")
+    spread = first.mapInArrow(_signs_of(words, percent), "fp binary, signs array<long>").select("fp", F.explode("signs").alias("sign"))
+    return stage(spread.where(maybe.might_contain(F.col("sign"))).select("sign", "fp").join(several, "sign").distinct())
+
+
+# ── passes over pairs ────────────────────────────────────────────────────────
+
+
 def _sets_of(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -468,28 +595,19 @@ def groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int
 def _grouped(docs: DataFrame, doc: str, text: str, words: int, percent: int) -> DataFrame:
     """The same with ``copy``, a hash of the text."""
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("copy"), F.col(text).cast("binary").alias("text"))
-    signed_path = shared_path(docs.sparkSession)
-    rows.mapInArrow(
-        _sign_documents(words, percent), "doc long, copy long, n long, fp binary, cells binary, parity binary, signs array<long>"
-    ).write.parquet(signed_path)
-    signed = docs.sparkSession.read.parquet(signed_path)
-    members = stage(signed.select("doc", "copy", "n", "fp"))
+    signed = stage(
+        rows.mapInArrow(
+            _describe_documents(words, percent), "doc long, copy long, n long, fp binary, cells binary, parity binary, signs long"
+        )
+    )
+    members = signed.select("doc", "copy", "n", "fp")
     classes = stage(
         signed.where(F.col("fp").isNotNull())
         .groupBy("fp")
-        .agg(F.min("doc").alias("first_doc"), F.max("n").alias("n"), F.max("cells").alias("cells"), F.max("parity").alias("parity"))
+        .agg(F.min("doc").alias("first_doc"), *[F.max(c).alias(c) for c in ("n", "cells", "parity", "signs")])
         .withColumn("rep", _key(F.col("first_doc")))
     )
-
-    # signatures of two classes or more; 64 bits of the class are enough to see that
-    short = F.xxhash64("fp")
-    spread = signed.where(F.col("signs").isNotNull()).select(short.alias("c"), "fp", F.explode("signs").alias("sign"))
-    counted = spread.groupBy("sign").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    several = stage(counted.where(F.col("low") != F.col("high")).select("sign"))
-    maybe = bloom.build(several, "sign")
-    shared = spread.where(maybe.might_contain(F.col("sign"))).select("sign", "fp").join(several, "sign").distinct()
-    shared = stage(shared)
-    discard(signed_path)
+    shared = _shared_signatures(rows, classes, words, percent)
 
     links = _Links(rows, classes, words, percent)
     # every class with the smallest one of all its signatures
