@@ -14,6 +14,7 @@ for every range of documents, so a lost executor costs its own files only.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -28,6 +29,8 @@ SHARD_TOKENS = 1 << 20
 BLOCK_BITS = 512
 END_ID = 2
 CACHE_WORDS = 400_000
+#: Text that is encoded at a time.
+BLOCK_BYTES = 2_000_000
 
 SHARD_SCHEMA = (
     "part int, seq int, before long, n_tokens long, doc_ids array<long>, lengths array<long>, "
@@ -43,6 +46,11 @@ _LATIN_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ODD = re.compile(r"[\x00-\x1f\x7f\x80-\xa0]|<\|")
 
 
+#: Byte-level tokenizers write every byte as one character: printable Latin-1 as itself, the others from 256 on, in order.
+_PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: b for b in _PLAIN_BYTES} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN_BYTES)))}
+
+
 class _Recent:
     """A bounded cache of two generations: what is used moves into the new one."""
 
@@ -51,26 +59,28 @@ class _Recent:
         self.new: dict = {}
         self.old: dict = {}
 
-    def absent(self, keys: set) -> list:
+    def absent(self, keys: set) -> set:
         """The keys without a value; the others are in ``new`` afterwards."""
-        if len(self.new) + len(keys) > self.limit:
+        missing = keys.difference(self.new)
+        if len(self.new) + len(missing) > self.limit:
             self.old, self.new = self.new, {}
-        new, old, out = self.new, self.old, []
-        for k in keys:
-            if k not in new:
-                if k in old:
-                    new[k] = old[k]
-                else:
-                    out.append(k)
-        return out
+            missing = keys
+        back = missing.intersection(self.old)
+        if back:
+            old = self.old
+            self.new.update([(k, old[k]) for k in back])
+            missing = missing - back
+        return missing
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer that never looks across white space.
 
-    The library encodes every distinct piece of a word once; texts are put
-    together from a bounded cache.  Only words of Latin-1 letters are split
-    here, all others go to the library whole.
+    The library's model encodes every distinct piece of a word once; texts are
+    put together from one bounded cache of words and pieces (a lower-case word
+    is its own piece), block by block, so that words are looked up by set
+    operations.  Only words of Latin-1 letters are split here, all others go to
+    the library whole.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
@@ -78,53 +88,56 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.latin = regex.compile(_LATIN_PIECES)
-        self.words, self.pieces = _Recent(limit), _Recent(limit)
+        self.words = _Recent(limit)
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a UTF-8 text as little-endian 16-bit integers."""
-        words = text.split()
-        try:
-            return b"".join(map(self.words.new.__getitem__, words))
-        except KeyError:
-            self._learn(set(words))
-            return b"".join(map(self.words.new.__getitem__, words))
-
-    def _learn(self, words: set[bytes]) -> None:
-        missing = self.words.absent(words)
-        split: dict[bytes, list[str]] = {}
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        missing = self.words.absent(set().union(*split))
+        if missing:
+            self._learn(missing)
+        ids = self.words.new.__getitem__
+        return [b"".join(map(ids, words)) for words in split]
+
+    def _learn(self, missing: set[bytes]) -> None:
+        made, piece = self.words.new, self._piece
         whole: list[bytes] = []
         for w in missing:
+            if w.isalpha():  # ASCII letters only
+                made[w] = piece(w.lower())
+                continue
+            stem, last = w[:-1], w[-1:]
+            if last in b".," and stem.isalpha():
+                made[w] = piece(stem.lower()) + piece(last)
+                continue
             s = w.decode()
-            if s.isalpha() and max(s) <= "\xff":
-                split[w] = [s.lower()]
-            elif max(s) > "\xff" or _ODD.search(s):
+            if max(s) > "\xff" or _ODD.search(s):
                 whole.append(w)
+            elif s.isalpha():
+                made[w] = piece(s.lower().encode())
+            elif last in b".," and s[:-1].isalpha():
+                made[w] = piece(s[:-1].lower().encode()) + piece(last)
             else:
-                s = s.lower()
-                split[w] = _ASCII_PIECES.findall(s) if s.isascii() else self.latin.findall(s)
-        pieces = self.pieces.absent({p for ps in split.values() for p in ps})
-        for i in range(0, len(pieces), 1000):
-            self._encode_pieces(pieces[i : i + 1000])
-        known, made = self.pieces.new, self.words.new
-        for w, ps in split.items():
-            made[w] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
+                parts = _ASCII_PIECES.findall(s.lower()) if w.isascii() else self.latin.findall(s.lower())
+                made[w] = b"".join([piece(p.encode()) for p in parts])
         if whole:
             encoded = self.tokenizer.encode_batch([w.decode() for w in whole], add_special_tokens=False)
             for w, e in zip(whole, encoded, strict=True):
                 made[w] = np.array(e.ids, "<u2").tobytes()
 
-    def _encode_pieces(self, pieces: list[str]) -> None:
-        e = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
-        ids, owner = np.array(e.ids, "<u2"), np.array(e.word_ids, np.int64)
-        edges = np.searchsorted(owner, np.arange(len(pieces) + 1))
-        if len(owner) == 0 or owner[-1] + 1 != len(pieces):
-            for p, x in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True):
-                self.pieces.new[p] = np.array(x.ids, "<u2").tobytes()
-            return
-        raw, edges = ids.tobytes(), edges.tolist()
-        for k, p in enumerate(pieces):
-            self.pieces.new[p] = raw[2 * edges[k] : 2 * edges[k + 1]]
+    def _piece(self, piece: bytes) -> bytes:
+        """Ids of one lower-case piece."""
+        got = self.words.new.get(piece) or self.words.old.get(piece)
+        if got is None:
+            raw = piece.decode() if piece.isascii() else piece.decode("latin-1").translate(_BYTE_CHARS)
+            ids = [t.id for t in self.model.tokenize(raw)]
+            got = self.words.new[piece] = struct.pack(f"<{len(ids)}H", *ids)
+        return got
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -259,6 +272,19 @@ _ARROW = pa.schema(
 )
 
 
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    """Keys and texts in blocks of some bytes of text; a longer text is a block of its own."""
+    for batch in batches:
+        sizes = np.cumsum(np.diff(np.frombuffer(batch.column(1).buffers()[1], np.int32)[batch.column(1).offset : batch.column(1).offset + batch.num_rows + 1]))
+        start = 0
+        while start < batch.num_rows:
+            before = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, before + BLOCK_BYTES, "right")))
+            part = batch.slice(start, end - start)
+            yield part.column(0).to_pylist(), part.column(1).to_pylist()
+            start = end
+
+
 def _pack(tokenizer: str, shard_tokens: int, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _encoder(tokenizer), np.array([end_id], "<u2").tobytes()
@@ -266,12 +292,11 @@ def _pack(tokenizer: str, shard_tokens: int, end_id: int):
         ids: list[bytes] = []
         keys: list[int | None] = []
         held = 0
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = encoder.encode(text.as_py() or b"") + end
-                ids.append(got)
+        for keys_read, texts in _blocks(batches):
+            for key, got in zip(keys_read, encoder.encode_many(texts), strict=True):
+                ids.append(got + end)
                 keys.append(key)
-                held += len(got) // 2
+                held += len(ids[-1]) // 2
                 if held >= shard_tokens:
                     yield pa.RecordBatch.from_pylist([_shard(part, seq, before, ids, keys)], _ARROW)
                     ids, keys, seq, before, held = [], [], seq + 1, before + held, 0
