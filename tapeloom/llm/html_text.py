@@ -35,16 +35,18 @@ DIMS = PATH_DIMS + WORD_DIMS + SHAPE_DIMS
 
 # ── blocks ───────────────────────────────────────────────────────────────────
 
-_RAW = "script|style|noscript|template|iframe|title|textarea"
-_ATTRIBUTES = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
+_RAW = "script|style|template|iframe|title|textarea"
+#: A tag's name ends at white space, a slash or the tag's end; quotes count only after an equals sign.
+_ENDED = r"(?=[\s/>])"
+_ATTRIBUTES = r"(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^<>])*+"
 #: Tags that end a drawing without a closing tag, as in a browser.
 _BREAKS_OUT = (
     "address|article|aside|b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|fieldset|footer|form|h[1-6]|head|header|hr|html"
     "|i|img|li|main|menu|meta|nav|ol|p|pre|ruby|s|section|small|span|strong|strike|sub|sup|table|td|th|tr|tt|u|ul|var"
 )
-_DRAWING = rf"<svg\b{_ATTRIBUTES}(?:(?<=/)>|(?<!/)>.*?(?:</svg\s*>|(?=</?(?:{_BREAKS_OUT})[\s/>])|\Z))"
+_DRAWING = rf"<svg{_ENDED}{_ATTRIBUTES}(?:(?<=/)>|(?<!/)>.*?(?:</svg\s*>|(?=</?(?:{_BREAKS_OUT})[\s/>])|\Z))"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|{_DRAWING}|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})/?>|[^<]+|<",
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<({_RAW}){_ENDED}{_ATTRIBUTES}>.*?(?:</\1{_ENDED}[^>]*>|\Z)|{_DRAWING}|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})/?>|[^<]+|<",
     re.IGNORECASE | re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
