@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.runtime import with_row
+from tapeloom.operators.ordered import running
+from tapeloom.runtime import stage, with_row
 
 
 def buy_and_hold(bars: DataFrame, trades: DataFrame) -> DataFrame:
@@ -67,62 +68,62 @@ def random_pool(bars: DataFrame, trades: DataFrame) -> DataFrame:
         F.greatest(F.lit(1), F.floor(F.avg("holding_days")).cast("int")).alias("hold"),
         F.count("*").alias("n"),
         F.avg("return_pct").alias("strategy_avg"),
-    )
+    ).first()  # one row
     own = Window.partitionBy("symbol").orderBy("date")
-    pos = with_row(bars.select("symbol", "close", F.row_number().over(own).alias("i")), stats)
-    later = pos.select("symbol", (F.col("i") - F.col("hold")).alias("i"), F.col("close").alias("exit_close"))
-    return (
-        pos.join(later, ["symbol", "i"])
-        .where(F.col("close") > 0)
-        .select("symbol", "i", "n", "strategy_avg", ((F.col("exit_close") - F.col("close")) / F.col("close")).alias("r"))
+    later = F.lead("close", stats.hold or 1).over(own)
+    pos = bars.select("symbol", "close", F.row_number().over(own).alias("i"), later.alias("exit_close"))
+    return pos.where(F.col("exit_close").isNotNull() & (F.col("close") > 0)).select(
+        "symbol",
+        "i",
+        F.lit(stats.n).alias("n"),
+        F.lit(stats.strategy_avg).cast("double").alias("strategy_avg"),
+        ((F.col("exit_close") - F.col("close")) / F.col("close")).alias("r"),
     )
 
 
+def draws(sims: int, each: int, among: int, spark_df: DataFrame, seed: int) -> DataFrame:
+    """(sim, place): ``each`` draws with replacement per simulation among ``among`` places.
+
+    A draw is the md5 of seed, simulation and its number, so any engine can
+    repeat it.  Draws of a simulation are split over tasks by their number.
+    """
+    spark = spark_df.sparkSession
+    numbers = spark.range(sims * each).select(F.expr(f"id div {each}").alias("sim"), (F.col("id") % each).alias("k"))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("sim").cast("string"), F.col("k").cast("string")))
+    return numbers.select("sim", (F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % F.lit(among)).alias("place"))
+
+
 def random_baseline(bars: DataFrame, trades: DataFrame, *, sims: int = 100, seed: int = 42) -> DataFrame:
     """Bootstrap of random entries: mean, spread, 5/95 borders, beaten share.
 
-    Each pool row draws its own Poisson count per simulation from a hash, which
-    is the distributed form of sampling with replacement: no join, no shuffle of
-    draws, only ``sims`` partial sums per task.
+    Sampling with replacement: the draws are made first and joined to the pool
+    by place, so the work is the number of draws plus the pool, not their
+    product.  Places count through the symbols by their pool sizes.
     """
-    pool = random_pool(bars, trades)
-    size = pool.agg(F.count("*").alias("pool"), F.first("n").alias("n"), F.first("strategy_avg").alias("strategy_avg"))
-    rate = F.least("n", "pool") / F.col("pool")
-    limits = size.where(F.col("pool") >= 10).select("strategy_avg", _poisson_limits(rate).alias("cdf"))
-    rows = with_row(pool.select("symbol", "i", "r"), limits)
-    drawn = rows.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
-    u = F.pmod(F.xxhash64("symbol", "i", "sim", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    chosen = drawn.withColumn("u", u).where(F.col("u") >= F.get("cdf", F.lit(0)))
-    weighted = chosen.withColumn("k", F.size(F.filter("cdf", lambda limit: limit <= F.col("u"))))
-    each = (
-        weighted.groupBy("sim")
-        .agg(
-            (F.sum(F.col("k") * F.col("r")) / F.sum("k")).alias("m"),
-            F.first("strategy_avg").alias("strategy_avg"),
-        )
-    )
-    ranked = each.withColumn("p", F.row_number().over(Window.orderBy("m")))  # ``sims`` rows
+    pool = stage(random_pool(bars, trades))
+    size = pool.agg(F.count("*").alias("pool"), F.first("n").alias("n"), F.first("strategy_avg").alias("strategy_avg")).first()  # one row
+    spark = pool.sparkSession
+    if size.pool < 10:
+        return spark.createDataFrame([], _BASELINE_SCHEMA)
+    sizes = running(pool.groupBy("symbol").agg(F.count("*").alias("size")), [], ["symbol"], {"upto": F.col("size")})
+    own = Window.partitionBy("symbol").orderBy("i")
+    base = sizes.select("symbol", (F.col("upto") - F.col("size")).alias("before"))
+    placed = pool.withColumn("at", F.row_number().over(own) - 1).join(base, "symbol").select((F.col("before") + F.col("at")).alias("place"), "r")
+    drawn = draws(sims, min(size.n, size.pool), size.pool, pool, seed)
+    means = drawn.join(placed, "place").groupBy("sim").agg(F.avg("r").alias("m"))
+    ranked = means.withColumn("p", F.row_number().over(Window.orderBy("m")))  # ``sims`` rows
     low, high = max(0, int(sims * 0.05)) + 1, min(sims - 1, int(sims * 0.95)) + 1
     return ranked.agg(
         F.avg("m").alias("random_mean"),
         F.coalesce(F.stddev_samp("m"), F.lit(0.0)).alias("random_std"),
         F.max(F.when(F.col("p") == low, F.col("m"))).alias("ci_lower"),
         F.max(F.when(F.col("p") == high, F.col("m"))).alias("ci_upper"),
-        (F.count_if(F.col("strategy_avg") > F.col("m")) / F.lit(sims)).alias("beat_fraction"),
+        (F.count_if(F.lit(size.strategy_avg) > F.col("m")) / F.lit(sims)).alias("beat_fraction"),
         F.count("*").alias("n_simulations"),
     )
 
 
-def _poisson_limits(rate: Column, limit: int = 16) -> Column:
-    """Distribution function of a Poisson count at 0, 1, … (rate at most one)."""
-    start = F.struct(F.exp(-rate).alias("term"), F.array(F.exp(-rate)).alias("cdf"))
-
-    def extend(acc: Column, k: Column) -> Column:
-        term = acc["term"] * rate / k
-        total = F.element_at(acc["cdf"], -1) + term
-        return F.struct(term.alias("term"), F.concat(acc["cdf"], F.array(total)).alias("cdf"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(limit)), start, extend, lambda acc: acc["cdf"])
+_BASELINE_SCHEMA = "random_mean double, random_std double, ci_lower double, ci_upper double, beat_fraction double, n_simulations long"
 
 
 def stress_windows(index: DataFrame, *, days: int = 20, top_k: int = 3) -> DataFrame:

@@ -34,33 +34,43 @@ def interpolated_price(on: Column) -> Column:
 def exposure_curve(trades: DataFrame, *, capital: float = 100_000.0, size: float = 10_000.0) -> DataFrame:
     """Open positions and equity on every signal date, with a fixed size per trade.
 
-    A trade lists the days it is open for; everything after that is keyed by
-    date, so ordered steps only see one row per calendar day.
+    A trade is three events, whatever its length: it opens and its value starts
+    to move along a line, the line ends when its holding days are over, and it
+    closes.  Events are summed per day and swept along the calendar, so ordered
+    steps only see one row per calendar day.
     """
+    zero, one = F.lit(0.0), F.lit(1)
     t = trades.select("signal_date", "entry_price", "exit_price", "holding_days").withColumns(
         {"until": estimated_exit(), "shares": size / F.col("entry_price")}
     )
-    pnl = F.coalesce(F.col("shares") * (F.col("exit_price") - F.col("entry_price")), F.lit(0.0))
-    dates = t.groupBy(F.col("signal_date").alias("date")).agg(F.count("*").alias("opened"))
-    timed = t.where(F.col("until").isNotNull())
-    days = timed.withColumn("date", F.explode(F.sequence("signal_date", F.date_sub("until", 1))))
-    live = days.groupBy("date").agg(
-        F.count("*").alias("timed_open"),
-        F.sum(F.col("shares") * interpolated_price(F.col("date")) - size).alias("floating"),
-    )
-    endless = t.where(F.col("until").isNull()).groupBy(F.col("signal_date").alias("date")).agg(
-        F.count("*").alias("endless")
+    pnl = F.coalesce(F.col("shares") * (F.col("exit_price") - F.col("entry_price")), zero)
+    timed = F.col("until").isNotNull()
+    slope = F.when(timed, pnl / F.greatest(one, F.col("holding_days"))).otherwise(zero)
+    line_end = F.date_add("signal_date", F.greatest(one, F.col("holding_days")).cast("int"))
+
+    def event(day: Column, opened: int, open_: int, bend: Column) -> Column:
+        return F.struct(day.alias("date"), F.lit(opened).alias("opened"), F.lit(open_).alias("open"), bend.alias("bend"))
+
+    happens = F.array(
+        event(F.col("signal_date"), 1, 1, slope),
+        event(F.when(timed, line_end), 0, 0, -slope),
+        event(F.col("until"), 0, -1, zero),
     )
-    closed = timed.groupBy(F.col("until").alias("date")).agg(F.sum(pnl).alias("realised"))
-    merged = dates.join(live, "date", "full").join(endless, "date", "full").join(closed, "date", "full")
+    events = t.select(F.explode(happens).alias("e")).select("e.*").where(F.col("date").isNotNull())
+    daily = events.groupBy("date").agg(*[F.sum(c).alias(c) for c in ("opened", "open", "bend")])
+    span = daily.agg(F.min("date").alias("a"), F.max("date").alias("b")).where(F.col("a").isNotNull())
+    days = span.select(F.explode(F.sequence("a", "b")).alias("date"))
+    swept = days.join(daily, "date", "left").fillna(0)
     upto = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # calendar days
-    zero = F.lit(0.0)
-    curve = merged.select(
+    passed = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    swept = swept.withColumn("speed", F.sum("bend").over(upto))
+    # what a trade has gained stays in the book when it closes, so its line only stops moving
+    curve = swept.select(
         "date",
         "opened",
-        (F.coalesce("timed_open", F.lit(0)) + F.coalesce(F.sum("endless").over(upto), F.lit(0))).alias("positions_open"),
-        (F.lit(capital) + F.coalesce(F.sum("realised").over(upto), zero) + F.coalesce("floating", zero)).alias("equity"),
-    ).where(F.col("opened").isNotNull())
+        F.sum("open").over(upto).alias("positions_open"),
+        (F.lit(capital) + F.coalesce(F.sum("speed").over(passed), zero)).alias("equity"),
+    ).where(F.col("opened") > 0)
     before = F.lag("equity", 1, capital).over(Window.orderBy("date"))
     return curve.select(
         "date",

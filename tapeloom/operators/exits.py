@@ -11,33 +11,44 @@ MEANINGFUL_MOVE = 0.03
 LATE_GIVEBACK = 0.05
 
 
-def trade_excursions(trades: DataFrame, bars: DataFrame, keys: list[str], *, lookahead: int = LOOKAHEAD_BARS) -> DataFrame:
-    """Best and worst price while a trade was open, and just after its exit.
+def range_extremes(bars: DataFrame, longest: int, *, lookahead: int = LOOKAHEAD_BARS) -> DataFrame:
+    """Sparse table per symbol: for every bar the extremes of 1, 2, 4, … bars from it on, up to ``longest``.
 
-    A trade names the bars it was open for, so bars meet trades in one equi join
-    on (symbol, bar number); the look-ahead is precomputed on the bars.
+    Any span of bars is covered by two of these blocks, one from its first bar
+    on and one up to its last.  ``post_high`` and ``post_low`` look at the bars
+    after it.
     """
     own = Window.partitionBy("symbol").orderBy("date")
     after = own.rowsBetween(1, lookahead)
-    facts = bars.select(
+    blocks = [own.rowsBetween(0, (1 << j) - 1) for j in range(max(1, longest.bit_length()))]
+    return bars.select(
         "symbol",
         (F.row_number().over(own) - 1).alias("bar"),
-        "high",
-        "low",
+        F.array(*[F.max("high").over(w) for w in blocks]).alias("tops"),
+        F.array(*[F.min("low").over(w) for w in blocks]).alias("bottoms"),
         F.max("high").over(after).alias("post_high"),
         F.min("low").over(after).alias("post_low"),
     )
+
+
+def trade_excursions(trades: DataFrame, bars: DataFrame, keys: list[str], *, lookahead: int = LOOKAHEAD_BARS) -> DataFrame:
+    """Best and worst price while a trade was open, and just after its exit.
+
+    A trade reads at most three bars of a sparse table, however long it was
+    held: the two blocks that cover its span and its exit bar.
+    """
+    real = trades.where(F.col("exit_price").isNotNull() & (F.col("entry_price") > 0))
+    longest = real.agg(F.max(F.col("exit_idx") - F.col("entry_idx") + 1)).first()[0] or 1  # one number
+    facts = range_extremes(bars, int(longest), lookahead=lookahead)
     per_trade = [*keys, "symbol", "signal_idx"]
-    spans = trades.where(F.col("exit_price").isNotNull() & (F.col("entry_price") > 0)).select(
-        *per_trade,
-        "entry_price",
-        "exit_price",
-        "exit_reason",
-        "return_pct",
-        "exit_idx",
-        F.explode(F.sequence("entry_idx", "exit_idx")).alias("bar"),
+    level = F.floor(F.log2(F.col("exit_idx") - F.col("entry_idx") + F.lit(1.5))).cast("int")  # whole spans only, so .5 off any power of two
+    reads = F.array_distinct(F.array(F.col("entry_idx"), F.col("exit_idx") - F.pow(F.lit(2), F.col("level")).cast("int") + 1, F.col("exit_idx")))
+    spans = real.withColumn("level", level).select(
+        *per_trade, "entry_price", "exit_price", "exit_reason", "return_pct", "entry_idx", "exit_idx", "level", F.explode(reads).alias("bar")
     )
     at_exit = F.col("bar") == F.col("exit_idx")
+    # a block that begins at the exit bar would look past it, but for single bars
+    inside = F.when(at_exit, F.lit(0)).otherwise(F.col("level"))
     seen = (
         spans.join(facts, ["symbol", "bar"])
         .groupBy(*per_trade)
@@ -46,8 +57,8 @@ def trade_excursions(trades: DataFrame, bars: DataFrame, keys: list[str], *, loo
             F.first("exit_price").alias("exit_price"),
             F.first("exit_reason").alias("exit_reason"),
             F.first("return_pct").alias("return_pct"),
-            F.max("high").alias("top"),
-            F.min("low").alias("bottom"),
+            F.max(F.get("tops", inside)).alias("top"),
+            F.min(F.get("bottoms", inside)).alias("bottom"),
             F.max(F.when(at_exit, F.col("post_high"))).alias("post_high"),
             F.max(F.when(at_exit, F.col("post_low"))).alias("post_low"),
         )

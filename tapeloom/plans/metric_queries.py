@@ -359,9 +359,18 @@ def random_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got.select("symbol", "i", "r"))
 
 
-@query("g29_random_baseline")
+@query(
+    "g29_random_baseline",
+    f"""{TAKEN}, st AS (SELECT greatest(1, CAST(floor(avg(holding_days)) AS INT)) AS hold, count(*) AS n, avg(return_pct) AS mean FROM tk),
+    po AS (SELECT (b.close - a.close) / a.close AS r, row_number() OVER (ORDER BY a.symbol, a.idx) - 1 AS place FROM bars a, st, bars b WHERE b.symbol = a.symbol AND b.idx = a.idx + st.hold AND a.close > 0),
+    sz AS (SELECT count(*) AS size, least(count(*), (SELECT n FROM st)) AS n FROM po),
+    dr AS (SELECT sim, ('0x' || substr(md5('42|' || sim || '|' || k), 1, 15))::BIGINT % size AS place FROM range(100) a(sim), sz, range(CAST(n AS BIGINT)) b(k)),
+    me AS (SELECT sim, avg(r) AS m FROM dr JOIN po USING (place) GROUP BY sim), rk AS (SELECT *, row_number() OVER (ORDER BY m) AS p FROM me)
+    SELECT {r('avg(m)', 'random_mean')}, {r('stddev_samp(m)', 'random_std')}, {r('max(m) FILTER (p = 6)', 'ci_lower')}, {r('max(m) FILTER (p = 96)', 'ci_upper')},
+    {r('avg(CAST((SELECT mean FROM st) > m AS INT))', 'beat_fraction')}, count(*) AS n_simulations FROM rk HAVING (SELECT size FROM sz) >= 10""",
+)
 def random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baselines.random_baseline(stage(t.bars(spark, sf_dir)), taken(spark, sf_dir))
+    return rounded(baselines.random_baseline(stage(t.bars(spark, sf_dir)), taken(spark, sf_dir)))
 
 
 _STRESS = f"""{TAKEN}, bn AS (SELECT date, avg(close) AS close FROM bars GROUP BY date),
