@@ -21,20 +21,36 @@ from pyspark.sql import functions as F
 NO_EVENT_DAYS = 999
 
 
+#: What a column that remembers every bar before it looks back on.
+WHOLE_HISTORY = math.inf
+
+
 class Plan:
-    """Levels of derived columns over one bar table."""
+    """Levels of derived columns over one bar table, and how far back each looks.
+
+    A column looks back ``back`` bars on the columns it reads (``of``), so the
+    look-back of the whole is the sum along a chain and the maximum over
+    branches of the graph.
+    """
 
     def __init__(self, columns: list[str]) -> None:
         self.columns = set(columns)
         self._level: dict[str, int] = {}
         self._expr: dict[str, Column] = {}
+        self._back: dict[str, float] = {}
 
-    def add(self, name: str, level: int, expr: Callable[[], Column]) -> Column:
+    def add(self, name: str, level: int, expr: Callable[[], Column], back: float = 0, of: tuple[str, ...] = ()) -> Column:
         if name not in self._expr:
             self._level[name] = level
+            self._back[name] = back + max((self._back[n] for n in of), default=0)
             self._expr[name] = expr()
         return F.col(name)
 
+    @property
+    def lookback(self) -> float:
+        """Bars before a bar that any of the columns needs."""
+        return max(self._back.values(), default=0)
+
     def level(self, name: str) -> int:
         return self._level[name]
 
@@ -61,11 +77,11 @@ def position(p: Plan) -> Column:
 
 
 def previous(p: Plan, col: str, n: int = 1) -> Column:
-    return p.add(f"_{col}_{n}", 0, lambda: F.lag(col, n).over(bars_window()))
+    return p.add(f"_{col}_{n}", 0, lambda: F.lag(col, n).over(bars_window()), back=n)
 
 
 def moving_average(p: Plan, n: int, ago: int = 0, col: str = "close") -> Column:
-    return p.add(f"_avg_{col}_{n}_{ago}", 0, lambda: F.avg(col).over(frame(1 - n - ago, -ago)))
+    return p.add(f"_avg_{col}_{n}_{ago}", 0, lambda: F.avg(col).over(frame(1 - n - ago, -ago)), back=n - 1 + ago)
 
 
 def guard(ok: Column, value: Column, default: float | bool | int) -> Column:
@@ -79,10 +95,15 @@ def true_range(p: Plan) -> Column:
         "_tr",
         1,
         lambda: F.greatest(spread, F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)),
+        of=("_close_1",),
     )
 
 
-def decayed_sum(p: Plan, tag: str, level: int, value: Column, decay: float) -> tuple[Column, int]:
+#: A decayed sum forgets what weighs less than this.
+FORGOTTEN = 1e-18
+
+
+def decayed_sum(p: Plan, tag: str, level: int, value: Column, decay: float, of: tuple[str, ...] = ()) -> tuple[Column, int]:
     """``s = decay * s_before + value`` along the bars, without a fold.
 
     Inside a block the sum is a running sum of ``value * decay^-k``; the block
@@ -90,7 +111,7 @@ def decayed_sum(p: Plan, tag: str, level: int, value: Column, decay: float) -> t
     before the previous block to vanish (1e-150).
     """
     if decay <= 0:
-        return p.add(f"_dec_{tag}", level, lambda: value), level + 1
+        return p.add(f"_dec_{tag}", level, lambda: value, of=of), level + 1
     position(p)
     span = max(2, int(150 * math.log(10) / -math.log(decay)))
     block, k = F.floor(F.col(IDX) / span), F.col(IDX) % span
@@ -106,6 +127,8 @@ def decayed_sum(p: Plan, tag: str, level: int, value: Column, decay: float) -> t
         f"_dec_{tag}",
         level + 1,
         lambda: local + F.coalesce(carried, F.lit(0.0)) * F.pow(F.lit(decay), k + 1),
+        back=math.ceil(math.log(FORGOTTEN) / math.log(decay)),
+        of=of,
     )
     return total, level + 2
 
@@ -156,16 +179,16 @@ def _rsi(p: Plan, n: int) -> Built:
     idx = position(p)
     move = F.coalesce(F.col("close") - previous(p, "close"), F.lit(0.0))
     keep = 1 - 1 / n
-    gain, _ = decayed_sum(p, f"gain_{n}", 1, F.greatest(move, F.lit(0.0)), keep)
-    loss, level = decayed_sum(p, f"loss_{n}", 1, F.greatest(-move, F.lit(0.0)), keep)
+    gain, _ = decayed_sum(p, f"gain_{n}", 1, F.greatest(move, F.lit(0.0)), keep, ("_close_1",))
+    loss, level = decayed_sum(p, f"loss_{n}", 1, F.greatest(-move, F.lit(0.0)), keep, ("_close_1",))
     value = F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + gain / F.nullif(loss, F.lit(0.0))))
-    return p.add(f"_rsi_{n}", level, lambda: guard(idx >= n, value, 50.0)), level + 1
+    return p.add(f"_rsi_{n}", level, lambda: guard(idx >= n, value, 50.0), of=(f"_dec_gain_{n}", f"_dec_loss_{n}")), level + 1
 
 
 def _rsi_zscore(p: Plan, n: int) -> Built:
     rsi, level = _rsi(p, n)
-    mean = p.add(f"_rsi_mean_{n}", level, lambda: F.avg(rsi).over(frame(-49, 0)))
-    std = p.add(f"_rsi_std_{n}", level, lambda: F.stddev_pop(rsi).over(frame(-49, 0)))
+    mean = p.add(f"_rsi_mean_{n}", level, lambda: F.avg(rsi).over(frame(-49, 0)), back=49, of=(f"_rsi_{n}",))
+    std = p.add(f"_rsi_std_{n}", level, lambda: F.stddev_pop(rsi).over(frame(-49, 0)), back=49, of=(f"_rsi_{n}",))
     ok = (position(p) >= 50) & (std >= 1e-6)
     return guard(ok, (rsi - mean) / F.nullif(std, F.lit(0.0)), 0.0), level + 1
 
@@ -173,15 +196,15 @@ def _rsi_zscore(p: Plan, n: int) -> Built:
 def _macd(p: Plan, fast: int, slow: int, signal: int) -> tuple[Column, Column, int]:
     idx = position(p)
 
-    def ema(tag: str, level: int, value: Column, span: int) -> Built:
+    def ema(tag: str, level: int, value: Column, span: int, of: tuple[str, ...] = ()) -> Built:
         alpha = 2 / (span + 1)
-        return decayed_sum(p, tag, level, F.when(idx == 0, value).otherwise(value * alpha), 1 - alpha)
+        return decayed_sum(p, tag, level, F.when(idx == 0, value).otherwise(value * alpha), 1 - alpha, of)
 
     quick, _ = ema(f"ema_{fast}", 1, F.col("close"), fast)
     slow_ema, level = ema(f"ema_{slow}", 1, F.col("close"), slow)
     key = f"{fast}_{slow}"
-    line = p.add(f"_macd_{key}", level, lambda: quick - slow_ema)
-    smooth, level = ema(f"sig_{key}_{signal}", level + 1, line, signal)
+    line = p.add(f"_macd_{key}", level, lambda: quick - slow_ema, of=(f"_dec_ema_{fast}", f"_dec_ema_{slow}"))
+    smooth, level = ema(f"sig_{key}_{signal}", level + 1, line, signal, (f"_macd_{key}",))
     return line, smooth, level
 
 
@@ -193,20 +216,20 @@ def _macd_histogram(p: Plan, fast: int, slow: int, signal: int) -> Built:
 def _macd_cross(p: Plan, fast: int, slow: int, signal: int) -> Built:
     line, smooth, level = _macd(p, fast, slow, signal)
     key = f"{fast}_{slow}_{signal}"
-    gap = p.add(f"_gap_{key}", level, lambda: line - smooth)
-    before = p.add(f"_gapb_{key}", level + 1, lambda: F.lag(gap, 1).over(bars_window()))
+    gap = p.add(f"_gap_{key}", level, lambda: line - smooth, of=(f"_dec_sig_{key}",))
+    before = p.add(f"_gapb_{key}", level + 1, lambda: F.lag(gap, 1).over(bars_window()), back=1, of=(f"_gap_{key}",))
     return guard(position(p) >= slow + signal - 1, (gap > 0) & (before <= 0), False), level + 2
 
 
 def _atr(p: Plan, n: int) -> Built:
     idx, tr = position(p), true_range(p)
-    mean = p.add(f"_atr_{n}", 2, lambda: F.avg(tr).over(frame(1 - n, 0)))
+    mean = p.add(f"_atr_{n}", 2, lambda: F.avg(tr).over(frame(1 - n, 0)), back=n - 1, of=("_tr",))
     return F.when(idx >= n, mean).otherwise(tr), 3
 
 
 def _bands(p: Plan, n: int, s: str | None) -> tuple[Column, Column, float]:
     mid = moving_average(p, n)
-    std = p.add(f"_std_close_{n}", 0, lambda: F.stddev_samp("close").over(frame(1 - n, 0)))
+    std = p.add(f"_std_close_{n}", 0, lambda: F.stddev_samp("close").over(frame(1 - n, 0)), back=n - 1)
     return mid, std, multiplier(s or "2")
 
 
@@ -230,19 +253,19 @@ def _boll_below(p: Plan, n: int, s: str | None) -> Built:
 
 
 def _breakout(p: Plan, n: int) -> Built:
-    top = p.add(f"_top_{n}", 0, lambda: F.max("high").over(frame(-n, -1)))
+    top = p.add(f"_top_{n}", 0, lambda: F.max("high").over(frame(-n, -1)), back=n)
     return guard(position(p) >= n, F.col("close") > top, False), 1
 
 
 def _price_position(p: Plan, n: int, least: int = 2) -> Built:
-    low = p.add(f"_minc_{n}", 0, lambda: F.min("close").over(frame(1 - n, 0)))
-    high = p.add(f"_maxc_{n}", 0, lambda: F.max("close").over(frame(1 - n, 0)))
+    low = p.add(f"_minc_{n}", 0, lambda: F.min("close").over(frame(1 - n, 0)), back=n - 1)
+    high = p.add(f"_maxc_{n}", 0, lambda: F.max("close").over(frame(1 - n, 0)), back=n - 1)
     ok = (position(p) + 1 >= least) & F.lit(n >= 2)
     return guard(ok, (F.col("close") - low) / F.nullif(high - low, F.lit(0.0)), 0.5), 1
 
 
 def _volume_ratio(p: Plan, n: int) -> Built:
-    base = p.add(f"_basev_{n}", 0, lambda: F.avg("volume").over(frame(-n, -1)))
+    base = p.add(f"_basev_{n}", 0, lambda: F.avg("volume").over(frame(-n, -1)), back=n)
     return guard((position(p) >= n) & (base > 0), F.col("volume") / F.nullif(base, F.lit(0.0)), 1.0), 1
 
 
@@ -258,23 +281,23 @@ def _avg_volume(p: Plan, n: int) -> Built:
 
 def _days_since_high(p: Plan, n: int) -> Built:
     idx = position(p)
-    at = p.add(f"_hi_at_{n}", 1, lambda: F.max_by(idx, F.struct(F.col("high"), -idx)).over(frame(1 - n, 0)))
+    at = p.add(f"_hi_at_{n}", 1, lambda: F.max_by(idx, F.struct(F.col("high"), -idx)).over(frame(1 - n, 0)), back=n - 1)
     return guard(idx >= n - 1, idx - at, 0).cast("int"), 2
 
 
 def _days_since_low(p: Plan, n: int) -> Built:
     idx = position(p)
-    at = p.add(f"_lo_at_{n}", 1, lambda: F.min_by(idx, F.struct(F.col("low"), idx)).over(frame(1 - n, 0)))
+    at = p.add(f"_lo_at_{n}", 1, lambda: F.min_by(idx, F.struct(F.col("low"), idx)).over(frame(1 - n, 0)), back=n - 1)
     return guard(idx >= n - 1, idx - at, 0).cast("int"), 2
 
 
 def _volatility(p: Plan, n: int) -> Built:
     prev = previous(p, "close")
-    ret = p.add("_ret", 1, lambda: F.col("close") / F.nullif(prev, F.lit(0.0)) - 1)
+    ret = p.add("_ret", 1, lambda: F.col("close") / F.nullif(prev, F.lit(0.0)) - 1, of=("_close_1",))
     if n - 1 < 5:
         return F.lit(0.0), 0
-    std = p.add(f"_vol_{n}", 2, lambda: F.stddev_samp(ret).over(frame(2 - n, 0)))
-    count = p.add(f"_voln_{n}", 2, lambda: F.count(ret).over(frame(2 - n, 0)))
+    std = p.add(f"_vol_{n}", 2, lambda: F.stddev_samp(ret).over(frame(2 - n, 0)), back=n - 2, of=("_ret",))
+    count = p.add(f"_voln_{n}", 2, lambda: F.count(ret).over(frame(2 - n, 0)), back=n - 2, of=("_ret",))
     return guard((position(p) >= n) & (count >= 5), std * math.sqrt(250), 0.0), 3
 
 
@@ -315,6 +338,7 @@ def _streak(p: Plan, up: bool) -> Built:
         f"_broken_{'up' if up else 'down'}",
         1,
         lambda: F.max(broken).over(frame(Window.unboundedPreceding, 0)),
+        back=WHOLE_HISTORY,
     )
     return (idx - last).cast("int"), 2
 
@@ -453,7 +477,7 @@ def register_dynamic(name: str, factor: Callable[[], Column] | str) -> None:
 
     def build(p: Plan) -> Built:
         column = F.col(factor) if isinstance(factor, str) else factor()
-        value = p.add(f"_dyn_{name}", 0, lambda: column.cast("double"))
+        value = p.add(f"_dyn_{name}", 0, lambda: column.cast("double"), back=WHOLE_HISTORY)
         finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
         return guard(finite, value, 0.0), 1
 
@@ -497,6 +521,20 @@ def is_registered(name: str) -> bool:
     return _match(name) is not None
 
 
+def lookback(names: list[str], columns: list[str] | None = None) -> float:
+    """Bars before a bar that its values of the indicators depend on; infinite for all of them.
+
+    Decayed averages forget: what weighs less than ``FORGOTTEN`` is not counted.
+    A run-time factor may look at anything, so it counts as infinite.
+    """
+    plan = Plan(columns or ["open", "high", "low", "close", "volume", "bench_close"])
+    for name in names:
+        if (found := _match(name)) is None:
+            raise ValueError(f"unknown indicator: {name}")
+        found[0](plan, *found[1])
+    return plan.lookback
+
+
 def with_indicators(bars: DataFrame, names: list[str], *, keep_index: bool = False) -> DataFrame:
     """Add one column per indicator name to a bar table.
 

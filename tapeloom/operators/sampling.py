@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.spec import _OPS
 from tapeloom.operators.ordered import running
-from tapeloom.runtime import with_row
+from tapeloom.runtime import stage, with_row
 
 UNKNOWN = "__unknown__"
 
@@ -60,17 +61,22 @@ def apply_filters(universe: DataFrame, filters: list[tuple[str, str, object]]) -
     A field that is null for the whole current pool is not applied; otherwise
     null never matches.
     """
-    df = universe
-    for field, op, value in filters:
-        if field not in df.columns:
-            continue
-        known = df.agg((F.count(field) > 0).alias("_known"))
-        if op in _OPS:
-            match = F.coalesce(_OPS[op](F.col(field), F.lit(value)), F.lit(False))
-        else:
-            match = F.lit(False)
-        df = with_row(df, known).where(~F.col("_known") | match).drop("_known")
-    return df
+    wanted = [(field, op, value) for field, op, value in filters if field in universe.columns]
+    if not wanted:
+        return universe
+    pool = stage(universe)
+    passed: list[Column] = []
+    for field, op, value in wanted:
+        match = F.coalesce(_OPS[op](F.col(field), F.lit(value)), F.lit(False)) if op in _OPS else F.lit(False)
+        # over the rows that all filters before let through, each applied or not
+        left = F.lit(True)
+        for ok in passed:
+            left = left & ok
+        any_known = pool.agg(F.coalesce(F.bool_or(left & F.col(field).isNotNull()), F.lit(False))).first()[0]  # one flag
+        passed.append(match if any_known else F.lit(True))
+    for ok in passed:
+        pool = pool.where(ok)
+    return pool
 
 
 def _eligible(universe: DataFrame) -> DataFrame:
@@ -184,3 +190,87 @@ def strategy_scoped(
 ) -> DataFrame:
     filtered = apply_filters(universe, filters)
     return representative(filtered, limits) if fit is None else regime_fit(filtered, fit, limits)
+
+
+# ── expansion ────────────────────────────────────────────────────────────────
+
+
+@dataclass(frozen=True)
+class Ladder:
+    """How a sample grows while signals are too few: more symbols, earlier days, another order."""
+
+    steps: int = 3
+    symbols: int = 30
+    more_symbols: int = 20
+    more_days: int = 180
+    signals: int = 30
+
+    def size(self, step: int) -> int:
+        return max(1, self.symbols) + step * max(1, self.more_symbols)
+
+
+def spread_order(universe: DataFrame) -> DataFrame:
+    """The pool with ``spread``: a place between 0 and 1 that mixes the sectors in proportion, large caps first."""
+    placed = _placed(_eligible(universe), F.coalesce(F.col("market_cap"), F.lit(0.0)))
+    return placed.withColumn("spread", (F.col("_pos") + 0.5) / F.col("_size"))
+
+
+def admitted(pool: DataFrame, orders: list[Column], ladder: Ladder) -> DataFrame:
+    """(symbol, step): the first step whose sample holds each symbol.
+
+    ``orders`` gives the order of each step, the last one for all further
+    steps.  A later sample keeps what an earlier one had, so the samples are
+    nested and one number says in which of them a symbol is.
+    """
+    by_order: dict[int, list[int]] = {}
+    for step in range(ladder.steps + 1):
+        by_order.setdefault(min(step, len(orders) - 1), []).append(step)
+    parts = []
+    for which, steps in by_order.items():
+        # the first steps share an order where the same column is given again
+        ordered = pool.select("symbol", orders[which].alias("_o")).orderBy("_o", "symbol").limit(ladder.size(steps[-1]))
+        rank = F.row_number().over(Window.orderBy("_o", "symbol"))  # at most the size of the largest sample
+        first = F.lit(None).cast("int")
+        for step in reversed(steps):
+            first = F.when(F.col("_rank") <= ladder.size(step), step).otherwise(first)
+        parts.append(ordered.withColumn("_rank", rank).select("symbol", first.alias("step")))
+    joined = parts[0]
+    for part in parts[1:]:
+        joined = joined.unionByName(part)
+    return joined.groupBy("symbol").agg(F.min("step").alias("step"))
+
+
+def expand(pool: DataFrame, signals: DataFrame, orders: list[Column], start: date, end: date, ladder: Ladder = Ladder()) -> DataFrame:
+    """One row per step of the ladder, the first sufficient one marked as ``chosen``, the last one where none is.
+
+    ``signals`` (symbol, signal_date) are those of all symbols and days at once.
+    Every signal carries the first step that admits both its symbol and its
+    day, so one count per step, summed up along the ladder, answers all tries.
+    """
+    symbols = stage(admitted(pool, orders, ladder))
+    before = F.datediff(F.lit(start), F.col("signal_date"))
+    day_step = F.greatest(F.lit(0), F.ceil(before / ladder.more_days)).cast("int")
+    seen = (
+        signals.where(F.col("signal_date") <= F.lit(end))
+        .select("symbol", day_step.alias("day_step"))
+        .where(F.col("day_step") <= ladder.steps)
+        .join(symbols, "symbol")
+        .groupBy(F.greatest("step", "day_step").alias("step"))
+        .agg(F.count("*").alias("signals"))
+    )
+    new = symbols.groupBy("step").agg(F.count("*").alias("symbols"))
+    plan = [(k, ladder.size(k), start - timedelta(days=k * max(1, ladder.more_days))) for k in range(ladder.steps + 1)]
+    rungs = pool.sparkSession.createDataFrame(plan, "step int, max_symbols int, start_date date")
+    upto = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # one row per step
+    counted = rungs.join(new, "step", "left").join(seen, "step", "left").fillna(0, ["symbols", "signals"])
+    summed = counted.select(
+        "step", "max_symbols", "start_date", F.sum("symbols").over(upto).alias("symbols"), F.sum("signals").over(upto).alias("signals")
+    ).withColumn("reached", F.col("signals") >= ladder.signals)
+    first = F.min(F.when(F.col("reached"), F.col("step"))).over(Window.partitionBy())
+    return summed.withColumn("chosen", F.col("step") == F.coalesce(first, F.lit(ladder.steps)))
+
+
+def expanded_sample(pool: DataFrame, ladder_rows: DataFrame, orders: list[Column], ladder: Ladder = Ladder()) -> DataFrame:
+    """(symbol, step) of the symbols in the chosen sample."""
+    chosen = ladder_rows.where("chosen").agg(F.max("step").alias("_chosen"))
+    return with_row(admitted(pool, orders, ladder), chosen).where(F.col("step") <= F.col("_chosen")).select("symbol", "step")

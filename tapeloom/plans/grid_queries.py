@@ -1,18 +1,25 @@
-"""Sweeps over the library's own grids."""
+"""Sweeps over the library's own grids, and reads and samples that widen by themselves."""
 
 from __future__ import annotations
 
 from dataclasses import replace
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tapeloom.functions.indicators import lookback, with_indicators
 from tapeloom.functions.spec import Condition
-from tapeloom.operators import sweep
+from tapeloom.operators import sampling, sweep
 from tapeloom.plans import tables as t
 from tapeloom.plans.bar_queries import _SIMPLE, _momentum, _rsi_cte, guard, ma
 from tapeloom.plans.registry import query, r, rounded
 from tapeloom.plans.trade_queries import BASE
+from tapeloom.plans.metric_queries import TAKEN, taken
 from tapeloom.plans.trade_sql import FLAG, trades_sql
+from tapeloom.runtime import shared_path
+from tapeloom.sources import bars as src
 
 # ── exit grid ────────────────────────────────────────────────────────────────
 
@@ -64,3 +71,52 @@ def exit_grid_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every exit of the library's grid for one entry, over all bars."""
     got = sweep.sweep_trades(t.bars(spark, sf_dir), sweep.exit_candidates(STEEP_BASE))
     return rounded(got.select("candidate_id", "symbol", "signal_idx", "exit_idx", "exit_reason", "return_pct"))
+
+
+# ── widened reads ────────────────────────────────────────────────────────────
+
+_RANGE = (date(1996, 3, 1), date(1996, 9, 30))
+_WIDE_NAMES = ["ma20_slope", "volatility_20d", "atr", "days_since_high_20d", "momentum_10d", "price_position_52w", "rsi_14"]
+_WIDE_SQL = {k: v for group in _SIMPLE.values() for k, v in group.items() if k in _WIDE_NAMES}
+
+
+@query(
+    "b11_widened_history",
+    f"""{_rsi_cte(14)}, w AS (SELECT symbol, date, rsi, {', '.join(f'({v})::DOUBLE AS {k}' for k, v in _WIDE_SQL.items())} FROM s)
+    SELECT symbol, date, {', '.join(r(k, k) for k in _WIDE_SQL)}, {r('rsi', 'rsi_14')} FROM w WHERE date BETWEEN '{_RANGE[0]}' AND '{_RANGE[1]}'""",
+)
+def widened_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators of a date range out of a read that only goes back as far as they look."""
+    path = shared_path(spark)
+    src.write_history(t.bars(spark, sf_dir).drop("prev_close"), path)
+    part = src.read_widened(spark, path, *_RANGE, lookback(_WIDE_NAMES))
+    made = with_indicators(part, _WIDE_NAMES).where(F.col("date").between(*_RANGE))
+    return rounded(made.select("symbol", "date", *[F.col(n).cast("double").alias(n) for n in _WIDE_NAMES]))
+
+
+# ── sample expansion ─────────────────────────────────────────────────────────
+
+_LADDER = sampling.Ladder(steps=3, symbols=6, more_symbols=4, more_days=180, signals=150)
+_FAR = replace(_LADDER, signals=1_000_000)
+_SPAN = (date(1998, 1, 1), date(1998, 6, 30))
+_RUNGS = ", ".join(f"({k}, {_LADDER.size(k)}, CAST('{_SPAN[0]}' AS DATE) - {k * _LADDER.more_days})" for k in range(_LADDER.steps + 1))
+
+
+@query(
+    "j08_expanded_sample",
+    f"""{TAKEN}, rung(step, max_symbols, start_date) AS (VALUES {_RUNGS}),
+    ranked AS (SELECT symbol, row_number() OVER (ORDER BY md5('42|' || symbol), symbol) AS a, row_number() OVER (ORDER BY -market_cap NULLS FIRST, symbol) AS b FROM universe),
+    adm AS (SELECT symbol, min(step) AS step FROM ranked JOIN rung ON CASE WHEN step <= 1 THEN a ELSE b END <= max_symbols GROUP BY 1),
+    sig AS (SELECT greatest(adm.step, greatest(0, ceil(date_diff('day', signal_date, DATE '{_SPAN[0]}') / {_LADDER.more_days}))) AS step FROM tk JOIN adm USING (symbol) WHERE signal_date <= '{_SPAN[1]}'),
+    cum AS (SELECT step, max_symbols, start_date, (SELECT count(*) FROM adm WHERE adm.step <= rung.step) AS symbols, (SELECT count(*) FROM sig WHERE sig.step <= rung.step) AS signals FROM rung),
+    both_ AS (SELECT 'reached' AS kind, {_LADDER.signals} AS goal, * FROM cum UNION ALL SELECT 'exhausted', {_FAR.signals}, * FROM cum)
+    SELECT kind, CAST(step AS INT) AS step, CAST(max_symbols AS INT) AS max_symbols, CAST(start_date AS DATE) AS start_date, symbols, signals, signals >= goal AS reached,
+      step = coalesce(min(step) FILTER (signals >= goal) OVER (PARTITION BY kind), {_LADDER.steps}) AS chosen FROM both_""",
+)
+def expanded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempts of two ladders over all trades: one finds enough, one runs out of steps."""
+    pool, signals = t.universe(spark, sf_dir), taken(spark, sf_dir)
+    orders = [sampling.hashed(42), sampling.hashed(42), -F.col("market_cap")]
+    cases = [("reached", _LADDER), ("exhausted", _FAR)]
+    parts = [sampling.expand(pool, signals, orders, *_SPAN, ladder).withColumn("kind", F.lit(kind)) for kind, ladder in cases]
+    return parts[0].unionByName(parts[1])

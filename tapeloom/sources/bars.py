@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.indicators import lookback
+from tapeloom.functions.spec import Strategy, warmup_bars
+from tapeloom.runtime import stage
+
 BAR_SCHEMA = (
     "symbol string, date date, open double, high double, low double, close double, "
     "volume double, prev_close double, amount double, st boolean, name string"
@@ -222,11 +227,47 @@ def date_range(bars: DataFrame) -> DataFrame:
 
 
 def lookback_start(start: date, lookback: int) -> date:
-    """First calendar day to read so that ``lookback`` bars precede ``start``."""
+    """First calendar day to read so that ``lookback`` bars precede ``start``, without looking at a calendar."""
     days = max(60, -(-lookback * 8 // 5))
     return start - timedelta(days=days)
 
 
+def strategy_lookback(strategy: Strategy, columns: list[str] | None = None) -> float:
+    """Bars before a bar that a strategy's entry, stop and target depend on."""
+    ex = strategy.exit
+    names = list(strategy.indicators)
+    if ex.stop.type == "atr":
+        names.append(f"atr_{ex.stop.atr_period or 14}")
+    goal = (ex.target.target or "").strip().lower().removeprefix("ma")
+    average = int(goal) - 1 if goal.isdigit() else 0
+    return max(lookback(names, columns), average, warmup_bars(names))
+
+
+def read_widened(spark: SparkSession, path: str, start: date, end: date, bars_before: float) -> DataFrame:
+    """A stored bar table from ``start`` to ``end`` with ``bars_before`` bars of every symbol ahead of it.
+
+    Each symbol's first day is taken by rank from its own trading days, which
+    only reads two columns; the earliest of them picks the year partitions, so
+    that older years are not read.  Symbols with fewer bars come whole.
+    """
+    if start > end:
+        raise ValueError(f"start {start} is after end {end}")
+    stored = spark.read.parquet(path)
+    upto = stored.where((F.col("year") <= end.year) & (F.col("date") <= F.lit(end)))
+    if math.isinf(bars_before):
+        return upto.drop("year")
+    if bars_before <= 0:
+        return upto.where((F.col("year") >= start.year) & (F.col("date") >= F.lit(start))).drop("year")
+    back = Window.partitionBy("symbol").orderBy(F.col("date").desc())
+    ahead = stored.where((F.col("year") <= start.year) & (F.col("date") < F.lit(start))).select("symbol", "date")
+    near = ahead.withColumn("rank", F.row_number().over(back)).where(F.col("rank") <= int(bars_before))
+    firsts = stage(near.groupBy("symbol").agg(F.min("date").alias("_first")))
+    earliest = firsts.agg(F.min("_first")).first()[0] or start  # one day
+    wide = upto.where((F.col("year") >= earliest.year) & (F.col("date") >= F.lit(earliest))).drop("year")
+    # a symbol without bars before the range starts in it
+    return wide.join(firsts, "symbol", "left").where(F.col("date") >= F.coalesce("_first", F.lit(start))).drop("_first")
+
+
 # ── tick tables ──────────────────────────────────────────────────────────────
 
 
