@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
 
 from pyspark import SparkContext
@@ -16,13 +17,18 @@ _staged: list[str] = []
 def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where that setting is empty, a folder in the warehouse stands in, which a
-    cluster shares as well.
+    Where that setting is empty, a folder in the warehouse stands in; on a
+    cluster it has to name a file system that all machines share, as a plain
+    path would be another disk on each of them.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tapeloom"
+    warehouse, master = spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master
+    one_machine = master.startswith("local") and not master.startswith("local-cluster")
+    if not one_machine and not re.match(r"(?!file:)[a-zA-Z][\w+.-]*:", warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return warehouse.rstrip("/") + "/_tapeloom"
 
 
 def shared_path(spark: SparkSession) -> str:
@@ -34,12 +40,12 @@ def shared_path(spark: SparkSession) -> str:
 
 def discard(path: str) -> None:
     """Remove a folder that :func:`shared_path` named."""
-    jvm = SparkContext._jvm
-    if jvm is None or path not in _staged:
+    context = SparkContext._active_spark_context
+    if context is None or path not in _staged:
         return
     _staged.remove(path)
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release() -> None:
