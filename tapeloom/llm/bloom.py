@@ -1,11 +1,11 @@
 """Blocked Bloom filters as columns.
 
-A filter is one array of 64-bit words.  Four neighbouring words make a block;
-a key's hash picks the block and one bit in each of its words.  The array is
-built by a grouped ``bit_or`` and enters later plans as a scalar subquery, so a
-probe is four array reads inside generated code.  Its size has a fixed bound
-(``max_blocks`` times 32 bytes, 8 MB by default): beyond it more keys pass that
-are not in the list, none that is in it is lost.
+A filter is one array of 64-bit words, each of them a block: a key's hash picks
+one word and four bits in it.  The array is built by a grouped ``bit_or`` and
+enters later plans as one scalar subquery, so a probe is one array read and one
+mask inside generated code.  Its size has a fixed bound (``max_blocks`` words,
+8 MB by default): beyond it more keys pass that are not in the list, none that
+is in it is lost.
 """
 
 from __future__ import annotations
@@ -16,17 +16,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS_PER_KEY = 16
-MAX_BLOCKS = 1 << 18
-MIN_BLOCKS = 1 << 6
+MAX_BLOCKS = 1 << 20
+MIN_BLOCKS = 1 << 8
 _SEED = 0x5EED
+#: Words that travel together while the array is put in order.
+_TOGETHER = 4
 
 
 def _block(h: Column, blocks: int) -> Column:
     return F.shiftrightunsigned(h, 24).bitwiseAND(F.lit(blocks - 1)).cast("int")
 
 
-def _bit(h: Column, word: int) -> Column:
-    return F.shiftrightunsigned(h, 6 * word).bitwiseAND(F.lit(63)).cast("int")
+def _mask(h: Column) -> Column:
+    one, mask = F.lit(1).cast("long"), F.lit(0).cast("long")
+    for j in range(4):
+        bit = F.shiftrightunsigned(h, 6 * j).bitwiseAND(F.lit(63)).cast("int")
+        mask = mask.bitwiseOR(F.call_function("shiftleft", one, bit))
+    return mask
 
 
 def _hash(key: Column) -> Column:
@@ -41,29 +47,24 @@ class Bloom:
     def might_contain(self, key: Column) -> Column:
         """False only for keys that are not in the list; false for null."""
         h = _hash(key)
-        at = _block(h, self.blocks) * 4
-        hit = key.isNotNull()
-        for j in range(4):
-            word = F.get(self.words, at + j)
-            hit = hit & (F.call_function("getbit", word, _bit(h, j)) == 1)
-        return hit
+        mask = _mask(h)
+        return key.isNotNull() & (F.get(self.words, _block(h, self.blocks)).bitwiseAND(mask) == mask)
 
 
 def build(keys: DataFrame, key: str, max_blocks: int = MAX_BLOCKS) -> Bloom:
     """Filter of the non-null values of ``key``; the frame is read twice."""
     keys = keys.select(F.col(key).alias("key")).where(F.col("key").isNotNull())
     n, blocks = keys.count(), MIN_BLOCKS
-    while blocks < max_blocks and blocks * 256 < n * BITS_PER_KEY:
+    while blocks < max_blocks and blocks * 64 < n * BITS_PER_KEY:
         blocks *= 2
     h = _hash(F.col("key"))
+    at, none = _block(h, blocks), F.lit(0).cast("long")
+    names = [f"w{j}" for j in range(_TOGETHER)]
     bits = keys.select(
-        _block(h, blocks).alias("block"),
-        *[F.call_function("shiftleft", F.lit(1).cast("long"), _bit(h, j)).alias(f"w{j}") for j in range(4)],
+        (at / _TOGETHER).cast("int").alias("block"), *[F.when(at % _TOGETHER == j, _mask(h)).otherwise(none).alias(w) for j, w in enumerate(names)]
     )
-    zeros = keys.sparkSession.range(blocks).select(
-        F.col("id").cast("int").alias("block"), *[F.lit(0).cast("long").alias(f"w{j}") for j in range(4)]
-    )
-    table = bits.unionByName(zeros).groupBy("block").agg(*[F.bit_or(f"w{j}").alias(f"w{j}") for j in range(4)])
-    rows = table.agg(F.sort_array(F.collect_list(F.struct("block", "w0", "w1", "w2", "w3"))).alias("rows"))
-    words = F.flatten(F.transform("rows", lambda x: F.array(x["w0"], x["w1"], x["w2"], x["w3"])))
+    zeros = keys.sparkSession.range(blocks // _TOGETHER).select(F.col("id").cast("int").alias("block"), *[none.alias(w) for w in names])
+    table = bits.unionByName(zeros).groupBy("block").agg(*[F.bit_or(w).alias(w) for w in names])
+    rows = table.agg(F.sort_array(F.collect_list(F.struct("block", *names))).alias("rows"))
+    words = F.flatten(F.transform("rows", lambda x: F.array(*[x[w] for w in names])))
     return Bloom(blocks, rows.select(words.alias("words")).scalar())

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from tapeloom.llm.words import sampled
 
 SAMPLE_PAGES, REBUILT_PAGES = 300, 1500
+#: Longer pages are labelled like all others, but none is sent to the driver for the fit.
+SAMPLE_CHARS = 100_000
 HIDDEN, EPOCHS, WINDOW = 16, 8, 48
 PATH_DIMS, WORD_DIMS, SHAPE_DIMS = 96, 24, 8
 DIMS = PATH_DIMS + WORD_DIMS + SHAPE_DIMS
@@ -352,7 +354,8 @@ def _rebuilt(leaves: list[Block], rng: random.Random) -> tuple[list[Block], list
 
 def train(pages: DataFrame, html: str = "html", sample_pages: int = SAMPLE_PAGES, seed: int = 5) -> Labeller:
     """A labeller fitted to about ``sample_pages`` pages, at most twice as many, picked by a hash."""
-    rows = sorted(r[html] for r in sampled(pages.where(F.col(html).isNotNull()), sample_pages, seed).select(html).collect())
+    short = pages.select(html).where(F.length(html) <= SAMPLE_CHARS)
+    rows = sorted(r[html] for r in sampled(short, sample_pages, seed).collect())
     rng = random.Random(seed)
     # fewer pages are rebuilt more often, so that every kind of boilerplate is met
     rebuilt = max(4, -(-REBUILT_PAGES // max(1, len(rows))))

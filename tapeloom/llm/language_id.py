@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +35,6 @@ CACHE_WORDS = 300_000
 _MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>|&[#\w]+;", re.IGNORECASE | re.DOTALL)
 
 
-def word_bucket(word: Column) -> Column:
-    return (F.crc32(F.lower(word)) % BUCKETS).cast("int")
-
-
 class _Buckets(dict):
     def __missing__(self, word: str) -> int:
         bucket = zlib.crc32(word.encode()) % BUCKETS
@@ -73,7 +70,8 @@ def train(texts: DataFrame, language: str = "lang", text: str = "text") -> tuple
     return names, np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: The same letters as in training: number letters such as ½ are none.
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def _likelihoods(model: np.ndarray):
@@ -119,7 +117,9 @@ def identify(table: DataFrame, languages: list[str], model: np.ndarray) -> DataF
     ``table`` has ``text``, ``markup`` (the text is HTML), ``declared``,
     ``suffix``, ``domain`` and ``host``; these columns stay, the text goes.
     Nulls are no evidence: a text without letters has equal likelihoods, an
-    unknown declaration counts as none, null addresses share the level above.
+    unknown declaration counts as none, null and new addresses share the level
+    above (host, domain, suffix, all).  Repeated rows get equal results, texts of
+    any length are read whole, columns named like the results are replaced.
     With no language known every row is ``und``.
     """
     n = len(languages)
@@ -154,8 +154,10 @@ def identify(table: DataFrame, languages: list[str], model: np.ndarray) -> DataF
 
     placed = seen.join(
         hosts, (F.col("host") == F.col("h")) & F.col("domain").eqNullSafe(F.col("hd")) & F.col("suffix").eqNullSafe(F.col("hs")), "left"
-    ).join(suffixes, F.col("suffix") == F.col("s"), "left")
-    from_address = F.coalesce("p_host", "p_suffix", prior)
+    )
+    placed = placed.join(domains, (F.col("domain") == F.col("d")) & F.col("suffix").eqNullSafe(F.col("ds")), "left")
+    placed = placed.join(suffixes, F.col("suffix") == F.col("s"), "left")
+    from_address = F.coalesce("p_host", "p_domain", "p_suffix", prior)
     table_of_trust = F.array(*[F.array(*[F.lit(x) for x in row]) for row in trust])
     logs = F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)),

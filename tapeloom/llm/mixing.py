@@ -24,29 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PERIOD = 1000
 BLOCK_ROWS = 64
 BUCKET_ROWS = 2_500
 OTHER = "other"
 MAX_SOURCES = 500
-
-
-def whole_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Weights rounded to positive integers that add up to ``period`` (largest remainder).
-
-    The schedule itself takes :func:`exact_weights`.
-    """
-    if any(w <= 0 for w in weights.values()):
-        raise ValueError("weights must be positive")
-    if len(weights) > period:
-        raise ValueError("more sources than slots in a period")
-    total = sum(weights.values())
-    exact = {k: w / total * (period - len(weights)) for k, w in weights.items()}
-    out = {k: 1 + int(x) for k, x in exact.items()}
-    spare = period - sum(out.values())
-    for k in sorted(exact, key=lambda k: (int(exact[k]) - exact[k], k))[:spare]:
-        out[k] += 1
-    return out
+_RESULTS = ("mix_group", "mix_phase", "mix_slot", "mix_rank")
 
 
 def _fraction(weight: float | Fraction) -> Fraction:
@@ -182,6 +164,15 @@ def schedule(
     group of any size out to buckets of about ``bucket_rows`` rows; repeated
     rows follow each other.  Columns named like the results are replaced.
     """
+    others = [c for c in docs.columns if c not in _RESULTS]
+    placed_rows = _schedule(docs.select(*others), weights, key, source, other, block_rows, bucket_rows, every_source)
+    return placed_rows.select(*[F.col("row")[c].alias(c) for c in others], *_RESULTS)
+
+
+def _schedule(
+    docs: DataFrame, weights: dict[str, float], key: str, source: str, other: float, block_rows: int, bucket_rows: int, every_source: bool
+) -> DataFrame:
+    """Every row as one struct ``row`` with its place, so that no column of it can clash."""
     if len(weights) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} weighted sources")
     spark = docs.sparkSession
@@ -189,8 +180,7 @@ def schedule(
     if every_source:
         share = {**weights, **_parts(docs, weights, source, other)}
     group = F.when(F.col(source).isin(*(share.keys() - {OTHER} | weights.keys())), F.col(source)).otherwise(F.lit(OTHER))
-    plain = docs.drop("mix_group", "mix_phase", "mix_slot", "mix_rank")
-    rows = plain.withColumn("mix_group", group).withColumn("_h", F.xxhash64(*plain.columns, F.lit(1)))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), group.alias("mix_group"), F.xxhash64(*docs.columns, F.lit(1)).alias("_h"))
 
     # one row per group comes to the driver, at most MAX_SOURCES + 1
     counts = {x["mix_group"]: x["n"] for x in rows.groupBy("mix_group").agg(F.count("*").alias("n")).collect()}
@@ -203,7 +193,7 @@ def schedule(
     starts = sizes.select(
         F.col("mix_group").alias("_sg"), F.col("_bucket").alias("_sb"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")
     )
-    inside = Window.partitionBy("mix_group", "_bucket").orderBy("_h", F.col(key))
+    inside = Window.partitionBy("mix_group", "_bucket").orderBy("_h", F.col("row")[key])
     numbered = rows.withColumn("_n", F.row_number().over(inside) - 1).join(
         starts, (F.col("mix_group") == F.col("_sg")) & (F.col("_bucket") == F.col("_sb"))
     )
@@ -222,26 +212,27 @@ def schedule(
     )
     j, n = F.col("_block") - F.col("first"), F.size("slots")
     slot = F.col("base") + F.floor(j / n) * F.col("_period") + F.get("slots", (j % n).cast("int"))
-    return joined.withColumn("mix_slot", slot.cast("long")).withColumnRenamed("phase", "mix_phase").drop(
-        "_h", "_bucket", "_sg", "_sb", "_start", "_n", "_block", "_source", "first", "last", "base", "slots", "_period"
-    )
+    return joined.select("row", "mix_group", F.col("phase").alias("mix_phase"), slot.cast("long").alias("mix_slot"), "mix_rank")
+
 
+def _places(docs: DataFrame, weights: dict[str, float], key: str, source: str, **options) -> DataFrame:
+    chosen = {"other": 1.0, "block_rows": BLOCK_ROWS, "bucket_rows": BUCKET_ROWS, "every_source": False} | options
+    return _schedule(docs, weights, key, source, **chosen)
 
-def _packed(docs: DataFrame, weights: dict[str, float], key: str, source: str, **kwargs) -> DataFrame:
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"), F.col(source).alias("source"))
-    return schedule(packed, weights, "key", "source", **kwargs)
 
+def mixed(docs: DataFrame, weights: dict[str, float], key: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """The rows in the order of the mixture, columns unchanged.
 
-def mixed(docs: DataFrame, weights: dict[str, float], key: str = "doc_id", source: str = "source", **kwargs) -> DataFrame:
-    """The rows in the order of the mixture, columns unchanged."""
-    return _packed(docs, weights, key, source, **kwargs).orderBy("mix_slot", "mix_rank").select("row.*")
+    Nulls, repeated rows, extra columns and empty tables as in :func:`schedule`.
+    """
+    return _places(docs, weights, key, source, **options).orderBy("mix_slot", "mix_rank").select("row.*")
 
 
-def placed(docs: DataFrame, weights: dict[str, float], key: str = "doc_id", source: str = "source", **kwargs) -> DataFrame:
+def placed(docs: DataFrame, weights: dict[str, float], key: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The rows in any order, with the ``mix_slot`` and ``mix_rank`` that :func:`mixed` sorts by.
 
     Places depend on the rows alone, so they can be worked out again where
     the order was lost, as in files.
     """
     others = [c for c in docs.columns if c not in ("mix_slot", "mix_rank")]
-    return _packed(docs, weights, key, source, **kwargs).select(*[F.col("row")[c].alias(c) for c in others], "mix_slot", "mix_rank")
+    return _places(docs, weights, key, source, **options).select(*[F.col("row")[c].alias(c) for c in others], "mix_slot", "mix_rank")

@@ -49,9 +49,9 @@ CELLS, PARITIES = 256, 1024
 SIGN_BITS, SIGNS_HELD = 56, 4_000_000
 #: Members of a signature that one task compares with each other; larger groups are compared block by block.
 BLOCK_ROWS = 2000
-CACHE_WORDS = 300_000
 
-_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
+#: A-Z lower-cased, ASCII white space as blanks.
+_LOWER = bytes(i + 32 if 65 <= i <= 90 else 32 if 9 <= i <= 13 else i for i in range(256))
 _U = np.uint64
 #: Odd multipliers and shifts of a 64-bit mixing function.
 _M1, _M2, _ROLL = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
@@ -66,17 +66,53 @@ def _mix(x: np.ndarray) -> np.ndarray:
 # ── sets ─────────────────────────────────────────────────────────────────────
 
 
-class _Codes(dict):
-    """Word to 64-bit hash, remembered up to a bound."""
+#: A number for every byte, and an odd base whose powers place it in its word.
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _ROLL)
+_BASE = 0xD6E8FEB86659FD93
+_PIECE = 1 << 19
+_powers: dict[str, np.ndarray] = {}
 
-    def __missing__(self, word: bytes) -> int:
-        code = xxhash.xxh64_intdigest(word)
-        if len(self) < CACHE_WORDS:
-            self[word] = code
-        return code
 
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, ``n`` or more of them."""
+    if not _powers or len(_powers["up"]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            table = np.full(size, base, np.uint64)
+            table[0] = 1
+            _powers[name] = np.cumprod(table)
+    return _powers["up"], _powers["down"]
 
-_codes = _Codes()
+
+def _piece_codes(text: bytes) -> np.ndarray:
+    letters = np.frombuffer(text, np.uint8)
+    n = len(letters)
+    up, down = _power_tables(n + 1)
+    solid = np.zeros(n + 2, bool)
+    np.not_equal(letters, 32, out=solid[1:-1])
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    begin, end = edges[::2], edges[1::2]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTES[letters] * up[:n], out=sums[1:])
+    return _mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * _M1)
+
+
+def word_codes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a UTF-8 text, A-Z lower-cased, in order.
+
+    A word's hash is a polynomial in its bytes, taken from running sums over
+    the whole text; long texts are read in pieces that end at white space.
+    """
+    plain = text.translate(_LOWER)
+    out, start = [], 0
+    while start < len(plain):
+        end = start + _PIECE
+        if end < len(plain):
+            gap = plain.find(b" ", end)
+            end = len(plain) if gap < 0 else gap
+        out.append(_piece_codes(plain[start:end]))
+        start = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -84,16 +120,20 @@ def shingles(text: bytes, words: int) -> np.ndarray:
 
     With fewer words than a shingle has, the whole sequence is the only one.
     """
-    w = text.translate(_LOWER).split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    c = np.fromiter(map(_codes.__getitem__, w), np.uint64, len(w))
-    span = min(words, len(w))
-    h = c[: len(w) - span + 1].copy()
+    c = word_codes(text)
+    n = len(c)
+    if not n:
+        return c
+    span = min(words, n)
+    h = c[: n - span + 1].copy()
     for i in range(1, span):
         h *= _ROLL
-        h += c[i : len(w) - span + 1 + i]
-    return np.unique(_mix(h + _U(span)))
+        h += c[i : n - span + 1 + i]
+    h = _mix(h + _U(span))
+    h.sort()
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
 
 
 # ── bands and signatures ─────────────────────────────────────────────────────
@@ -165,10 +205,14 @@ class _Band:
         cuts = np.empty(len(self.edges) + 2, np.int64)
         cuts[0], cuts[-1] = 0, len(h)
         cuts[1:-1] = np.searchsorted(h, self.edges)
-        parts = np.diff(sums[cuts]).reshape(self.n1, self.n2) * self.weights
-        filled = (np.diff(cuts) > 0).reshape(self.n1, self.n2)
-        full = filled[:, self.subsets].any(axis=2)
-        signs = _mix(parts[:, self.subsets].sum(axis=2, dtype=np.uint64) + self.tags + _U(seed))
+        upto = sums[cuts]
+        parts = (upto[1:] - upto[:-1]).reshape(self.n1, self.n2) * self.weights
+        filled = (cuts[1:] > cuts[:-1]).reshape(self.n1, self.n2)
+        full, signs = filled[:, self.subsets[:, 0]], parts[:, self.subsets[:, 0]] + (self.tags + _U(seed))
+        for j in range(1, self.subsets.shape[1]):
+            full |= filled[:, self.subsets[:, j]]
+            signs += parts[:, self.subsets[:, j]]
+        signs = _mix(signs)
         gaps = self.n1 - int(full.all(axis=1).sum())
         return signs.ravel() if seed == SEEDS - 1 else signs[full], gaps > self.spare
 

@@ -83,17 +83,17 @@ def n_repeat_words(text: Column) -> Column:
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """The five counts, each intermediate computed once per row."""
-    t = F.col(text)
-    return (
-        docs.withColumn("_rule_words", words(t))
-        .withColumn("_rule_marks", _window_marks(F.col("_rule_words")))
-        .withColumn("n_words", F.size("_rule_words").cast("long"))
-        .withColumn("word_chars", word_chars(t))
-        .withColumn("n_symbols", n_symbols(t))
-        .withColumn("n_dup_lines", n_dup_lines(t))
-        .withColumn("n_repeat_words", _covered(F.col("_rule_marks")))
-        .drop("_rule_words", "_rule_marks")
-    )
+    t = F.col("text")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    counted = packed.withColumn("words", words(t)).withColumn("marks", _window_marks(F.col("words")))
+    counts = {
+        "n_words": F.size("words").cast("long"),
+        "word_chars": word_chars(t),
+        "n_symbols": n_symbols(t),
+        "n_dup_lines": n_dup_lines(t),
+        "n_repeat_words": _covered(F.col("marks")),
+    }
+    return counted.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in counts], *[v.alias(k) for k, v in counts.items()])
 
 
 # ── rules ────────────────────────────────────────────────────────────────────
@@ -186,8 +186,12 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     results are replaced.
     """
     ordered = order_rules(docs, rules, text)
-    counted = with_counts(docs, text).withColumn("base_failed", base_fails(F.col("n_words"), F.col("n_repeat_words")))
-    return counted.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(passes(ordered, F.col(text))))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    failed = base_fails(F.col("n_words"), F.col("n_repeat_words"))
+    judged = with_counts(packed).withColumn("base_failed", failed)
+    judged = judged.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(passes(ordered, F.col("text"))))
+    added = [c for c in judged.columns if c not in ("row", "text")]
+    return judged.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = (*BASE_RULES, *RULES), text: str = "text") -> DataFrame:

@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.words import sampled
+from tapeloom.runtime import stage
 
-#: Bound of the labelled rows that are fitted and broadcast.
+#: Bound of the labelled rows that are fitted and broadcast; about half as many are taken.
 MAX_LABELLED = 8000
 NEIGHBOURS, RANK, BLOCK = 15, 48, 512
 WORD_DIMS, SHAPE_DIMS, EXTRA_DIMS = 1024, 256, 4
@@ -103,14 +104,19 @@ class Votes:
 def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "label", limit: int = MAX_LABELLED) -> Votes:
     """Votes of at most ``limit`` labelled rows, about half as many, picked by a hash.
 
-    Rows with a null id or label are no examples; without any example every
-    score is one half.
+    Rows with a null id or label are no examples; an id that repeats is one
+    example, with the larger label and, among several texts, the first by its
+    features.  Without any example every score is one half.
     """
     marked = labels.select(F.col(doc).alias("_id"), F.col(label).cast("int").alias("label"))
-    chosen = sampled(marked.where(F.col("_id").isNotNull() & F.col("label").isNotNull()), limit // 2, 11)
+    marked = marked.where(F.col("_id").isNotNull() & F.col("label").isNotNull()).groupBy("_id").agg(F.max("label").alias("label"))
+    chosen = sampled(stage(marked), limit // 2, 11)
     # at most ``limit`` narrow rows
     known = docs.select(F.col(doc).alias("_d"), F.col(text).alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_id"))
-    rows = known.select("label", "_t").mapInArrow(_feature_rows, "label int, features binary").limit(2 * limit).collect()
+    key = known.select(F.struct("_id", "label").alias("label"), "_t")
+    fields = key.schema["label"].dataType.simpleString()
+    read = key.mapInArrow(_feature_rows, f"label {fields}, features binary")
+    rows = read.groupBy("label._id", "label.label").agg(F.min("features").alias("features")).select("label", "features").collect()  # at most ``limit``
     if not rows:
         return Votes(np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
     rows.sort(key=lambda r: (r.features, r.label))

@@ -83,7 +83,7 @@ def decide_by_rules(rules: tuple[UrlRule, ...], host_: Column, path_: Column) ->
 
 
 def listed(pages: DataFrame, blocked: DataFrame, url: str = "url") -> DataFrame:
-    """Rows of ``pages`` with ``_listed``: its canonical URL is in ``blocked.canonical``.
+    """(row, url, listed) of all pages: the row, its address, and whether its canonical URL is in ``blocked.canonical``.
 
     The list may hold repeats, nulls or nothing.  Only possible hits are
     shuffled; a URL that very many pages share is dealt out by the skew join,
@@ -91,32 +91,26 @@ def listed(pages: DataFrame, blocked: DataFrame, url: str = "url") -> DataFrame:
     """
     listing = stage(blocked.select("canonical").where(F.col("canonical").isNotNull()).distinct())
     filter_ = bloom.build(listing, "canonical")
-    seen = pages.withColumn("_canonical", canonical(F.col(url)))
-    maybe = filter_.might_contain(F.col("_canonical"))
-    sure = seen.where(~maybe).withColumn("_listed", F.lit(False))
-    hits = seen.where(maybe).join(
-        listing.select(F.col("canonical").alias("_key"), F.lit(True).alias("_hit")),
-        F.col("_canonical") == F.col("_key"),
-        "left",
-    )
-    exact = hits.withColumn("_listed", F.coalesce("_hit", F.lit(False))).drop("_key", "_hit")
-    return sure.unionByName(exact).drop("_canonical")
+    seen = pages.select(F.struct(*pages.columns).alias("row"), F.col(url).alias("url"), canonical(F.col(url)).alias("seen"))
+    maybe = filter_.might_contain(F.col("seen"))
+    sure = seen.where(~maybe).select("row", "url", F.lit(False).alias("listed"))
+    hits = seen.where(maybe).join(listing.withColumn("hit", F.lit(True)), F.col("seen") == F.col("canonical"), "left")
+    return sure.unionByName(hits.select("row", "url", F.coalesce("hit", F.lit(False)).alias("listed")))
 
 
 def judge(pages: DataFrame, blocked: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str = "url") -> DataFrame:
     """All columns with ``host``, ``path``, ``rule`` and ``verdict``.
 
     A null URL or one without ``://`` has an empty host and path, fits no rule
-    and is listed nowhere: allowed.  Repeated rows are judged alike; columns
-    named like the results are replaced.
+    and is listed nowhere: allowed.  Repeated rows are judged alike, URLs of
+    any length are read whole; columns named like the results are replaced, all
+    others pass through whatever their names.
     """
-    u = F.col(url)
-    marked = listed(pages, blocked, url).withColumn("host", F.coalesce(host(u), F.lit("")))
-    marked = marked.withColumn("path", F.coalesce(path(u), F.lit("")))
-    marked = marked.withColumn("_by_rule", decide_by_rules(rules, F.col("host"), F.col("path")))
-    by_list = F.when(F.col("_listed"), "block").otherwise("allow")
-    return (
-        marked.withColumn("rule", F.col("_by_rule.rule"))
-        .withColumn("verdict", F.coalesce("_by_rule.action", by_list))
-        .drop("_by_rule", "_listed")
+    u = F.col("url")
+    marked = listed(pages, blocked, url).select("row", "listed", F.coalesce(host(u), F.lit("")).alias("host"), F.coalesce(path(u), F.lit("")).alias("path"))
+    marked = marked.withColumn("by_rule", decide_by_rules(rules, F.col("host"), F.col("path")))
+    by_list = F.when(F.col("listed"), "block").otherwise("allow")
+    kept = [F.col("row")[c].alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    return marked.select(
+        *kept, "host", "path", F.col("by_rule.rule").alias("rule"), F.coalesce("by_rule.action", by_list).alias("verdict")
     )

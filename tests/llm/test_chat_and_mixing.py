@@ -55,15 +55,15 @@ def test_rotation_matches_plain_rendering(spark, chunk):
 
 @pytest.mark.parametrize("weights", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1, "b": 1, "c": 1, "d": 0.01}, {"a": 5}])
 def test_one_period_stays_within_one_block(weights):
-    whole = mixing.whole_weights(weights)
-    assert sum(whole.values()) == mixing.PERIOD and min(whole.values()) >= 1
+    whole = mixing.exact_weights(weights)
+    period = sum(whole.values())
     slots = mixing.one_period(whole)
-    assert sorted(x for v in slots.values() for x in v) == list(range(mixing.PERIOD))
+    assert sorted(x for v in slots.values() for x in v) == list(range(period))
     for k, places in slots.items():
         done = 0
-        for t in range(mixing.PERIOD + 1):
-            assert abs(done * mixing.PERIOD - whole[k] * t) < mixing.PERIOD
-            done += t < mixing.PERIOD and t in places[done : done + 1]
+        for t in range(period + 1):
+            assert abs(done * period - whole[k] * t) < period
+            done += t < period and t in places[done : done + 1]
 
 
 @pytest.mark.parametrize(
@@ -210,3 +210,15 @@ def test_overlaps_match_a_search_without_seeds(spark):
     want = {(d, i, m, -a) for d, x in docs.items() for i, y in items.items() for m, a in [overlap(x, y) or (0, 0)] if m}
     frame = lambda rows, key: spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], f"{key} long, text string")
     assert {tuple(r) for r in decontaminate.overlaps(frame(docs, "doc_id"), frame(items, "item_id")).collect()} == want
+
+
+def test_columns_of_any_name_pass_through_the_mixture(spark):
+    names = ["doc_id", "source", "first", "phase", "_n", "_h", "slots", "row", "mix_slot"]
+    rows = [(i, f"s{i % 3}", 1, 2, 3, 4, 5, 6, 7) for i in range(300)] + [(None, None, 1, 2, 3, 4, 5, 6, 7)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, source string, first int, phase int, _n int, _h int, slots int, row int, mix_slot int")
+    got = mixing.schedule(docs, {"s0": 0.5, "s1": 0.3}, other=0.2, block_rows=4)
+    assert got.columns == [*names[:-1], "mix_group", "mix_phase", "mix_slot", "mix_rank"]
+    kept = got.collect()
+    assert sorted((tuple(r[n] for n in names[:-1]) for r in kept), key=repr) == sorted((r[:-1] for r in rows), key=repr)
+    assert sorted({r.mix_slot for r in kept}) == list(range(len({r.mix_slot for r in kept})))
+    assert mixing.mixed(docs, {"s0": 1.0}).columns == names

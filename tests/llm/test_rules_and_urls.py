@@ -107,3 +107,13 @@ def test_longest_rule_wins_and_longer_host_breaks_ties(spark):
     df = spark.createDataFrame([("aa.b.c", "/xy/z"), ("aa.b.c", "/y"), ("d.c", "/"), ("d", "/")], "h string, p string")
     got = df.select(url_filter.decide_by_rules(rules, _col("h"), _col("p")).alias("d")).collect()
     assert [r.d and r.d.rule for r in got] == ["aa.b.c/x", "c/", "c/", None]
+
+
+def test_columns_of_any_name_pass_through_rules_and_urls(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, 8, 9), (2, None, 7, 8, 9)], "doc_id long, text string, _rule_words int, row int, words int")
+    got = quality_rules.judge(docs)
+    assert got.columns[:5] == docs.columns and [r.words for r in got.collect()] == [9, 9]
+    pages = spark.createDataFrame([(1, "http://a.org/x", 7, 8, 9)], "page_id long, url string, _key int, _listed int, canonical int")
+    listing = spark.createDataFrame([("a.org/x",)], "canonical string")
+    row = url_filter.judge(pages, listing).first()
+    assert (row._key, row._listed, row.canonical, row.verdict) == (7, 8, 9, "block")

@@ -219,3 +219,34 @@ def test_pipeline_on_empty_and_odd_tables(spark):
             docs = step(spark, docs, SF)
             assert docs.count() == 0, name
             assert docs.columns == columns or name == "token_files"
+
+
+def test_new_hosts_have_the_share_of_their_domain(spark):
+    german = "der und die das nicht mit von ist auch eine"
+    texts = spark.createDataFrame([("de", german)] * 5 + [("en", "the and of to in is that it for was")] * 5, "lang string, text string")
+    languages, model = language_id.train(texts)
+    rows = [(i, german, False, None, "de", "zeitung.de", f"h{i}.zeitung.de") for i in range(30)]
+    rows += [(100 + i, "the and of to in is that it", False, None, "de", "other.de", "x.other.de") for i in range(30)]
+    rows += [(200, None, False, None, "de", "zeitung.de", "new.zeitung.de"), (201, None, False, None, "de", "zeitung.de", None), (202, "½ Ⅷ", False, None, None, None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, markup boolean, declared string, suffix string, domain string, host string")
+    got = {r.doc_id: r for r in language_id.identify(table, languages, model).collect()}
+    assert got[200].language == got[201].language == "de" and min(got[200].probability, got[201].probability) > 0.8
+    assert got[202].text_language is None
+
+
+def test_languages_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL")
+    held = docs.selectExpr("*", "crc32(cast(doc_id AS string)) % 4 = 1 AS held")
+    languages, model = language_id.train(held.where("NOT held"))
+    rows = held.where("held AND n_chars > 200").selectExpr(
+        "doc_id", "text", "false AS markup", "cast(null AS string) AS declared", "cast(null AS string) AS suffix", "cast(null AS string) AS domain", "cast(null AS string) AS host", "lang"
+    )
+    got = language_id.identify(rows, languages, model).collect()
+    assert len(got) > 100 and np.mean([r.language == r.lang for r in got]) > 0.97
+
+
+def test_votes_count_a_repeated_id_once(spark):
+    docs = spark.createDataFrame([(1, "good text")] * 50 + [(2, "bad stuff"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (2, 0), (None, 1), (3, None)], "doc_id long, label int")
+    votes = quality_votes.fit(docs, labels)
+    assert sorted(votes.labels.tolist()) == [0, 1]
