@@ -92,6 +92,61 @@ def match_sector_rank(sectors: DataFrame, top: list[str], bottom: list[str]) ->
     return sectors.withColumns({"heat_rank": rank, "risk_flag": risk})
 
 
+GRAM = 3
+
+
+def _pieces(name: Column, wide: Column) -> Column:
+    """All pieces of ``wide`` characters of a name that has as many."""
+    return F.transform(F.sequence(F.lit(1), F.length(name) - wide + 1), lambda i: F.substring(name, i, wide))
+
+
+def _grams(name: Column) -> Column:
+    """All distinct pieces of up to ``GRAM`` characters."""
+    none = F.array().cast("array<string>")
+    sizes = [F.when(F.length(name) >= n, _pieces(name, F.lit(n))).otherwise(none) for n in range(1, GRAM + 1)]
+    return F.array_distinct(F.flatten(F.array(*sizes)))
+
+
+def _full_grams(name: Column) -> Column:
+    """Pieces of ``GRAM`` characters, or the whole name if it is shorter."""
+    return F.array_distinct(_pieces(name, F.least(F.length(name), F.lit(GRAM))))
+
+
+def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer): names of one column ``name`` each, the first inside the second.
+
+    A name inside another has all its pieces there, so the one that the fewest
+    outer names have is enough to find every candidate, which ``contains`` then
+    decides.
+    """
+    index = outer.select(F.col("name").alias("outer"), F.explode(_grams(F.col("name"))).alias("gram"))
+    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
+    pieces = inner.select(F.col("name").alias("inner"), F.explode(_full_grams(F.col("name"))).alias("gram")).join(counts, "gram", "left")
+    # a piece that no outer name has rules its name out
+    rarest = pieces.groupBy("inner").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+    return rarest.join(index, "gram").where(F.col("outer").contains(F.col("inner"))).select("inner", "outer")
+
+
+def match_board_rank(sectors: DataFrame, board: DataFrame) -> DataFrame:
+    """Heat rank of each sector name against a board (name, heat_rank, risk_flag) of any length.
+
+    The best-ranked entry that is equal without regard to case or contained
+    either way; null and empty names match nothing.
+    """
+    listed = board.where(F.length("name") > 0)
+    entries = listed.select("name").distinct()
+    names = sectors.select(F.col("sector").alias("name")).where(F.length("name") > 0).distinct()
+    low = F.lower("name").alias("low")
+    same = names.select(F.col("name").alias("sector"), low).join(entries.select("name", low), "low").select("sector", "name")
+    around = _contained(entries, names).select(F.col("outer").alias("sector"), F.col("inner").alias("name"))
+    within = _contained(names, entries).select(F.col("inner").alias("sector"), F.col("outer").alias("name"))
+    pairs = same.union(around).union(within).distinct().join(listed, "name")
+    best = pairs.groupBy("sector").agg(F.min(F.struct("heat_rank", "risk_flag")).alias("_best"))
+    return sectors.join(best, "sector", "left").select(
+        *sectors.columns, F.col("_best.heat_rank").cast("int").alias("heat_rank"), F.coalesce("_best.risk_flag", F.lit(False)).alias("risk_flag")
+    )
+
+
 def market_breadth(bars: DataFrame, *, limit: float = 0.098) -> DataFrame:
     """Per date: share of rising symbols and a sentiment index."""
     move = (F.col("close") - F.col("prev_close")) / F.nullif(F.col("prev_close"), F.lit(0.0))

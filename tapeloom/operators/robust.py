@@ -7,6 +7,9 @@ few border positions.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,14 +192,20 @@ def cpcv_paths(
     keys: list[str],
     *,
     groups: int = 6,
+    test_groups: int = 2,
     purge_days: int = 5,
     order: DataFrame | None = None,
 ) -> DataFrame:
-    """Purged cross-validation: one row per pair of test groups.
+    """Purged cross-validation: one row per choice of ``test_groups`` out of ``groups``.
 
-    Trades are first counted per (group, date).  Purging works on dates, so the
-    pairs only ever meet those counts, never the trades.
+    Groups follow each other in time.  Of a group that is trained on, the test
+    groups' purge zones take a head and a tail: those of the nearest test group
+    before and after it, as farther ones reach less far.  So what a group keeps
+    is worked out once for every such pair of neighbours, from its counts per
+    day, and a path adds up one number a group.
     """
+    if not 0 < test_groups < groups:
+        raise ValueError("test_groups must lie between 0 and groups")
     order = numbered(trades, keys) if order is None else order
     sizes = _size(order, keys).where(F.col("n") >= groups * MIN_SPLIT)
     sizes = sizes.withColumn("size", F.floor(F.col("n") / groups))
@@ -206,33 +215,53 @@ def cpcv_paths(
         .groupBy(*keys, part.alias("g"), "signal_date")
         .agg(F.count("*").alias("n"), F.count_if(win()).alias("w"))
     )
-    spans = days.groupBy(*keys, "g").agg(
-        F.min("signal_date").alias("first"), F.max("signal_date").alias("last")
-    )
-    a = spans.select(*keys, F.col("g").alias("g1"), F.col("first").alias("f1"), F.col("last").alias("l1"))
-    b = spans.select(*keys, F.col("g").alias("g2"), F.col("first").alias("f2"), F.col("last").alias("l2"))
-    pairs = a.join(b, keys).where(F.col("g1") < F.col("g2"))
-    tested = (F.col("g") == F.col("g1")) | (F.col("g") == F.col("g2"))
-
-    def near(first: str, last: str) -> Column:
-        return F.col("signal_date").between(F.date_sub(first, purge_days), F.date_add(last, purge_days))
-
-    train = ~tested & ~near("f1", "l1") & ~near("f2", "l2")
-    counted = (
-        days.join(pairs, keys)
-        .groupBy(*keys, "g1", "g2")
-        .agg(
-            F.sum(F.when(train, F.col("n")).otherwise(0)).alias("train_n"),
-            F.sum(F.when(train, F.col("w")).otherwise(0)).alias("train_w"),
-            F.sum(F.when(tested, F.col("n")).otherwise(0)).alias("test_n"),
-            F.sum(F.when(tested, F.col("w")).otherwise(0)).alias("test_w"),
-        )
-        .where((F.col("train_n") >= MIN_SPLIT) & (F.col("test_n") >= MIN_SPLIT))
-    )
+    per_group = days.groupBy(*keys, "g").agg(
+        F.min("signal_date").alias("first"), F.max("signal_date").alias("last"), F.sum("n").alias("n"), F.sum("w").alias("w"),
+        F.collect_list(F.struct("signal_date", "n", "w")).alias("days"),  # one entry per calendar day
+    )
+    # ``groups`` entries per key
+    rows = per_group.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("g", "first", "last", "n", "w", "days"))).alias("_g"))
+
+    def group(i: int) -> Column:
+        return F.get(F.col("_g"), F.lit(i))
+
+    def kept(g: int, before: int | None, after: int | None) -> Column:
+        def outside(d: Column) -> Column:
+            ok = F.lit(True)
+            if before is not None:
+                ok = ok & (d["signal_date"] > F.date_add(group(before)["last"], purge_days))
+            if after is not None:
+                ok = ok & (d["signal_date"] < F.date_sub(group(after)["first"], purge_days))
+            return ok
+
+        nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("w"))
+        add = lambda acc, d: F.struct((acc["n"] + d["n"]).alias("n"), (acc["w"] + d["w"]).alias("w"))
+        return F.aggregate(F.filter(group(g)["days"], outside), nothing, add)
+
+    neighbours: dict[tuple, int] = {}
+    paths = []
+    for tested in combinations(range(groups), test_groups):
+        trained = []
+        for g in set(range(groups)) - set(tested):
+            near = (g, max((x for x in tested if x < g), default=None), min((x for x in tested if x > g), default=None))
+            trained.append(neighbours.setdefault(near, len(neighbours)))
+        paths.append((tested, trained))
+    rows = rows.withColumn("_kept", F.array(*[kept(*near) for near in neighbours]))
+
+    def total(parts: list[Column], field: str) -> Column:
+        return reduce(lambda x, y: x + y, [p[field] for p in parts])
+
+    def path(tested: tuple[int, ...], trained: list[int]) -> Column:
+        test, train = [group(i) for i in tested], [F.get(F.col("_kept"), F.lit(i)) for i in trained]
+        sums = {"train_n": total(train, "n"), "train_w": total(train, "w"), "test_n": total(test, "n"), "test_w": total(test, "w")}
+        return F.struct(F.array(*[F.lit(i) for i in tested]).alias("tested"), *[v.alias(k) for k, v in sums.items()])
+
+    listed = rows.select(*keys, F.explode(F.array(*[path(*p) for p in paths])).alias("_p")).select(*keys, "_p.*")
+    named = [F.get("tested", F.lit(i)).alias(f"g{i + 1}") for i in range(test_groups)]
+    counted = listed.where((F.col("train_n") >= MIN_SPLIT) & (F.col("test_n") >= MIN_SPLIT))
     return counted.select(
         *keys,
-        "g1",
-        "g2",
+        *named,
         "train_n",
         "test_n",
         (F.col("train_w") / F.col("train_n")).alias("train_win_rate"),

@@ -605,6 +605,22 @@ def sector_match_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.match_sector_rank(u, ["china", "UNITED"], ["France", "GERMANY"])
 
 
+@query(
+    "a13_board_rank_match",
+    f"""WITH {t.SQL_UNIVERSE}, lb AS (SELECT DISTINCT p_name AS name FROM part), words AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name FROM part),
+    bo AS (SELECT name, row_number() OVER (ORDER BY length(name), name) AS heat_rank, length(name) > 5 AS risk_flag FROM words WHERE name <> ''),
+    ma AS (SELECT lb.name, arg_min({{'k': heat_rank, 'r': risk_flag}}, heat_rank) AS m FROM lb JOIN bo ON lower(lb.name) = lower(bo.name) OR contains(lb.name, bo.name) OR contains(bo.name, lb.name) GROUP BY lb.name)
+    SELECT lb.name AS sector, CAST(m.k AS INT) AS heat_rank, coalesce(m.r, false) AS risk_flag FROM lb LEFT JOIN ma USING (name)""",
+)
+def board_match_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts against a ranked board of all words in them, both as tables."""
+    names = t.table(spark, sf_dir, "part").select(F.col("p_name").alias("sector")).distinct()
+    words = names.select(F.explode(F.split("sector", " ")).alias("name")).where("name <> ''").distinct()
+    order = Window.orderBy(F.length("name"), "name")
+    board = words.select("name", F.row_number().over(order).alias("heat_rank"), (F.length("name") > 5).alias("risk_flag"))
+    return context.match_board_rank(names, board)
+
+
 @query(
     "a13_select_sector_board",
     """SELECT symbol, coalesce(min_by(board, pos) FILTER (kind = 'industry'), min_by(board, pos)) AS sector FROM (
@@ -632,7 +648,17 @@ def fingerprint_parts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(src.fingerprint_rows(t.bars(spark, sf_dir)))
 
 
-@query("a20_data_fingerprint")
+def _digits(x: str) -> str:
+    return f"CAST(CAST(round({x} * 1000000) AS BIGINT) AS VARCHAR)"
+
+
+@query(
+    "a20_data_fingerprint",
+    f"""{BARS}, h AS (SELECT md5(symbol || '|' || CAST(date AS VARCHAR) || '|' || {" || '|' || ".join(_digits(c) for c in ("open", "high", "low", "close", "volume"))}) AS h FROM bars),
+    f AS (SELECT count(*) AS rows, CAST(sum(('0x' || substr(h, 1, 15))::BIGINT::HUGEINT) % 1152921504606846976 AS BIGINT) AS a,
+      CAST(sum(('0x' || substr(h, 17, 15))::BIGINT::HUGEINT) % 1152921504606846976 AS BIGINT) AS b FROM h)
+    SELECT substr(sha256(rows || '|' || a || '|' || b), 1, 12) AS fingerprint, rows FROM f""",
+)
 def fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.data_fingerprint(t.bars(spark, sf_dir))
 

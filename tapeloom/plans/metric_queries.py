@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from itertools import product
+from itertools import combinations, product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -236,6 +236,31 @@ def cpcv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(robust.cpcv(robust.cpcv_paths(swept(spark, sf_dir), CAND), CAND))
 
 
+_CHOICES = {k: list(combinations(range(6), k)) for k in (1, 2, 3)}
+_CHOSEN = ", ".join(f"({k}, '{'-'.join(map(str, c))}', {list(c)})" for k, cs in _CHOICES.items() for c in cs)
+
+
+@query(
+    "g20_cpcv_k_of_n",
+    f"""{SWEPT}, {splits_sql('candidate_id')}, {_CPCV.split("cp AS")[0]} ch(k, path, tested) AS (VALUES {_CHOSEN}),
+    zo AS (SELECT candidate_id, path, f - 5 AS za, l + 5 AS zb FROM ch, cs WHERE list_contains(tested, g)),
+    dy AS (SELECT candidate_id, g, signal_date AS d, count(*) AS n, count(*) FILTER (return_pct > 0) AS w FROM cg GROUP BY ALL),
+    al AS (SELECT k, path, dy.*, list_contains(tested, g) AS tst, EXISTS (SELECT 1 FROM zo WHERE zo.candidate_id = dy.candidate_id AND zo.path = ch.path AND d BETWEEN za AND zb) AS near FROM ch, dy),
+    su AS (SELECT candidate_id, k, path, coalesce(sum(n) FILTER (NOT tst AND NOT near), 0) AS train_n, sum(n) FILTER (tst) AS test_n, sum(w) FILTER (NOT tst AND NOT near) AS tw, sum(w) FILTER (tst) AS sw FROM al GROUP BY ALL)
+    SELECT candidate_id, CAST(k AS INT) AS k, path, CAST(train_n AS BIGINT) AS train_n, CAST(test_n AS BIGINT) AS test_n, {r('tw / train_n', 'train_win_rate')}, {r('sw / test_n', 'test_win_rate')} FROM su WHERE train_n >= 5 AND test_n >= 5""",
+)
+def cpcv_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purged paths with one, two and three test groups out of six."""
+    got = swept(spark, sf_dir)
+    order = stage(robust.numbered(got, CAND))
+    parts = []
+    for k in _CHOICES:
+        paths = robust.cpcv_paths(got, CAND, test_groups=k, order=order)
+        name = F.concat_ws("-", *[F.col(f"g{i + 1}") for i in range(k)])
+        parts.append(paths.select("candidate_id", F.lit(k).alias("k"), name.alias("path"), "train_n", "test_n", "train_win_rate", "test_win_rate"))
+    return rounded(parts[0].union(parts[1]).union(parts[2]))
+
+
 @query(
     "c08_purged_train",
     f"""{TAKEN} SELECT symbol, signal_idx, signal_date, {r('return_pct', 'return_pct')} FROM tk

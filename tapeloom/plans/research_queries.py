@@ -394,7 +394,7 @@ def drop_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "c13_j25_padded_lessons",
     f"""{LE}, own AS (SELECT strategy_id, round_num, created_at, 0 AS part FROM le WHERE strategy_family = '{FAMILY}' ORDER BY created_at DESC LIMIT 10),
-    sp AS (SELECT strategy_id, round_num, created_at, 1 AS part FROM le WHERE worked ORDER BY created_at DESC LIMIT 10),
+    sp AS (SELECT strategy_id, round_num, created_at, 1 AS part FROM le WHERE worked ORDER BY created_at DESC LIMIT (SELECT 10 - count(*) FROM own)),
     al AS (SELECT * FROM own UNION ALL SELECT * FROM sp WHERE (strategy_id, round_num) NOT IN (SELECT (strategy_id, round_num) FROM own)),
     rk AS (SELECT *, row_number() OVER (ORDER BY part, created_at DESC) AS pos FROM al),
     kp AS (SELECT *, greatest(1, count(*) OVER () // 2) AS half FROM rk WHERE pos <= 10)

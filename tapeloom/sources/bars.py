@@ -204,22 +204,50 @@ def fingerprint_rows(bars: DataFrame) -> DataFrame:
     )
 
 
-def data_fingerprint(bars: DataFrame) -> DataFrame:
-    """Twelve hex digits that name the content range of a bar table.
+#: Digests are sums modulo this, so they merge in any order and can be taken back.
+DIGEST_MODULUS = 1 << 60
+_DIGEST_PARTS = ("a", "b")
+
 
-    Every symbol is digested on its own and the digests are summed, so symbols
-    need neither an order nor one task that sees them all.
+def bar_digests(bars: DataFrame) -> DataFrame:
+    """(year, rows, a, b): a multiset digest of the bars of every year.
+
+    Every bar is hashed on its own and the hashes are summed, so neither an
+    order nor a task that sees a year whole is needed.  Digests of disjoint
+    tables add up (:func:`merged_digests`), and taking rows back subtracts
+    them, so a new year is digested alone.  Prices count to six decimals.
     """
-    per_symbol = fingerprint_rows(bars)
-    line = F.concat_ws("|", *[F.col(c).cast("string") for c in ("symbol", "rows", "start", "end", "last_close")])
-    digest = per_symbol.select(F.sha2(line, 256).alias("h"))
-    nibble = F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(38,0)")
-    tail = F.conv(F.substring("h", 16, 15), 16, 10).cast("decimal(38,0)")
-    folded = digest.agg(F.count("*").alias("n"), F.sum(nibble).alias("a"), F.sum(tail).alias("b"))
-    return folded.select(
-        F.substring(F.sha2(F.concat_ws("|", "n", "a", "b"), 256), 1, 12).alias("fingerprint"),
-        F.col("n").alias("symbols"),
-    )
+    whole = [F.round(F.col(c) * 1_000_000).cast("long").cast("string") for c in ("open", "high", "low", "close", "volume")]
+    line = F.concat_ws("|", F.col("symbol").cast("string"), F.col("date").cast("string"), *[F.coalesce(c, F.lit("-")) for c in whole])
+    digest = F.md5(line)
+
+    def part(first: int) -> Column:
+        return F.conv(F.substring(digest, first, 15), 16, 10).cast("decimal(20,0)")
+
+    hashed = bars.select(F.year("date").alias("year"), part(1).alias("a"), part(17).alias("b"))
+    sums = [(F.sum(c) % F.lit(DIGEST_MODULUS)).cast("long").alias(c) for c in _DIGEST_PARTS]
+    return hashed.groupBy("year").agg(F.count("*").alias("rows"), *sums)
+
+
+def merged_digests(*parts: DataFrame, less: DataFrame | None = None) -> DataFrame:
+    """Digests of the union of disjoint tables, without the rows of ``less``."""
+    signed = [p.select("year", "rows", *_DIGEST_PARTS) for p in parts]
+    if less is not None:
+        signed.append(less.select("year", (-F.col("rows")).alias("rows"), *[(-F.col(c)).alias(c) for c in _DIGEST_PARTS]))
+    both = reduce(lambda x, y: x.unionByName(y), signed)
+    sums = [F.pmod(F.sum(F.col(c).cast("decimal(20,0)")), F.lit(DIGEST_MODULUS)).cast("long").alias(c) for c in _DIGEST_PARTS]
+    return both.groupBy("year").agg(F.sum("rows").alias("rows"), *sums).where(F.col("rows") != 0)
+
+
+def fingerprint(digests: DataFrame) -> DataFrame:
+    """Twelve hex digits that name the content of the digested bars, one row."""
+    sums = [F.coalesce(F.pmod(F.sum(F.col(c).cast("decimal(20,0)")), F.lit(DIGEST_MODULUS)).cast("long"), F.lit(0).cast("long")).alias(c) for c in _DIGEST_PARTS]
+    whole = digests.agg(F.coalesce(F.sum("rows"), F.lit(0).cast("long")).alias("rows"), *sums)
+    return whole.select(F.substring(F.sha2(F.concat_ws("|", "rows", *_DIGEST_PARTS), 256), 1, 12).alias("fingerprint"), "rows")
+
+
+def data_fingerprint(bars: DataFrame) -> DataFrame:
+    return fingerprint(bar_digests(bars))
 
 
 def date_range(bars: DataFrame) -> DataFrame:
