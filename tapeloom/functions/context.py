@@ -30,7 +30,10 @@ def join_index_regime(bars: DataFrame, benchmark: DataFrame, *, by: str = "date"
     """Regime of the index on each bar; past its end its last regime holds."""
     labelled = with_regime(benchmark.withColumn("_all", F.lit(0)), ["_all"]).select("date", "regime")
     if by == "date":
-        return bars.join(labelled, "date", "left")
+        end = labelled.agg(F.max("date").alias("_end"), F.max_by("regime", "date").alias("_held"))
+        joined = with_row(bars.join(labelled, "date", "left"), end)
+        held = F.when(F.col("date") > F.col("_end"), F.col("_held")).otherwise(F.col("regime"))
+        return joined.withColumn("regime", held).drop("_end", "_held")
     w = Window.orderBy("date")
     numbered = labelled.select((F.row_number().over(w) - 1).alias("_pos"), "regime")
     last = numbered.agg(F.max("_pos").alias("_end"))

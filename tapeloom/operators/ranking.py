@@ -6,12 +6,12 @@ computed, ``walk_forward_gap`` and ``walk_forward_pass_rate``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators.metrics import clamp
 from tapeloom.operators.robust import is_overfit
-from tapeloom.runtime import with_row
+from tapeloom.runtime import stage, with_row
 
 OBJECTIVES = (
     "confidence",
@@ -359,13 +359,69 @@ def latest_evaluations(log: DataFrame) -> DataFrame:
     """Upsert of an append-only log: first insert fixes a row, the newest score wins.
 
     ``log`` holds id, confidence_score, json_content, created_at and the rest.
+    Rows of one time are told apart by their content.
     """
-    rest = [c for c in log.columns if c not in ("id", "confidence_score", "json_content")]
-    seen = F.struct("created_at")
-    return log.groupBy("id").agg(
-        F.min_by(F.struct(*rest), seen).alias("_first"),
-        F.max_by(F.struct("confidence_score", "json_content"), seen).alias("_last"),
-    ).select("id", "_first.*", "_last.*")
+    scored = "scored_at" if "scored_at" in log.columns else "created_at"
+    rest = [c for c in log.columns if c not in ("id", "confidence_score", "json_content", "scored_at")]
+    content = ("confidence_score", "json_content")
+    merged = log.groupBy("id").agg(
+        F.min_by(F.struct(*rest), F.struct("created_at", *content)).alias("_first"),
+        F.max_by(F.struct(*content), F.struct(scored, *content)).alias("_last"),
+        *([F.max("scored_at").alias("scored_at")] if scored == "scored_at" else []),
+    )
+    return merged.select("id", "_first.*", "_last.*", *([scored] if scored == "scored_at" else []))
+
+
+# The same as a store: base and delta files by bucket of the id.
+STORE_BUCKETS = 64
+
+
+def _bucketed(log: DataFrame, buckets: int) -> DataFrame:
+    return log.withColumn("bucket", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(buckets)).cast("int"))
+
+
+def append_evaluations(log: DataFrame, path: str, *, buckets: int = STORE_BUCKETS) -> None:
+    """Add rows to the store's delta; nothing that is stored is read or written again."""
+    parts = _bucketed(log.withColumn("scored_at", F.col("created_at")), buckets).repartition("bucket")
+    parts.write.mode("append").partitionBy("bucket").parquet(f"{path}/delta")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.parquet(path)
+
+
+def read_evaluations(spark: SparkSession, path: str) -> DataFrame:
+    """The store as it stands: buckets without a delta are read as they are, only the others are grouped."""
+    base, delta = _stored(spark, f"{path}/base"), _stored(spark, f"{path}/delta")
+    if delta is None:
+        if base is None:
+            raise ValueError(f"nothing is stored in {path}")
+        return base.drop("bucket", "scored_at")
+    touched = [r.bucket for r in delta.select("bucket").distinct().collect()]  # at most the number of buckets
+    if base is None:
+        return latest_evaluations(delta.drop("bucket")).drop("scored_at")
+    open_ = base.where(F.col("bucket").isin(touched)).unionByName(delta)
+    shut = base.where(~F.col("bucket").isin(touched)).drop("bucket")
+    return shut.unionByName(latest_evaluations(open_.drop("bucket"))).drop("scored_at")
+
+
+def compact_evaluations(spark: SparkSession, path: str, *, buckets: int = STORE_BUCKETS) -> list[int]:
+    """Fold the delta into the base and drop it; only the buckets it touches are written, which are returned."""
+    delta = _stored(spark, f"{path}/delta")
+    if delta is None:
+        return []
+    touched = sorted(r.bucket for r in delta.select("bucket").distinct().collect())
+    base = _stored(spark, f"{path}/base")
+    rows = delta if base is None else base.where(F.col("bucket").isin(touched)).unionByName(delta)
+    merged = stage(_bucketed(latest_evaluations(rows.drop("bucket")), buckets))  # read before its buckets are replaced
+    writer = merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("bucket").parquet(f"{path}/base")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/delta")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return touched
 
 
 def leaderboard(evals: DataFrame, strategies: DataFrame, *, limit: int = 20, min_signals: int = 30) -> DataFrame:

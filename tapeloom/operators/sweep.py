@@ -298,6 +298,22 @@ class Tunable:
     integer: bool = False
 
 
+#: How far a tunable number is moved to see how much the result depends on it.
+PERTURBATIONS = (0.9, 1.1)
+
+
+def perturbed(s: Strategy, tunables: list[Tunable]) -> list[Candidate]:
+    """Every tunable moved down and up by a tenth, clamped to its range; what does not move is left out."""
+    out = []
+    for t in tunables:
+        now = t.get(s)
+        for factor in PERTURBATIONS:
+            value = max(t.low, min(t.high, round(now * factor, 6)))
+            if value != now:
+                out.append(Candidate(f"v{len(out)}", t.set(s, int(value) if t.integer else value), (f"{t.target}: {now} -> {value}",)))
+    return out
+
+
 def param_candidates(
     s: Strategy,
     tunables: list[Tunable],

@@ -84,7 +84,7 @@ def entry_flags(
     """Bars with indicators, bar number and the ``entry`` flag of the strategy.
 
     Symbols with less than the minimum history are dropped; warm-up bars never
-    signal.  ``regime`` is used when present.
+    signal.  A strategy with preferred regimes needs a column ``regime``.
     """
     names = [*strategy.indicators, *(extra or [])]
     df = with_indicators(bars, list(dict.fromkeys(names)), keep_index=True)
@@ -93,7 +93,9 @@ def entry_flags(
     first = max(costs.min_data_days, warmup_bars(strategy.indicators))
     ok = (F.col("idx") >= first) & (F.col("_bars") >= costs.min_data_days)
     ok = ok & buy_allowed(strategy.market_rules, df.columns)
-    if strategy.preferred_regimes and "regime" in df.columns:
+    if strategy.preferred_regimes:
+        if "regime" not in df.columns:
+            raise ValueError("preferred regimes need a column regime")
         ok = ok & regime_gate(strategy.preferred_regimes, F.col("regime"))
     hit = entry_column(strategy.entry) if flag is None else flag
     return df.withColumn("entry", ok & hit)

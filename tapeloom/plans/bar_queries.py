@@ -325,11 +325,8 @@ e1 AS (SELECT *, coalesce(volume / nullif(vb, 0), 1.0) AS vr, coalesce((open - p
               coalesce((close - pv) / nullif(pv, 0), 0) AS day, coalesce((close - open) / nullif(open, 0), 0) AS intra FROM e0),
 e2 AS (SELECT *, (abs(gap) >= 0.025 OR abs(day) >= 0.045) AND vr >= 1.5 AS flag,
               least(1.0, greatest(0.0, 0.5 + gap * 4 + intra * 2)) AS mood FROM e1),
-e3 AS (SELECT *, max(CASE WHEN flag THEN idx END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hit FROM e2),
-e4 AS (SELECT a.symbol, a.date, a.idx, a.close, a.day, a.hit, b.mood AS m,
-              CASE WHEN a.hit IS NULL THEN a.close WHEN b.pv > 0 THEN b.pv ELSE b.close END AS base,
-              CASE WHEN a.hit IS NULL THEN 999 ELSE a.idx - a.hit END AS age
-       FROM e3 a LEFT JOIN e3 b ON a.symbol = b.symbol AND a.hit = b.idx),
+e3 AS (SELECT *, last_value(CASE WHEN flag THEN {{'i': idx, 'm': mood, 'b': CASE WHEN pv > 0 THEN pv ELSE close END}} END IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM e2),
+e4 AS (SELECT symbol, date, idx, close, day, e.i AS hit, e.m AS m, coalesce(e.b, close) AS base, CASE WHEN e IS NULL THEN 999 ELSE idx - e.i END AS age FROM e3),
 ev AS (SELECT symbol, date, idx,
        round(CASE WHEN hit IS NULL THEN 0.0 ELSE least(1.0, least(1.0, greatest(0.0, (0.5 - m) * 2)) * greatest(0.0, 1 - age / 5.0)
              + greatest(0.0, -day) * 2) END, 6) + 0.0 AS negative_news_score,
@@ -451,6 +448,32 @@ def benchmark_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.join_index_regime(b, src.benchmark_from_bars(b)).select("symbol", "date", "regime")
 
 
+_SHORT = date(1997, 12, 31)
+_SHORT_REGIME = f"""{_BENCHED}, early AS (SELECT * FROM bench WHERE date <= '{_SHORT}'), {regime_sql('early', 'PARTITION BY 0', 0.03)}"""
+
+
+@query(
+    "d70_index_regime_past_its_end",
+    f"""{_SHORT_REGIME}, la AS (SELECT arg_max(regime, date) AS last_regime, max(date) AS last_date FROM rg)
+    SELECT bars.symbol, bars.date, CASE WHEN bars.date > last_date THEN last_regime ELSE rg.regime END AS regime FROM bars CROSS JOIN la LEFT JOIN rg ON rg.date = bars.date""",
+)
+def regime_past_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = t.bars(spark, sf_dir)
+    early = src.benchmark_from_bars(b).where(F.col("date") <= F.lit(_SHORT))
+    return context.join_index_regime(b, early).select("symbol", "date", "regime")
+
+
+@query(
+    "d70_index_regime_by_position",
+    f"""{_SHORT_REGIME}, po AS (SELECT regime, row_number() OVER (ORDER BY date) - 1 AS pos FROM rg)
+    SELECT bars.symbol, bars.date, po.regime FROM bars JOIN po ON po.pos = least(bars.idx, (SELECT max(pos) FROM po))""",
+)
+def regime_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = t.bars(spark, sf_dir)
+    early = src.benchmark_from_bars(b).where(F.col("date") <= F.lit(_SHORT))
+    return context.join_index_regime(b, early, by="position").select("symbol", "date", "regime")
+
+
 @query(
     "d71_regime_periods",
     f"""{BARS}, {regime_sql('bars', 'PARTITION BY symbol', 0.10)},

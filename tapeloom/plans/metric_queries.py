@@ -522,11 +522,13 @@ def entry_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got.select("candidate_id", "symbol", "signal_idx", "exit_idx", "exit_reason", "return_pct"))
 
 
-_PERTURB = [
-    sweep.Candidate(f"v{i}", replace(BASE, exit=replace(BASE.exit, stop=Stop("pct", s), target=Target("rr", g))))
-    for i, (s, g) in enumerate(((0.09, 2.0), (0.11, 2.0), (0.10, 1.8), (0.10, 2.2)))
-]
-_PERTURB_SQL = "(VALUES ('base', 0.10, 2.0, 10), ('v0', 0.09, 2.0, 10), ('v1', 0.11, 2.0, 10), ('v2', 0.10, 1.8, 10), ('v3', 0.10, 2.2, 10)) c(candidate_id, stop_v, target_v, hold)"
+STOP_VALUE = sweep.Tunable(
+    "exit.stop.value", 0.05, 0.105, 0.02, lambda s: s.exit.stop.value, lambda s, v: replace(s, exit=replace(s.exit, stop=replace(s.exit.stop, value=v)))
+)
+TARGET_VALUE = sweep.Tunable(
+    "exit.target.value", 1.0, 4.0, 0.5, lambda s: s.exit.target.value, lambda s, v: replace(s, exit=replace(s.exit, target=replace(s.exit.target, value=v)))
+)
+_PERTURB_SQL = "(VALUES ('base', 0.10, 2.0, 10), ('v0', 0.09, 2.0, 10), ('v1', 0.105, 2.0, 10), ('v2', 0.10, 1.8, 10), ('v3', 0.10, 2.2, 10)) c(candidate_id, stop_v, target_v, hold)"
 
 
 def _plain_confidence() -> str:
@@ -541,7 +543,7 @@ def _plain_confidence() -> str:
     SELECT {r('round(avg(greatest(0, bs - s) / bs), 4)', 'param_sensitivity')}, count(*) AS variants FROM sc, b WHERE candidate_id <> 'base'""",
 )
 def param_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(sweep.param_sensitivity(t.bars(spark, sf_dir), BASE, _PERTURB))
+    return rounded(sweep.param_sensitivity(t.bars(spark, sf_dir), BASE, sweep.perturbed(BASE, [STOP_VALUE, TARGET_VALUE])))
 
 
 # ── scores and rankings of the candidates ────────────────────────────────────

@@ -589,6 +589,21 @@ def evaluation_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got.select("id", "strategy_id", "confidence_score", "signal_count", "created_at", "json_content"))
 
 
+@query(
+    "a19_evaluation_store",
+    f"{EV} SELECT id, strategy_id, {r('confidence_score', 'confidence_score')}, signal_count, created_at, json_content FROM evs",
+)
+def evaluation_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same upsert as a store: an older part folded into the base, a newer one still in the delta."""
+    log, path = evaluation_log(spark, sf_dir), shared_path(spark)
+    older = F.col("created_at") < 9500 * 8640000000
+    ranking.append_evaluations(log.where(older), path)
+    ranking.compact_evaluations(spark, path)
+    ranking.append_evaluations(log.where(~older), path)
+    got = ranking.read_evaluations(spark, path)
+    return rounded(got.select("id", "strategy_id", "confidence_score", "signal_count", "created_at", "json_content"))
+
+
 _BOARD = f"""{EV}, st AS (SELECT DISTINCT strategy_id, family_id FROM evs),
 bb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY confidence_score DESC, id DESC) AS k FROM evs WHERE signal_count >= 30) WHERE k = 1)"""
 

@@ -61,7 +61,8 @@ def prepare_history(
 ) -> DataFrame:
     """One row per (symbol, date), previous close, then the date clip.
 
-    ``sequence`` orders repeated rows of a day; the last one is kept.  The
+    ``sequence`` orders repeated rows of a day; the last one is kept, and
+    without an order a repeated day is an error when the rows are read.  The
     previous close is taken before clipping, so the first bar in range still
     knows its predecessor.  A symbol with any missing previous close gets the
     whole column recomputed.
@@ -81,6 +82,10 @@ def prepare_history(
         latest = df.groupBy("symbol", "date").agg(F.max_by(F.struct(*rest), order).alias("_row"))
         df = latest.select("symbol", "date", "_row.*")
     w = by_symbol()
+    if sequence is None:
+        again = F.lag("date", 1).over(w) == F.col("date")
+        told = F.raise_error(F.concat(F.lit("a day repeats and no sequence is given: "), F.concat_ws(" ", F.col("symbol").cast("string"), F.col("date").cast("string"))))
+        df = df.withColumn("_again", again).withColumn("date", F.when(F.col("_again"), told.cast("date")).otherwise(F.col("date"))).drop("_again")
     if "close" in rest:
         lagged = F.lag("close", 1).over(w)
         if "prev_close" in rest:

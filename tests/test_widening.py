@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from market import market
 from tapeloom.functions import context
 from tapeloom.functions.indicators import WHOLE_HISTORY, lookback, with_indicators
-from tapeloom.operators import book, robust, sampling
+from tapeloom.operators import book, ranking, robust, sampling
 from tapeloom.sources import bars as src
 
 NAMES = ["ma20_slope", "atr", "atr_5", "rsi_14", "rsi_14_zscore", "macd_histogram", "macd_cross_bullish", "volatility_20d", "days_since_high_20d", "momentum_10d", "breakout_high_20d", "volume_ratio_1d_5d"]
@@ -156,3 +156,31 @@ def test_exposure_sweep_equals_a_walk_over_days(spark):
             part = min(1.0, (day - opened).days / max(1, hold)) if hold > 0 and out is not None else 0.0
             equity += 10_000 / entry * part * ((out or entry) - entry)
         assert r.positions_open == live and r.equity == pytest.approx(equity, abs=1e-6)
+
+
+def test_store_rewrites_touched_buckets_only(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+
+    def rows(ids, when, score):
+        return spark.createDataFrame([(f"e{i}", score + i, f"j{i}-{when}", when) for i in ids], "id string, confidence_score double, json_content string, created_at long")
+
+    def files():
+        return {str(p.relative_to(tmp_path)): p.stat().st_mtime_ns for p in (tmp_path / "store/base").rglob("*.parquet")}
+
+    ranking.append_evaluations(rows(range(40), 1, 0.0), path, buckets=8)
+    assert ranking.read_evaluations(spark, path).count() == 40
+    assert ranking.compact_evaluations(spark, path, buckets=8) == list(range(8))
+    before = files()
+    ranking.append_evaluations(rows([3, 50], 5, 100.0), path, buckets=8)
+    ranking.append_evaluations(rows([3], 4, 200.0), path, buckets=8)  # older than what is stored by now
+    want = {(f"e{i}", float(i), 1) for i in range(40) if i != 3} | {("e3", 103.0, 1), ("e50", 150.0, 5)}
+    for _ in range(2):
+        got = {(r.id, r.confidence_score, r.created_at) for r in ranking.read_evaluations(spark, path).collect()}
+        assert got == want
+        touched = ranking.compact_evaluations(spark, path, buckets=8)
+    assert touched == []
+    after = files()
+    changed = {k.split("bucket=")[1].split("/")[0] for k in before.keys() ^ after.keys()}
+    assert 1 <= len(changed) <= 2
+    ranking.append_evaluations(rows([3], 4, 300.0), path, buckets=8)  # late and older: the stored score stays
+    assert ranking.read_evaluations(spark, path).where("id = 'e3'").first().confidence_score == 103.0
