@@ -16,12 +16,13 @@ def buy_and_hold(bars: DataFrame, trades: DataFrame) -> DataFrame:
     many rows as a calendar has days.
     """
     own = Window.partitionBy("symbol").orderBy("date")
-    pos = bars.select(
+    numbered = bars.select(
         "symbol",
         "close",
         F.row_number().over(own).alias("i"),
         F.first("close").over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("first"),
     )
+    pos = stage(numbered)  # read for the symbols and for the curve
     per_symbol = pos.groupBy("symbol").agg(
         F.count("*").alias("n"),
         F.max("first").alias("first"),

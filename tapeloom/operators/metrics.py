@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.indicators import EVENT_INDICATORS
 from tapeloom.operators.ordered import (
     exact_median,
     path_summary,
@@ -121,30 +122,57 @@ def by_sector(trades: DataFrame, keys: list[str]) -> DataFrame:
     return overall_metrics(known, [*keys, "sector"])
 
 
-def top_patterns(regimes: DataFrame, sectors: DataFrame, keys: list[str]) -> DataFrame:
-    """Best and worst regime and best sector per key, by (return, win rate)."""
+# The takeaway texts, in the order in which at most PATTERN_LINES of them are kept.
+PATTERN_TEXTS = {
+    "best_regime": "Best regime fit: %s (win_rate=%.1f%%, signals=%d)",
+    "weak_regime": "Weak regime: %s (win_rate=%.1f%%, signals=%d)",
+    "sector_edge": "Sector edge: %s (win_rate=%.1f%%, signals=%d)",
+    "benchmark": "Buy-and-hold %s by %.2f%%",
+    "events": "Event-aware indicators active with %.1f%% provider coverage",
+}
+PATTERN_LINES = 5
+
+
+def _tenths(share: Column, digits: int) -> Column:
+    """A share in percent, decimal halves rounded up, as any engine can repeat it."""
+    return F.round(share.cast("decimal(20,6)") * 100, digits).cast("double")
+
+
+def top_patterns(
+    regimes: DataFrame, sectors: DataFrame, keys: list[str], *, excess: DataFrame | None = None, events: DataFrame | None = None
+) -> DataFrame:
+    """Best and worst regime and best sector per key, by (return, win rate), and what the baselines say.
+
+    ``excess`` (one row, ``excess_return``) adds the comparison with buy and
+    hold; ``events`` (one row of :func:`event_coverage`) the provider coverage
+    where the strategy uses event indicators.
+    """
 
     def pick(df: DataFrame, kind: str, name: str, best: bool) -> DataFrame:
         rank = F.struct("avg_return", "win_rate")
         row = F.struct(F.col(name).alias("label"), "win_rate", "signal_count")
         chosen = F.max_by(row, rank) if best else F.min_by(row, rank)
-        return df.groupBy(*keys).agg(chosen.alias("_r")).select(*keys, F.lit(kind).alias("kind"), "_r.*")
+        text = F.format_string(PATTERN_TEXTS[kind], "label", _tenths(F.col("win_rate"), 1), "signal_count")
+        return df.groupBy(*keys).agg(chosen.alias("_r")).select(*keys, F.lit(kind).alias("kind"), "_r.*").withColumn("text", text)
 
     best = pick(regimes, "best_regime", "regime", True)
     weak = pick(regimes, "weak_regime", "regime", False)
     differs = best.select(*keys, F.col("label").alias("_best"))
     weak = weak.join(differs, keys).where(F.col("label") != F.col("_best")).drop("_best")
     rows = best.unionByName(weak).unionByName(pick(sectors, "sector_edge", "sector", True))
-    lead = (
-        F.when(F.col("kind") == "best_regime", "Best regime fit: ")
-        .when(F.col("kind") == "weak_regime", "Weak regime: ")
-        .otherwise("Sector edge: ")
-    )
-    share = F.format_string("%.1f%%", F.col("win_rate") * 100)
-    text = F.concat(
-        lead, "label", F.lit(" (win_rate="), share, F.lit(", signals="), F.col("signal_count").cast("string"), F.lit(")")
-    )
-    return rows.withColumn("text", text)
+    none = {"label": F.lit(None).cast("string"), "win_rate": F.lit(None).cast("double"), "signal_count": F.lit(None).cast("long")}
+    subjects = regimes.select(*keys).union(sectors.select(*keys)).distinct()
+    if excess is not None:
+        gap = F.col("_row.excess_return")
+        said = F.format_string(PATTERN_TEXTS["benchmark"], F.when(gap > 0, "outperformed").otherwise("lagged"), _tenths(F.abs(gap), 2))
+        line = subjects.withColumn("_row", excess.select(F.struct("excess_return")).scalar())
+        rows = rows.unionByName(line.select(*keys, F.lit("benchmark").alias("kind"), *[v.alias(k) for k, v in none.items()], said.alias("text")))
+    if events is not None:
+        line = subjects.withColumn("_row", events.select(F.struct("provider_coverage", "relevant_indicators")).scalar())
+        said = F.format_string(PATTERN_TEXTS["events"], _tenths(F.col("_row.provider_coverage"), 1))
+        used = line.where(F.size("_row.relevant_indicators") > 0)
+        rows = rows.unionByName(used.select(*keys, F.lit("events").alias("kind"), *[v.alias(k) for k, v in none.items()], said.alias("text")))
+    return rows
 
 
 def worst_trades(trades: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
@@ -210,8 +238,11 @@ def return_histogram(trades: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def event_coverage(sources: DataFrame) -> DataFrame:
-    """Per-symbol event source labels counted as provider, mixed or proxy."""
+def event_coverage(sources: DataFrame, indicators: Sequence[str] = ()) -> DataFrame:
+    """Per-symbol event source labels counted as provider, mixed or proxy.
+
+    ``relevant_indicators`` are those of ``indicators`` that look at events.
+    """
     label = F.coalesce(F.col("event_source"), F.lit("proxy"))
     plain = sources.groupBy("symbol").agg(F.max(label).alias("label"))
     label = F.col("label")
@@ -228,6 +259,7 @@ def event_coverage(sources: DataFrame) -> DataFrame:
         {
             "provider_coverage": F.round((F.col("provider_symbols") + F.col("mixed_symbols")) / total, 4),
             "proxy_only_coverage": F.round(F.col("proxy_symbols") / total, 4),
+            "relevant_indicators": F.array(*[F.lit(n) for n in sorted(set(indicators) & set(EVENT_INDICATORS))]).cast("array<string>"),
         }
     )
 
