@@ -167,11 +167,38 @@ def market_breadth(bars: DataFrame, *, limit: float = 0.098) -> DataFrame:
     return day.withColumns({"breadth": F.round(breadth, 4), "sentiment_index": F.round(mood, 4)})
 
 
-def market_context(benchmark: DataFrame, provider: DataFrame | None = None) -> DataFrame:
+# Names in a leader and in a laggard list.
+BOARD_NAMES = 5
+
+
+def leaders_and_laggards(sectors: DataFrame, names: int = BOARD_NAMES) -> DataFrame:
+    """Per date: the sectors that rose and fell most, from (date, sector, change_pct).
+
+    Each list is cut to its length by a ranked filter before it is collected;
+    sectors of equal change stand by name, unnamed and unknown ones in no list.
+    """
+    known = sectors.where((F.length("sector") > 0) & F.col("change_pct").isNotNull())
+    up = Window.partitionBy("date").orderBy(F.col("change_pct").desc(), "sector")
+    down = Window.partitionBy("date").orderBy("change_pct", "sector")
+
+    def side(order: Window, name: str) -> DataFrame:
+        ranked = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= names)
+        listed = F.sort_array(F.collect_list(F.struct("_n", "sector")))
+        return ranked.groupBy("date").agg(F.transform(listed, lambda x: x["sector"]).alias(name))
+
+    return side(up, "sector_leaders").join(side(down, "sector_laggards"), "date")
+
+
+def market_context(benchmark: DataFrame, provider: DataFrame | None = None, boards: DataFrame | None = None) -> DataFrame:
     """Per date: index change and regime, merged with provider values.
 
-    The provider's change wins, the index's regime wins.
+    The provider's change wins, the index's regime wins.  ``boards`` (see
+    :func:`leaders_and_laggards`) adds both lists, empty where a date has none.
     """
+    if boards is not None:
+        none = F.array().cast("array<string>")
+        joined = market_context(benchmark, provider).join(boards, "date", "left")
+        return joined.withColumns({c: F.coalesce(c, none) for c in ("sector_leaders", "sector_laggards")})
     w = Window.orderBy("date")  # one row per calendar day
     before = F.lag("close", 1).over(w)
     change = F.when(before > 0, F.round((F.col("close") - before) / before, 4))

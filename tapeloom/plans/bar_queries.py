@@ -521,15 +521,22 @@ def coarse_regime_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a16_market_context",
-    f"""{_BENCHED}, {_BREADTH}, {regime_sql('bench', 'PARTITION BY 0', 0.03)},
+    f"""{_BENCHED}, {t.SQL_UNIVERSE}, {_BREADTH}, {regime_sql('bench', 'PARTITION BY 0', 0.03)},
+    mv AS (SELECT date, sector, round(avg((close - prev_close) / prev_close), 9) AS change FROM bars JOIN universe USING (symbol) WHERE prev_close > 0 GROUP BY ALL),
+    bd AS (SELECT date, list(sector ORDER BY change DESC, sector)[1:5] AS sector_leaders, list(sector ORDER BY change, sector)[1:5] AS sector_laggards FROM mv GROUP BY date),
     own AS (SELECT date, CASE WHEN lag(close) OVER o > 0 THEN round((close - lag(close) OVER o) / lag(close) OVER o, 4) + 0.0 END AS chg, regime FROM rg WINDOW o AS (ORDER BY date))
     SELECT coalesce(own.date, breadth.date) AS date, {r('chg', 'index_change_pct', 4)}, {r('breadth', 'breadth', 4)}, {r('sentiment_index', 'sentiment_index', 4)},
-      coalesce(regime, CASE WHEN breadth IS NULL THEN NULL ELSE 'range_bound' END) AS regime
-    FROM own FULL JOIN breadth ON own.date = breadth.date""",
+      coalesce(regime, CASE WHEN breadth IS NULL THEN NULL ELSE 'range_bound' END) AS regime,
+      coalesce(bd.sector_leaders, []) AS sector_leaders, coalesce(bd.sector_laggards, []) AS sector_laggards
+    FROM own FULL JOIN breadth ON own.date = breadth.date LEFT JOIN bd ON bd.date = coalesce(own.date, breadth.date)""",
 )
 def market_context_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = t.bars(spark, sf_dir)
-    got = context.market_context(src.benchmark_from_bars(b), context.market_breadth(b))
+    move = (F.col("close") - F.col("prev_close")) / F.col("prev_close")
+    placed = b.where(F.col("prev_close") > 0).join(t.universe(spark, sf_dir).select("symbol", "sector"), "symbol")
+    changes = placed.groupBy("date", "sector").agg(F.round(F.avg(move), 9).alias("change_pct"))
+    boards = context.leaders_and_laggards(changes)
+    got = context.market_context(src.benchmark_from_bars(b), context.market_breadth(b), boards)
     return rounded(got, 4)
 
 

@@ -419,8 +419,11 @@ def lesson_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     "j16_cross_strategy_memory",
     f"""{LE}, rc AS (SELECT * FROM le WHERE {_REAL}),
     g AS (SELECT change_type, target, count(*) AS total, count(*) FILTER (worked) AS succeeded, count(DISTINCT strategy_family) AS families FROM rc
-      WHERE strategy_family <> '{FAMILY}' GROUP BY ALL HAVING count(*) FILTER (worked) > 0)
-    SELECT change_type, target, total, succeeded, families, {r('succeeded / total', 'rate')} FROM g ORDER BY g.succeeded DESC, g.total DESC, change_type, target LIMIT 2""",
+      WHERE strategy_family <> '{FAMILY}' GROUP BY ALL HAVING count(*) FILTER (worked) > 0),
+    ea AS (SELECT change_type, target, strategy_id, max(created_at) AS seen FROM rc WHERE strategy_family <> '{FAMILY}' GROUP BY ALL),
+    ex AS (SELECT *, row_number() OVER (PARTITION BY change_type, target ORDER BY seen DESC, strategy_id) AS k FROM ea),
+    es AS (SELECT change_type, target, list(strategy_id ORDER BY k) AS examples FROM ex WHERE k <= 2 GROUP BY ALL)
+    SELECT change_type, target, total, succeeded, families, {r('succeeded / total', 'rate')}, examples FROM g JOIN es USING (change_type, target) ORDER BY g.succeeded DESC, g.total DESC, change_type, target LIMIT 2""",
 )
 def cross_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(lessons.cross_strategy_memory(lesson_table(spark, sf_dir), FAMILY))
@@ -782,6 +785,23 @@ def best_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got.select("pattern_id", "confidence_score"))
 
 
+@query(
+    "j16_borrowed_patterns",
+    f"""{_PATTERNS}, us AS (SELECT strategy_id, count(*) AS times_used, count(*) FILTER (confidence_score > 0.5) AS hits FROM evlog GROUP BY strategy_id)
+    SELECT pattern_id, pattern_type, pt.strategy_id AS source_strategy, 'Borrowed [' || pattern_type || '] from `' || pt.strategy_id || '`: ' || content || '; '
+      || CASE WHEN times_used > 100 THEN 'used ' || times_used || 'x with ' || CAST(round(CAST(round(hits / times_used, 4) AS DECIMAL(10, 4)) * 100, 0) AS INT) || '% success'
+         ELSE 'source score ' || CAST(round(CAST(confidence_score AS DECIMAL(10, 4)) * 100, 0) AS INT) || '%, win rate 50%' END || '.' AS text
+    FROM pt LEFT JOIN us ON us.strategy_id = pt.strategy_id WHERE regexp_replace(pt.strategy_id, '_v[0-9]+$', '') <> 'fam_2-HIGH' ORDER BY confidence_score DESC, pattern_id LIMIT 2""",
+)
+def borrowed_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best patterns of other families, with how often they were used where that is known."""
+    used = evaluation_log(spark, sf_dir).groupBy(F.col("strategy_id").alias("source_strategy")).agg(
+        F.count("*").alias("times_used"), F.round(F.avg((F.col("confidence_score") > 0.5).cast("double")), 4).alias("success_rate")
+    )
+    known = pattern_table(spark, sf_dir).join(used.where("times_used > 100"), "source_strategy", "left").withColumn("win_rate", F.lit(0.5))
+    return lessons.borrowed_patterns(known, "fam_2-HIGH").select("pattern_id", "pattern_type", "source_strategy", "text")
+
+
 # ── exports ──────────────────────────────────────────────────────────────────
 
 _STEPS = f"""{LE}, sp AS (SELECT strategy_id AS trajectory_id, strategy_family, round_num, strategy_id, score_before, score_after, score_delta, worked AS improved, failure_patterns,
@@ -834,14 +854,32 @@ def step_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _one(x: str) -> str:
+    return f"printf('%.1f%%', {x} * 100)"
+
+
 @query(
     "a18_conversation_export",
-    f"""{_STEPS} SELECT trajectory_id, round_num AS round, improved, 'Strategy: ' || strategy_id || chr(10) || 'Current score: ' || format('{{:.1f}}', score_before * 100) || '%' || chr(10) || 'Win rate: 50.0%'
+    f"""{_STEPS} SELECT trajectory_id, round_num AS round, improved, 'Strategy: ' || strategy_id || chr(10) || 'Current score: ' || {_one('score_before')} || chr(10) || 'Win rate: 50.0%'
       || chr(10) || 'Signal count: 30' || chr(10) || 'Problems: ' || array_to_string(failure_patterns, '; ') || chr(10) || chr(10) || 'How should we improve this strategy?' AS human,
-    contains(reason, 'because') AS answered FROM sp""",
+    'Diagnosis: ' || reason || chr(10) || chr(10) || 'Hypothesis: ' || chr(10) || 'Expected: ' || chr(10) || chr(10) || 'Proposed changes:' || chr(10)
+      || '  - ' || change_type || ': ' || target || ' (? → ' || to_value || ')' || chr(10)
+      || CASE WHEN round_num % 2 = 0 THEN chr(10) || 'Critic verdict: accept' || chr(10) ELSE '' END || CASE WHEN round_num % 3 = 0 THEN 'Playbook used: pb' || round_num || chr(10) ELSE '' END
+      || CASE WHEN round_num % 4 = 0 THEN 'LLM telemetry: path=api, total_duration_ms=' || (round_num * 10) || ', calls=2' || chr(10) ELSE '' END
+      || chr(10) || 'Result: ' || CASE WHEN improved THEN 'improved' ELSE 'no improvement' END || ' (score ' || {_one('score_before')} || ' → ' || {_one('score_after')}
+      || ', delta=' || printf('%+.1f%%', score_delta * 100) || ')' AS gpt FROM sp""",
 )
 def conversation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, path = export.conversation_records(steps(spark, sf_dir)), shared_path(spark)
+    n = F.col("round_num")
+    telemetry = F.struct(F.lit("api").alias("path"), (n * 10).alias("total_duration_ms"), F.array(F.lit("a"), F.lit("b")).alias("calls"))
+    told = steps(spark, sf_dir).withColumns(
+        {
+            "critic_verdict": F.when(n % 2 == 0, "accept"),
+            "playbook_used": F.when(n % 3 == 0, F.concat(F.lit("pb"), n.cast("string"))),
+            "llm_telemetry": F.when(n % 4 == 0, telemetry),
+        }
+    )
+    records, path = export.conversation_records(told), shared_path(spark)
     export.write_json(records, path)
     back = spark.read.schema(records.schema).json(path)
     return back.select(
@@ -849,7 +887,7 @@ def conversation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
         "metadata.round",
         "metadata.improved",
         F.col("conversations")[0]["value"].alias("human"),
-        F.col("conversations")[1]["value"].contains("Diagnosis: because").alias("answered"),
+        F.col("conversations")[1]["value"].alias("gpt"),
     )
 
 

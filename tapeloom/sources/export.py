@@ -34,8 +34,35 @@ def step_records(steps: DataFrame) -> DataFrame:
     )
 
 
+# Lines of an answer that only steps with such a column and a value in it have.
+OPTIONAL_LINES = {
+    "critic_verdict": "\nCritic verdict: %s\n",
+    "playbook_used": "Playbook used: %s\n",
+    "llm_telemetry": "LLM telemetry: path=%s, total_duration_ms=%d, calls=%d\n",
+}
+
+
+def _optional_lines(columns: list[str]) -> list[Column]:
+    lines = []
+    for name, text in OPTIONAL_LINES.items():
+        if name not in columns:
+            continue
+        c = F.col(name)
+        if name == "llm_telemetry":
+            duration = F.coalesce(c["total_duration_ms"], F.lit(0)).cast("long")
+            filled = F.format_string(text, F.coalesce(c["path"], F.lit("")), duration, F.coalesce(F.size(c["calls"]), F.lit(0)))
+            lines.append(F.when(c.isNotNull(), filled).otherwise(""))
+        else:
+            lines.append(F.when(F.length(c) > 0, F.format_string(text, c)).otherwise(""))
+    return lines
+
+
 def conversation_records(steps: DataFrame) -> DataFrame:
-    """A question and an answer per step, as text built from its columns."""
+    """A question and an answer per step, as text built from its columns.
+
+    ``critic_verdict``, ``playbook_used`` and ``llm_telemetry`` (path,
+    total_duration_ms, calls) add a line where a step has them.
+    """
     problems = F.when(F.size("failure_patterns") > 0, F.array_join("failure_patterns", "; ")).otherwise("none identified")
     asked = F.concat(
         F.lit("Strategy: "),
@@ -66,7 +93,9 @@ def conversation_records(steps: DataFrame) -> DataFrame:
         "expected_outcome",
         F.lit("\n\nProposed changes:\n"),
         changes,
-        F.lit("\n\nResult: "),
+        F.lit("\n"),
+        *_optional_lines(steps.columns),
+        F.lit("\nResult: "),
         F.when(F.col("improved"), "improved").otherwise("no improvement"),
         F.lit(" (score "),
         _percent(F.col("score_before")),
