@@ -21,10 +21,6 @@ from tapeloom.llm import bloom
 from tapeloom.llm.words import plain_words
 from tapeloom.runtime import stage
 
-#: Set places are compared, others may differ.  These two are the seeds of the
-#: query's SQL alone, which may miss overlaps; see :func:`complete_masks`.
-MASKS = ("111010011011", "110110101011", "101101110101")
-SHORT_MASK = "11111"
 #: An item with fewer words is no evidence.
 SHORTEST = 5
 STRETCH, AGREE = 20, 80

@@ -163,30 +163,16 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ── 9 decontamination ────────────────────────────────────────────────────────
 
 
-def _masked(mask: str, words: str, at: str) -> str:
-    return "[" + ", ".join([f"'{mask}'", *(f"{words}[{at} + {i}]" for i, c in enumerate(mask) if c == "1")]) + "]"
-
-
-def _seeds(view: str, masks: tuple[str, ...], where: str) -> str:
-    return " UNION ALL ".join(
-        f"SELECT id, i, {_masked(m, 'w', 'i')} AS h FROM (SELECT id, w, unnest(range(1, len(w) - {len(m) - 2})) AS i FROM {view} WHERE len(w) >= {len(m)} AND {where})"
-        for m in masks
-    )
-
-
-#: Common table ``leaks`` (doc_id, item_id, matched, aligned) of a view's rows.
+#: Common table ``leaks`` (doc_id, item_id, matched, aligned) of a view's rows, by definition: every shift of an item
+#: against a document at which enough words agree at all is looked at word by word; no seeds are involved.
 LEAKS = (
     r"""leaks AS (
   WITH dw AS (SELECT DISTINCT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {view} WHERE text IS NOT NULL),
-  bw AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
-  ds AS ("""
-    + _seeds("dw", (*decontaminate.MASKS, decontaminate.SHORT_MASK), "true")
-    + "), bs AS ("
-    + _seeds("bw", decontaminate.MASKS, "len(w) >= 12")
-    + " UNION ALL "
-    + _seeds("bw", (decontaminate.SHORT_MASK,), "len(w) < 12")
-    + f"""),
-  sh AS (SELECT DISTINCT ds.id AS d, bs.id AS b, ds.i - bs.i AS s FROM ds JOIN bs USING (h)),
+  bw AS (SELECT * FROM (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL)"""
+    + f""" WHERE len(w) >= {decontaminate.SHORTEST}),
+  du AS (SELECT id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM dw),
+  bu AS (SELECT id, len(w) AS n, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM bw),
+  sh AS (SELECT du.id AS d, bu.id AS b, du.i - bu.i AS s FROM du JOIN bu USING (x) GROUP BY 1, 2, 3 HAVING 100 * count(*) >= {decontaminate.AGREE} * least({decontaminate.STRETCH}, any_value(n))),
   pr AS (SELECT d, b, s, dw.w AS x, bw.w AS y, greatest(0, -s) AS f, least(len(bw.w), len(dw.w) - s) - greatest(0, -s) AS a, least({decontaminate.STRETCH}, len(bw.w)) AS need
       FROM sh JOIN dw ON dw.id = d JOIN bw ON bw.id = b),
   fl AS (SELECT d, b, a, need, list_transform(range(1, a + 1), lambda k: (x[f + s + k] = y[f + k])::INT) AS m FROM pr WHERE a >= need),
