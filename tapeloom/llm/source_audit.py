@@ -32,7 +32,7 @@ from tapeloom.runtime import stage
 MIN_DOCS, TOP_TERMS = 10, 10
 SCALE = 1_000_000_000
 #: Words that one block of the first pass holds, entries of a block of the later ones, entries of a group of terms (at least the square of a language's sources).
-BLOCK_WORDS, BLOCK_ENTRIES, GROUP_ENTRIES = 3_000_000, 1_000_000, 50_000
+BLOCK_WORDS, BLOCK_ENTRIES, GROUP_ENTRIES = 1_500_000, 500_000, 50_000
 #: Sources and terms that are compared at a time.
 SOURCE_BLOCK, CELLS = 64, 4_000_000
 
