@@ -266,56 +266,70 @@ def screened_pick(evals: DataFrame, group: list[str], *, min_signals: int = 30)
 # ── verdicts ─────────────────────────────────────────────────────────────────
 
 
+# Thresholds and texts of the verdicts.
+GUARD_TEXTS = {
+    "sparse": "Sparse-signal result (%d/%d)",
+    "overfit": "Overfit detected (train_val_gap=%.1f%%)",
+    "payoff": "Non-positive trade payoff (avg_return=%.2f%%, total_return=%.2f%%)",
+}
+ANALYST_LIMITS = {
+    "signals_fail": 30, "signals_watch": 60, "payoff_watch": 1.0, "drawdown_fail": 0.45, "drawdown_watch": 0.30, "losses_watch": 8, "symbols_watch": 5,
+}
+ADVICE_LIMITS = {"exit_gain": 0.03, "good_win_rate": 0.52, "payoff": 1.2, "fold_gap": 0.12, "weak_win_rate": 0.45}
+
+
 def promotion_guard(min_signals: int = 30) -> Column:
     """Why a version must not become champion; null when it may."""
-    pct = F.format_string("%.1f%%", F.col("train_val_gap") * 100)
-    payoff = F.format_string(
-        "Non-positive trade payoff (avg_return=%.2f%%, total_return=%.2f%%)", F.col("avg_return") * 100, F.col("total_return") * 100
-    )
-    return (
-        F.when(
-            F.col("signal_count") < min_signals,
-            F.concat(F.lit("Sparse-signal result ("), F.col("signal_count").cast("string"), F.lit(f"/{min_signals})")),
-        )
-        .when(is_overfit(), F.concat(F.lit("Overfit detected (train_val_gap="), pct, F.lit(")")))
-        .when((F.col("avg_return") <= 0) & (F.col("total_return") <= 0), payoff)
-    )
+    n = F.col("signal_count")
+    unpaid = (F.col("avg_return") <= 0) & (F.col("total_return") <= 0)
+    reasons = [
+        (n < min_signals, F.format_string(GUARD_TEXTS["sparse"], n, F.lit(min_signals))),
+        (is_overfit(), F.format_string(GUARD_TEXTS["overfit"], F.col("train_val_gap") * 100)),
+        (unpaid, F.format_string(GUARD_TEXTS["payoff"], F.col("avg_return") * 100, F.col("total_return") * 100)),
+    ]
+    return F.coalesce(*[F.when(found, text) for found, text in reasons])
 
 
 def committee(evals: DataFrame, keys: list[str], *, symbols: Column, proxy_share: Column, planned_changes: Column) -> DataFrame:
-    """One row per analyst plus the overall verdict of each evaluation."""
-    n = F.col("signal_count")
-    rules = {
-        "technical": F.when(n < 30, "fail")
-        .when(F.col("avg_return") <= 0, "fail")
-        .when(F.col("profit_loss_ratio") < 1.0, "watch")
-        .otherwise("pass"),
-        "risk": F.when(F.col("max_drawdown") > 0.45, "fail")
-        .when((F.col("max_drawdown") > 0.30) | (F.col("max_consecutive_loss") >= 8), "watch")
-        .otherwise("pass"),
-        "overfit": F.when(n < 30, "fail").when(is_overfit(), "fail").when(n < 60, "watch").otherwise("pass"),
-        "data_quality": F.when(symbols < 5, "watch").when(F.coalesce(proxy_share, F.lit(0.0)) > 0, "watch").otherwise("pass"),
-        "mutation": F.when(planned_changes == 0, "watch").otherwise("pass"),
+    """One row per analyst plus the overall verdict of each evaluation.
+
+    An analyst fails an evaluation, or watches it, by the first list that has a
+    true entry; the overall verdict is the worst of all.
+    """
+    n, low, x = F.col("signal_count"), ANALYST_LIMITS, F.col
+    few = n < low["signals_fail"]
+    findings: dict[str, tuple[list[Column], list[Column]]] = {
+        "technical": ([few, x("avg_return") <= 0], [x("profit_loss_ratio") < low["payoff_watch"]]),
+        "risk": ([x("max_drawdown") > low["drawdown_fail"]], [x("max_drawdown") > low["drawdown_watch"], x("max_consecutive_loss") >= low["losses_watch"]]),
+        "overfit": ([few, is_overfit()], [n < low["signals_watch"]]),
+        "data_quality": ([], [symbols < low["symbols_watch"], F.coalesce(proxy_share, F.lit(0.0)) > 0]),
+        "mutation": ([], [planned_changes == 0]),
     }
-    verdicts = evals.select(*keys, *[c.alias(k) for k, c in rules.items()])
-    any_of = lambda status: sum(((F.col(k) == status).cast("int") for k in rules), F.lit(0)) > 0
-    overall = F.when(any_of("fail"), "fail").when(any_of("watch"), "watch").otherwise("pass")
-    return verdicts.withColumn("overall", overall).unpivot(keys, [*rules, "overall"], "analyst", "status")
+
+    def any_of(found: list[Column]) -> Column:
+        return F.exists(F.array(*[F.coalesce(c, F.lit(False)) for c in found], F.lit(False)), lambda c: c)
+
+    def status(fails: Column, watches: Column) -> Column:
+        return F.when(fails, "fail").when(watches, "watch").otherwise("pass")
+
+    verdicts = evals.select(*keys, *[status(any_of(f), any_of(w)).alias(k) for k, (f, w) in findings.items()])
+    worst = status(any_of([x(k) == "fail" for k in findings]), any_of([x(k) == "watch" for k in findings]))
+    return verdicts.withColumn("overall", worst).unpivot(keys, [*findings, "overall"], "analyst", "status")
 
 
 def research_status(best_score: Column, *, min_signals: int = 30) -> Column:
-    gap = F.coalesce(F.col("walk_forward_gap"), F.lit(0.0)) > 0.12
-    return (
-        F.when(F.col("signal_count") < min_signals, "insufficient_evidence")
-        .when(best_score >= F.col("confidence_score") + 0.03, "promote_optimized_exit")
-        .when(
-            (F.col("win_rate") >= 0.52) & ((F.col("avg_return") <= 0) | (F.col("profit_loss_ratio") < 1.2)),
-            "optimize_exits",
-        )
-        .when(is_overfit() | gap, "simplify_structure")
-        .when((F.col("win_rate") < 0.45) | (F.col("avg_return") < 0), "revise_entry")
-        .otherwise("continue_validation")
-    )
+    """What to do next with an evaluation: the first advice that applies."""
+    low, x = ADVICE_LIMITS, F.col
+    unsteady = F.coalesce(x("walk_forward_gap"), F.lit(0.0)) > low["fold_gap"]
+    unpaid = (x("avg_return") <= 0) | (x("profit_loss_ratio") < low["payoff"])
+    advice = {
+        "insufficient_evidence": x("signal_count") < min_signals,
+        "promote_optimized_exit": best_score >= x("confidence_score") + low["exit_gain"],
+        "optimize_exits": (x("win_rate") >= low["good_win_rate"]) & unpaid,
+        "simplify_structure": is_overfit() | unsteady,
+        "revise_entry": (x("win_rate") < low["weak_win_rate"]) | (x("avg_return") < 0),
+    }
+    return F.coalesce(*[F.when(applies, F.lit(name)) for name, applies in advice.items()], F.lit("continue_validation"))
 
 
 def hypothesis_status(evals: DataFrame, regimes: DataFrame, keys: list[str], preferred: tuple[str, ...], *, excess_return: Column | None = None) -> DataFrame:

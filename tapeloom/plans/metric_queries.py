@@ -690,15 +690,21 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "g35_committee",
     f"""{_SCORES}, v AS (SELECT candidate_id, CASE WHEN signal_count < 30 OR avg_return <= 0 THEN 'fail' WHEN profit_loss_ratio < 1.0 THEN 'watch' ELSE 'pass' END AS technical,
       CASE WHEN max_drawdown > 0.45 THEN 'fail' WHEN max_drawdown > 0.30 OR max_consecutive_loss >= 8 THEN 'watch' ELSE 'pass' END AS risk,
-      CASE WHEN signal_count < 30 OR over THEN 'fail' WHEN signal_count < 60 THEN 'watch' ELSE 'pass' END AS overfit, 'watch' AS data_quality, 'pass' AS mutation FROM sc),
+      CASE WHEN signal_count < 30 OR over THEN 'fail' WHEN signal_count < 60 THEN 'watch' ELSE 'pass' END AS overfit,
+      CASE WHEN symbols < 5 OR proxies > 0 THEN 'watch' ELSE 'pass' END AS data_quality, CASE WHEN changes = 0 THEN 'watch' ELSE 'pass' END AS mutation
+      FROM sc JOIN (SELECT candidate_id, count(DISTINCT symbol) AS symbols, avg(symbol % 2) AS proxies FROM tk WHERE return_pct > 0.25 GROUP BY 1) fa USING (candidate_id)
+      JOIN (SELECT candidate_id, CAST(stop_v <> 0.10 AS INT) + CAST(target_v <> 2.5 AS INT) + CAST(hold <> 10 AS INT) AS changes FROM {GRID_SQL}) pl USING (candidate_id)),
     w AS (SELECT *, CASE WHEN 'fail' IN (technical, risk, overfit) THEN 'fail' ELSE 'watch' END AS overall FROM v)
     UNPIVOT w ON technical, risk, overfit, data_quality, mutation, overall INTO NAME analyst VALUE status""",
 )
 def committee(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evals = evaluations(spark, sf_dir)
-    return ranking.committee(
-        evals, CAND, symbols=F.lit(100), proxy_share=F.lit(0.4), planned_changes=F.lit(1)
-    )
+    # symbols with large gains, those of odd numbers without provider events, and changes against the candidate of 10 %, 2.5 and 10 bars
+    large = swept(spark, sf_dir).where("return_pct > 0.25")
+    facts = large.groupBy("candidate_id").agg(F.countDistinct("symbol").alias("symbols"), F.avg(F.col("symbol") % 2).alias("proxies"))
+    plan = [(i, int(s != 0.10) + int(g != 2.5) + int(h != 10)) for i, s, g, h in GRID]
+    changes = spark.createDataFrame(plan, "candidate_id string, changes int")
+    evals = evaluations(spark, sf_dir).join(facts, "candidate_id").join(changes, "candidate_id")
+    return ranking.committee(evals, CAND, symbols=F.col("symbols"), proxy_share=F.col("proxies"), planned_changes=F.col("changes"))
 
 
 @query(
