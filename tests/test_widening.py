@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from market import market
-from tapeloom.functions import context
+from tapeloom.functions import context, events, indicators
 from tapeloom.functions.indicators import WHOLE_HISTORY, lookback, with_indicators
-from tapeloom.operators import book, ranking, robust, sampling
+from tapeloom.functions.spec import Condition, Entry, Exit, Stop, Strategy
+from tapeloom.operators import book, ranking, robust, sampling, trades
 from tapeloom.sources import bars as src
 
 NAMES = ["ma20_slope", "atr", "atr_5", "rsi_14", "rsi_14_zscore", "macd_histogram", "macd_cross_bullish", "volatility_20d", "days_since_high_20d", "momentum_10d", "breakout_high_20d", "volume_ratio_1d_5d"]
@@ -184,3 +185,39 @@ def test_store_rewrites_touched_buckets_only(spark, tmp_path):
     assert 1 <= len(changed) <= 2
     ranking.append_evaluations(rows([3], 4, 300.0), path, buckets=8)  # late and older: the stored score stays
     assert ranking.read_evaluations(spark, path).where("id = 'e3'").first().confidence_score == 103.0
+
+
+def test_registered_indicators_resolve_by_name(spark):
+    @indicators.register("twice_close")
+    def _twice(plan):
+        return F.col("close") * 2, 0
+
+    assert indicators.is_registered("twice_close") and "twice_close" in indicators.available()
+    assert {"rsi_14", "atr", "gap_up_pct", "has_stop_signal"} <= set(indicators.available())
+    assert not indicators.is_registered("ma0_above_ma5") and not indicators.is_registered("macd_histogram_fast9_slow5_signal3")
+    row = with_indicators(spark.createDataFrame(market(1, 40)), ["twice_close"]).first()
+    assert row.twice_close == 2 * row.close
+
+
+def test_gates_of_a_fast_pass(spark):
+    row = spark.createDataFrame([(0.4, 10, 0.3, 0.2)], "win_rate double, signal_count int, train_val_gap double, max_drawdown double")
+    fast = ranking.gate_reasons(min_win_rate=0.5, min_signals=30, max_drawdown=0.5, max_train_val_gap=0.1, full=False)
+    full = ranking.gate_reasons(min_win_rate=0.5, min_signals=30, max_drawdown=0.5, max_train_val_gap=0.1)
+    got = row.select(fast.alias("a"), full.alias("b"), ranking.gate_reasons(full=False).alias("c")).first()
+    assert got.a == ["win_rate<50.0%", "signals<30", "full_eval_required_for_robust_gates"]
+    assert got.b == ["win_rate<50.0%", "signals<30", "train_val_gap>10.0%"] and got.c == []
+
+
+def test_silent_choices_are_errors(spark):
+    bars = spark.createDataFrame(market(1, 40))
+    with pytest.raises(Exception, match="a day repeats"):
+        src.prepare_history(bars.union(bars.limit(1))).collect()
+    assert src.prepare_history(bars).count() == 40
+    one = bars.limit(1).select("symbol", "date", F.lit(0.5).alias("news_sentiment_score"))
+    other = one.withColumn("news_sentiment_score", F.lit(0.7))
+    assert events.merge_events(bars, one.union(one)).count() == 40
+    with pytest.raises(Exception, match="no sequence is given"):
+        events.merge_events(bars, one.union(other)).collect()
+    gated = Strategy("g", Entry(conditions=(Condition("momentum_3d", ">", 0.0),)), Exit(Stop("pct", 0.05)), preferred_regimes=("trending_up",))
+    with pytest.raises(ValueError, match="regime"):
+        trades.entry_flags(bars, gated)
