@@ -20,7 +20,7 @@ from bisect import bisect_left
 from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,8 @@ BLOCK_ROWS = 64
 BUCKET_ROWS = 2_500
 OTHER = "other"
 MAX_SOURCES = 500
+#: Slots of a plan that are sent to every task; a longer plan is joined by block.
+MAX_SLOTS_SENT = 500_000
 _RESULTS = ("mix_group", "mix_phase", "mix_slot", "mix_rank")
 
 
@@ -126,6 +128,10 @@ _PLAN = T.StructType(
 )
 
 
+def _slot_at(j: Column) -> Column:
+    return F.get("slots", (j % F.size("slots")).cast("int"))
+
+
 def _parts(docs: DataFrame, weights: dict[str, float | Fraction], source: str, other: float | Fraction) -> dict[str, Fraction]:
     """Equal parts of ``other`` for the sources found without a weight; what is joint is named ``OTHER``."""
     found = docs.select(F.col(source).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
@@ -204,14 +210,19 @@ def _schedule(
 
     plan = phases({k: -(-n // block_rows) for k, n in counts.items()}, share)
     table = spark.createDataFrame([(x.source, x.phase, x.first, x.last, x.base, x.slots, x.period) for x in plan], _PLAN)
-    # bounded: at most (MAX_SOURCES + 1)² / 2 stretches, each phase holds one period of slots
-    # in all or, where that is longer, the blocks up to its end
-    joined = numbered.join(
-        F.broadcast(table),
-        (F.col("mix_group") == F.col("_source")) & (F.col("_block") >= F.col("first")) & (F.col("_block") < F.col("last")),
-    )
-    j, n = F.col("_block") - F.col("first"), F.size("slots")
-    slot = F.col("base") + F.floor(j / n) * F.col("_period") + F.get("slots", (j % n).cast("int"))
+    in_group = F.col("mix_group") == F.col("_source")
+    if sum(len(x.slots) for x in plan) <= MAX_SLOTS_SENT:
+        # at most MAX_SLOTS_SENT numbers in (MAX_SOURCES + 1)² / 2 rows
+        joined = numbered.join(F.broadcast(table), in_group & (F.col("_block") >= F.col("first")) & (F.col("_block") < F.col("last")))
+    else:
+        # a row per block of the table, so that blocks meet rows by an equal key
+        blocks = table.withColumn("_at", F.explode(F.sequence("first", F.col("last") - 1)))
+        slim = blocks.select("_source", "_at", "phase", "first", "base", "_period", F.size("slots").alias("_turns"), _slot_at(F.col("_at") - F.col("first")).alias("_s"))
+        joined = numbered.join(slim, in_group & (F.col("_block") == F.col("_at")))
+        slot = F.col("base") + F.floor((F.col("_at") - F.col("first")) / F.col("_turns")) * F.col("_period") + F.col("_s")
+        return joined.select("row", "mix_group", F.col("phase").alias("mix_phase"), slot.cast("long").alias("mix_slot"), "mix_rank")
+    j = F.col("_block") - F.col("first")
+    slot = F.col("base") + F.floor(j / F.size("slots")) * F.col("_period") + _slot_at(j)
     return joined.select("row", "mix_group", F.col("phase").alias("mix_phase"), slot.cast("long").alias("mix_slot"), "mix_rank")
 
 

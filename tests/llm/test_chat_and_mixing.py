@@ -222,3 +222,11 @@ def test_columns_of_any_name_pass_through_the_mixture(spark):
     assert sorted((tuple(r[n] for n in names[:-1]) for r in kept), key=repr) == sorted((r[:-1] for r in rows), key=repr)
     assert sorted({r.mix_slot for r in kept}) == list(range(len({r.mix_slot for r in kept})))
     assert mixing.mixed(docs, {"s0": 1.0}).columns == names
+
+
+def test_long_plans_are_joined_by_block(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"s{i % 3}") for i in range(500)], "doc_id long, source string")
+    weights = {"s0": 0.123, "s1": 0.456}
+    sent = sorted(map(tuple, mixing.schedule(docs, weights, other=0.421, block_rows=4).collect()))
+    monkeypatch.setattr(mixing, "MAX_SLOTS_SENT", 0)
+    assert sorted(map(tuple, mixing.schedule(docs, weights, other=0.421, block_rows=4).collect())) == sent
