@@ -12,6 +12,7 @@ parts name.  What a candidate's row carries are those bars, not the array.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -201,7 +202,9 @@ def grid_exits(ready: DataFrame, members: Sequence, costs: Costs) -> DataFrame:
         F.array(*[reached(*x) for x in parts.goals]).alias("_goals"),
         F.array(*[called(i) if t else F.lit(None).cast("int") for i, t in enumerate(parts.triggers)]).alias("_calls"),
     )
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("id", "stop", "goal", "call", "hold"), c)]) for c in parts.chosen])
+    # one literal, however many candidates there are
+    rows = [dict(zip(("id", "stop", "goal", "call", "hold"), c, strict=True)) for c in parts.chosen]
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<id:string,stop:int,goal:int,call:int,hold:int>>")
     df = df.withColumn("_c", F.explode(table))
     stop, goal = F.get("_stops", F.col("_c.stop")), F.get("_goals", F.col("_c.goal"))
     df = df.withColumns({"_s": stop, "_g": goal, "_t": F.get("_calls", F.col("_c.call"))})
