@@ -49,6 +49,8 @@ CELLS, PARITIES = 256, 1024
 SIGN_BITS, SIGNS_HELD = 56, 4_000_000
 #: Members of a signature that one task compares with each other; larger groups are compared block by block.
 BLOCK_ROWS = 2000
+#: One in so many signatures is looked at first where components meet.
+FIRST_SHARE = 16
 
 #: A-Z lower-cased, ASCII white space as blanks.
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else 32 if 9 <= i <= 13 else i for i in range(256))
@@ -659,10 +661,14 @@ def _grouped(docs: DataFrame, doc: str, text: str, words: int, percent: int) ->
     first = shared.join(stage(smallest), "sign").groupBy(F.col("fp").alias("b")).agg(F.min("low").alias("a"))
     found = links.among(first.where(F.col("a") != F.col("b")).select("a", "b"))
     roots = components(found)
-    # where components still meet: first one candidate for every member, then all of them
-    for one_each in (True, False):
-        candidates = _compared(_apart(shared, classes, roots), percent, one_each)
+    # where components still meet: one candidate for every member, over a share of the signatures and then over all, which
+    # joins what links at many places with few candidates; then all candidates of all signatures, so nothing is left out
+    for share, one_each in ((FIRST_SHARE, True), (1, True), (1, False)):
+        part = shared if share == 1 else shared.where(F.pmod(F.xxhash64("sign"), F.lit(share)) == 0)
+        candidates = _compared(_apart(part, classes, roots), percent, one_each)
         if candidates.isEmpty():
+            if share > 1:
+                continue
             break
         more = links.among(candidates)
         if not more.isEmpty():
