@@ -28,7 +28,7 @@ BITS = 16
 SHARD_TOKENS = 1 << 20
 BLOCK_BITS = 512
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 #: Text that is encoded at a time.
 BLOCK_BYTES = 2_000_000
 
